@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, quality_classifier, quality_rules, secret_scan, source_mixing, toxicity
+from . import html_extraction, packing, quality_classifier, quality_rules, secret_scan, source_mixing, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         html_extraction.op1_html_extraction,
+        token_output.op2_token_output,
+        packing.op4_best_fit_packing,
         source_mixing.op6_source_mixing,
         secret_scan.op7_secret_scan,
         quality_classifier.op8_quality_classifier,
