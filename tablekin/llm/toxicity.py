@@ -18,7 +18,6 @@ labels of one class only, or none, every score is that share (0 without labels);
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,9 +137,13 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2
     for _ in range(25):
         slack = 1 - y * (x @ w)
         on = slack > 0
-        xs, c = x[on], cost[on]
-        grad = ridge * w - xs.T @ (c * y[on] * slack[on])
-        step = np.linalg.solve((xs * c[:, None]).T @ xs + ridge * np.eye(len(w)), grad)
+        grad, curve = ridge * w, ridge * np.eye(len(w))
+        for k in range(0, len(x), 4096):  # a few rows at a time, to hold no second copy
+            rows = np.flatnonzero(on[k : k + 4096]) + k
+            xs, c = x[rows].astype(np.float64), cost[rows]
+            grad -= xs.T @ (c * y[rows] * slack[rows])
+            curve += (xs * c[:, None]).T @ xs
+        step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -152,46 +155,48 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
     empty = np.zeros(1, np.float32)
     if len(set(labels)) < 2:
         return Model(empty, 0.0, np.zeros(4), float(y.mean()) if len(y) else 0.0)
-    bags = [words_of(t) for t in texts]
-    df = [Counter(), Counter()]
+    number: dict[str, int] = {}
+    bags = [np.array([number.setdefault(w, len(number)) for w in sorted(words_of(t))], np.int32) for t in texts]
+    vocabulary = list(number)
+    df = np.zeros((2, len(vocabulary)))
     for bag, label in zip(bags, labels, strict=True):
-        df[label].update(bag)
+        df[label, bag] += 1
     n = [int((y == 0).sum()), int((y == 1).sum())]
-    odds = lambda w: np.log((df[1][w] + 0.1) / n[1]) - np.log((df[0][w] + 0.5) / n[0])
-    vocabulary = sorted(set().union(*bags))
+    odds = np.log((df[1] + 0.1) / n[1]) - np.log((df[0] + 0.5) / n[0])
+    order = np.array(sorted(range(len(vocabulary)), key=vocabulary.__getitem__), np.int64)  # ties go by the word
     least = max(3, n[1] // 200)  # below that a rare word is there by chance
-    telling = sorted((w for w, c in df[1].items() if c >= least and odds(w) > 1.5 and not df[0][w] * 50 > c), key=lambda w: (-odds(w) * np.sqrt(df[1][w]), w))
-    clean = sorted(df[0], key=lambda w: (-df[0][w], w))
-    first = telling[: landmarks * 3 // 4]
-    marks = first + [w for w in clean[: landmarks * 2] if w not in set(first)][: landmarks - len(first)]
-    if not telling:
+    telling = order[(df[1][order] >= least) & (odds[order] > 1.5) & (df[0][order] * 50 <= df[1][order])]
+    telling = telling[np.argsort(-odds[telling] * np.sqrt(df[1][telling]), kind="stable")]
+    clean = order[df[0][order] > 0]
+    clean = clean[np.argsort(-df[0][clean], kind="stable")]
+    if not len(telling):
         return Model(empty, 0.0, np.zeros(4), float(y.mean()))
+    first = telling[: landmarks * 3 // 4]
+    marks = [vocabulary[k] for k in [*first, *np.setdiff1d(clean[: landmarks * 2], first, assume_unique=True)[: landmarks - len(first)]]]
     gram = kernel(marks, marks).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-4 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    step = max(1, len(clean) // 30_000)
-    bad, good = telling[:1500], clean[:2000] + clean[2000::step]
-    bad += [v for w in bad[:150] for v in disguised(w) if not df[0][v]]
-    good = [w for w in good if odds(w) < 1.5]
-    model = Model(empty, 0.0, np.zeros(4))
+    good = np.concatenate([clean[:2000], clean[2000 :: max(1, len(clean) // 20_000)]])
+    good = good[odds[good] < 1.5]
+    bad = telling[:1500]
+    forms = [v for k in bad[:150] for v in disguised(vocabulary[k]) if v not in number or not df[0][number[v]]]
     for turn in range(rounds):
-        words = bad + good
-        x = np.hstack([kernel(words, marks) @ whiten, np.ones((len(words), 1))])
-        target = np.where(np.arange(len(words)) < len(bad), 1.0, -1.0)
-        cost = np.where(target > 0, 0.5 / len(bad), 0.5 / len(good)) * 1000
-        w = _machine(x, target, cost)
+        words = [vocabulary[k] for k in bad] + forms + [vocabulary[k] for k in good]
+        n_bad = len(words) - len(good)
+        x = np.empty((len(words), whiten.shape[1] + 1), np.float32)
+        x[:, :-1], x[:, -1] = kernel(words, marks) @ whiten, 1
+        target = np.where(np.arange(len(words)) < n_bad, 1.0, -1.0)
+        w = _machine(x, target, np.where(target > 0, 500 / n_bad, 500 / max(len(good), 1)))
         model = Model(_folded(marks, whiten @ w[:-1]), float(w[-1]), np.zeros(4))
+        margin = _margins(model, vocabulary)
         if turn == rounds - 1:
             break
-        margin = dict(zip(vocabulary, _margins(model, vocabulary), strict=True))
-        best = Counter(max(bag, key=lambda v: (margin[v], v)) for bag, label in zip(bags, labels, strict=True) if label and bag)
-        new = [v for v, _ in best.most_common(2000) if not df[0][v]]
-        bad = list(dict.fromkeys(bad + new))
-        hard = sorted((v for v in df[0] if margin[v] > -0.5), key=lambda v: -margin[v])[:8000]
-        good = [v for v in dict.fromkeys(good + hard) if v not in set(bad)]
-    margin = dict(zip(vocabulary, _margins(model, vocabulary), strict=True))
-    feats = np.array([[*worst([margin[v] for v in bag]), 1.0] for bag in bags])
+        best = np.unique([bag[np.argmax(margin[bag])] for bag, label in zip(bags, labels, strict=True) if label and len(bag)]).astype(np.int64)
+        bad = np.union1d(bad, best[df[0][best] == 0])
+        hard = clean[margin[clean] > -0.5]
+        good = np.setdiff1d(np.union1d(good, hard[np.argsort(-margin[hard], kind="stable")][:8000]), bad)
+    feats = np.array([[*worst(margin[bag].tolist()), 1.0] for bag in bags])
     used = [0, 1, 2, 3]
     while True:  # no word may speak for a text: weights below 0 are left out
         link = np.zeros(4)
