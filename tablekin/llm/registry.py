@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, packing, quality_classifier, quality_rules, secret_scan, source_mixing, token_output, toxicity
+from . import html_extraction, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, source_mixing, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         html_extraction.op1_html_extraction,
         token_output.op2_token_output,
         packing.op4_best_fit_packing,
+        jaccard_join.op5_ngram_jaccard_join,
         source_mixing.op6_source_mixing,
         secret_scan.op7_secret_scan,
         quality_classifier.op8_quality_classifier,
