@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, source_mixing, token_output, toxicity
+from . import embedding_dedup, html_extraction, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, source_mixing, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         html_extraction.op1_html_extraction,
         token_output.op2_token_output,
+        embedding_dedup.op3_embedding_dedup,
         packing.op4_best_fit_packing,
         jaccard_join.op5_ngram_jaccard_join,
         source_mixing.op6_source_mixing,
