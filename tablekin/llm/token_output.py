@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, lookup_join, shared_folder, table
-from .tokens import default_path, loaded
+from .common import lookup_join, shared_folder, table
+from .tokens import TOKEN_SLICE, default_path, loaded
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
@@ -60,12 +60,12 @@ def encoded(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, squeeze = loaded(path), zstandard.ZstdCompressor(level=1)
-        end, counts = np.uint32(end_id).tobytes(), np.zeros(max(ids.vocabulary, end_id + 1), np.int64)
+        end, counts = np.array([end_id], "<u4"), np.zeros(max(ids.vocabulary, end_id + 1), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = [x + end for x in ids(part.column(1).to_pylist())]
-                counts += np.bincount(np.frombuffer(b"".join(rows), "<u4"), minlength=len(counts))
+            for at in range(0, batch.num_rows, TOKEN_SLICE):
+                part = batch.slice(at, TOKEN_SLICE)
+                rows = [np.concatenate([x, end]) for x in ids(part.column(1).to_pylist())]
+                counts += np.bincount(np.concatenate(rows), minlength=len(counts))
                 small = [squeeze.compress(_narrow(x)) for x in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(small, pa.binary()), pa.nulls(len(rows), pa.binary())], names=["doc_id", "ids", "counts"])
         if counts.any():
@@ -74,10 +74,9 @@ def encoded(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def _narrow(raw: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """Ids in two bytes each where all fit, else in four; the first byte says which."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\4" + raw
+    return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\4" + ids.tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
