@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SLICE, stored, table
-from .tokens import default_path, loaded
+from .common import stored, table
+from .tokens import TOKEN_SLICE, default_path, loaded
 
 CAPACITY = 2048
 END_ID = 0
@@ -68,10 +68,9 @@ def _smallest(left: list[int], counts: dict[int, int], w: int) -> list[int]:
 
 
 def reduced(plan: Plan, counts: dict[int, int]) -> dict[int, int]:
-    """Fix dominating sets in the plan; the counts that no rule decides."""
+    """Fix dominating sets in the plan, in rounds until no more is found; the counts that no rule decides."""
     counts = {k: v for k, v in counts.items() if v}
     left = sorted(counts)
-    undecided: dict[int, int] = {}
 
     def take(x: int, m: int) -> None:
         counts[x] -= m
@@ -79,36 +78,35 @@ def reduced(plan: Plan, counts: dict[int, int]) -> dict[int, int]:
             del counts[x]
             left.pop(bisect.bisect_left(left, x))
 
-    while left:
-        w = left[-1]
-        room = plan.capacity - w
-        small = _smallest(left, counts, w)
-        if not small or small[0] > room:  # nothing fits beside w
-            m = counts[w]
-            plan.fix((w,), m)
-            take(w, m)
-            continue
-        at = bisect.bisect_right(left, room) - 1
-        k = left[at]
-        if k == room or len(small) < 2 or sum(small) > room:
-            m = counts[w] // 2 if k == w else min(counts[w], counts[k])
-            if k == w and m == 0:  # a single w is left and only itself fits by length: the next shorter one is its partner
-                if at == 0:
-                    plan.fix((w,), 1)
-                    take(w, 1)
-                    continue
-                if k == room:  # its exact complement was w itself
-                    undecided[w] = counts[w]
+    before = -1
+    while left and plan.sequences != before:
+        before = plan.sequences
+        for w in left[::-1]:
+            while w in counts and (partner := dominating(left, counts, w, plan.capacity)) is not None:
+                if not partner:
+                    plan.fix((w,), counts[w])
                     take(w, counts[w])
                     continue
-                k, m = left[at - 1], 1
-            plan.fix((w, k), m)
-            take(w, m)
-            take(k, m)
-            continue
-        undecided[w] = counts[w]
-        take(w, counts[w])
-    return undecided
+                k = partner[0]
+                m = counts[w] // 2 if k == w else min(counts[w], counts[k])
+                plan.fix((w, k), m)
+                take(w, m)
+                take(k, m)
+    return counts
+
+
+def dominating(left: list[int], counts: dict[int, int], w: int, capacity: int) -> tuple[int, ...] | None:
+    """What to put beside a piece of length w in a set that dominates all others with it: nothing, one length, or unknown."""
+    room = capacity - w
+    small = _smallest(left, counts, w)
+    if not small or small[0] > room:
+        return ()
+    at = bisect.bisect_right(left, room) - 1
+    if left[at] == w and counts[w] == 1:
+        at -= 1  # it can't be its own partner; small has shown that another fits
+    if left[at] == room or len(small) < 2 or sum(small) > room:
+        return (left[at],)
+    return None
 
 
 def best_fit(plan: Plan, counts: dict[int, int]) -> None:
@@ -169,11 +167,11 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end, task, seen = loaded(path), np.uint32(end_id).tobytes(), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at in range(0, batch.num_rows, TOKEN_SLICE):
+                part = batch.slice(at, TOKEN_SLICE)
                 rows = []
                 for doc, raw in zip(part.column(0).to_pylist(), ids(part.column(1).to_pylist()), strict=True):
-                    raw += end
+                    raw = raw.tobytes() + end
                     for k, first in enumerate(range(0, len(raw), 4 * capacity)):
                         one = raw[first : first + 4 * capacity]
                         n = len(one) // 4
