@@ -101,9 +101,8 @@ def source_mixing(documents: DataFrame, weights: Mapping[str | None, float] | No
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, copy, n_copies of every copy in the mixed corpus, and its place in the global order."""
-    rows = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    out = shuffled(rows)
-    return out.select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.col("_n_copies").cast("long").alias("n_copies"), F.col("_place").alias("place"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_text"))
+    return shuffled(mixed(rows)).select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.col("_n_copies").cast("long").alias("n_copies"), F.col("_place").alias("place"), "n_text")
 
 
 SQL = f"""
