@@ -18,13 +18,15 @@ labels of one class only, or none, every score is that share (0 without labels);
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, table, training_rows
+from .common import SLICE, held_out, map_batches, table, training_rows
 
 #: Bound of the labelled sample: at most so many clean and so many toxic documents, in hash order.
 PER_CLASS = (6000, 3000)
@@ -278,3 +280,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scores = toxicity(documents, fitted(spark, documents, table(spark, sf_dir, "labels")))
     return scores.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+
+
+def without_toxic(documents: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
+    """The documents that score below reject, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                yield part.filter(pa.array([s < reject for s in score(part.column(at).to_pylist())]))
+
+    return documents.mapInArrow(run, documents.schema)
