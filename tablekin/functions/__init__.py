@@ -1,0 +1 @@
+"""Scalar rules: value typing, dialects, scores and number formats."""

@@ -1,0 +1 @@
+"""From tables or files to a graph: the passes put together."""

@@ -1,0 +1 @@
+"""Finding, choosing and reading the files of an export."""
