@@ -7,7 +7,7 @@ one join. Between them only schema-sized rows come to the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,17 +42,19 @@ class Profile:
     nodes: list[Node]
     ids: DataFrame
     counts: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist()
+    def release(self) -> None:
+        """Drop what is cached; call it once the relationships are measured."""
+        for df in self.held:
+            df.unpersist()
 
 
 def profiled(spark: SparkSession, parts: list[Part], raw: DataFrame, samples: DataFrame, dialect: Dialect, copies: Mapping[str, list[str]] = {}) -> Profile:
     """Statistics, merged parts and keys. raw: value_counts by part and column position."""
-    raw = _kept(raw)
+    raw = raw.persist()
     types = spark.createDataFrame(profiling.column_types(raw).collect(), "part int, col int, type string")
-    counts = _kept(profiling.canonical_counts(raw, types))
+    counts = profiling.canonical_counts(raw, types).persist()
     stats = {(r.part, r.col): r for r in profiling.column_stats(counts, samples, dialect).collect()}
     own = {p.number: p for p in parts}
 
@@ -67,7 +69,7 @@ def profiled(spark: SparkSession, parts: list[Part], raw: DataFrame, samples: Da
     places = [(p.number, k, min(g, key=lambda q: q.source).node, name, is_id(p.number, k) if (p.number, k) in stats else False, len(g) > 1) for g in groups.values() for p in g for k, name in enumerate(p.header)]
     listed = spark.createDataFrame(places, "part int, col int, node string, column string, id boolean, split boolean")
     named = counts.join(F.broadcast(listed), ["part", "col"])
-    ids = _kept(named.where("id").groupBy("node", "column", "value").agg(F.sum("n").alias("n")))
+    ids = named.where("id").groupBy("node", "column", "value").agg(F.sum("n").alias("n")).persist()
     distinct: dict[str, dict[str, int]] = {}
     if any(len(g) > 1 for g in groups.values()):
         for r in named.where("split").groupBy("node", "column").agg(F.countDistinct("value").alias("d")).collect():
@@ -100,7 +102,7 @@ def profiled(spark: SparkSession, parts: list[Part], raw: DataFrame, samples: Da
         for label in sorted({x for p in group for x in copies.get(norm_name(p.source), ())}):
             node.warnings.append(f"skipped {label}: an identical copy of another part")
         nodes.append(node)
-    return Profile(nodes, ids, counts)
+    return Profile(nodes, ids, counts, [raw, counts, ids])
 
 
 def frame_parts(tables: Mapping[str, DataFrame | list[DataFrame]], dialect: Dialect) -> tuple[list[Part], list[DataFrame]]:
@@ -131,7 +133,9 @@ def analyze(spark: SparkSession, tables: Mapping[str, DataFrame | list[DataFrame
     """The relationships between frames."""
     dialect = get(profile) if isinstance(profile, str) else profile
     found = profile_frames(spark, tables, dialect, sample, parse_text)
-    return relating.infer(found.ids, [n for n in found.nodes if n.rows], dialect, min_confidence, overlap=overlap)
+    graph = relating.infer(found.ids, [n for n in found.nodes if n.rows], dialect, min_confidence, overlap=overlap)
+    found.release()
+    return graph
 
 
 def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect, copies: Mapping[str, list[str]] = {}, max_rows: int | None = None, sample: int = 500) -> Profile:
@@ -142,7 +146,7 @@ def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect
     merged = read.groupBy("member", "sheet", "col", F.when(notes, F.col("row")).alias("row"), F.col("kind"), F.when(notes, F.col("value")).otherwise(value).alias("value")).agg(
         F.count("*").alias("n"), F.max(F.length("value")).alias("length"), F.sum(F.col("sampled").cast("long")).alias("times"), F.first("sheet_name", True).alias("sheet_name")
     )
-    merged = _kept(merged)
+    merged = merged.persist()
     told = merged.where(F.col("kind").isin("header", "rows", "trim", "error")).collect()
     errors = {r.member: r.value for r in told if r.kind == "error"}
     headers: dict[tuple[int, int], dict[int, str]] = {}
@@ -178,4 +182,6 @@ def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect
     data = merged.where(~notes).join(F.broadcast(listed), ["member", "sheet"]).withColumn("col", F.col("col") - F.col("first"))
     raw = data.select("part", "col", "kind", "value", "n", "length")
     samples = data.where((F.col("times") > 0) & F.col("kind").isin("text", "str")).select("part", "col", "value", "times")
-    return profiled(spark, parts, raw, samples, dialect, copies)
+    found = profiled(spark, parts, raw, samples, dialect, copies)
+    found.held.append(merged)
+    return found
