@@ -35,10 +35,12 @@ def kind_of_text(value: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """The text by which typed values are equal: 7 and 07, true and TRUE, 2.5 and 2.50."""
+    """The text by which typed values are equal: 7, 07 and 7.0, true and TRUE, 2.5 and 2.50."""
+    number = as_float(value)
+    whole = (number == F.floor(number)) & (F.abs(number) < 9.2e18)
     return (
         F.when(kind == "int", as_int(value).cast("string"))
-        .when(kind == "float", F.coalesce(as_float(value), as_int(value).cast("double")).cast("string"))
+        .when(kind == "float", F.when(whole, number.try_cast("bigint").cast("string")).otherwise(number.cast("string")))
         .when(kind == "bool", F.when(F.lower(value) == "true", "True").otherwise("False"))
         .otherwise(value)
     )

@@ -5,40 +5,74 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values
 
-VALUE_COUNTS = "part int, col int, kind string, value string, n long, length int"
+def is_number(kind: T.DataType) -> bool:
+    """Whether a column's values travel as fixed-width numbers: numbers, flags, dates and times."""
+    return isinstance(kind, (T.BooleanType, T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
-def typed(column: Column, kind: T.DataType, parse_text: bool) -> tuple[Column, Column]:
-    """(kind, canonical value) of a field of a typed frame; empty text is null."""
+def number_kind(kind: T.DataType) -> str:
     if isinstance(kind, T.BooleanType):
-        return F.lit("bool"), F.when(column, "True").when(~column, "False")
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.lit("int"), column.cast("string")
-    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        d = column.cast("double")
-        whole = (d == F.floor(d)) & (F.abs(d) < 9.2e18)
-        return F.when(whole, "int").otherwise("float"), F.when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
+        return "bool"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        t = column.cast("timestamp_ntz")
-        plain = F.date_format(t, "yyyy-MM-dd HH:mm:ss")
-        micros = F.date_format(t, "SSSSSS")
-        return F.lit("time"), F.when(micros == "000000", plain).otherwise(F.concat(plain, F.lit("."), micros))
-    text = column if isinstance(kind, T.StringType) else column.cast("string") if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(F.struct(column))
-    return F.lit("text" if parse_text else "str"), F.nullif(text, F.lit(""))
+        return "datetime"
+    return "float" if isinstance(kind, T.FractionalType) else "int"
+
+
+def _named(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def melted(frame: DataFrame, part: int, parse_text: bool = False) -> DataFrame:
-    """part, col, kind, value, length of each filled field. Long texts come as digests, before anything is shuffled."""
+    """part, col, kind, value, length of each filled text field. Long texts come as digests, before anything is shuffled."""
+    fields = []
+    for k, f in enumerate(frame.schema.fields):
+        if is_number(f.dataType):
+            continue
+        text = _named(f.name)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.to_json(text)
+        text = F.nullif(text.cast("string"), F.lit(""))
+        fields.append(F.struct(F.lit(k).alias("col"), values.compact(text).alias("value"), F.length(text).alias("length")))
+    if not fields:
+        return frame.sparkSession.createDataFrame([], "part int, col int, kind string, value string, length int")
+    cells = frame.select(F.explode(F.array(*fields)).alias("c")).where("c.value is not null")
+    return cells.select(F.lit(part).alias("part"), "c.col", F.lit("text" if parse_text else "str").alias("kind"), "c.value", "c.length")
+
+
+def melted_numbers(frame: DataFrame, part: int) -> DataFrame:
+    """part, col, whole, real of each filled number, flag, date or time: fixed-width rows that need no text.
+
+    whole holds integers, flags as 0 and 1, and times as microseconds; real holds fractions.
+    """
     fields = []
     for k, f in enumerate(frame.schema.fields):
-        kind, value = typed(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType, parse_text)
-        fields.append(F.struct(F.lit(k).alias("col"), kind.alias("kind"), values.compact(value).alias("value"), F.length(value).alias("length")))
-    return frame.select(F.explode(F.array(*fields)).alias("c")).where("c.value is not null").select(F.lit(part).alias("part"), "c.*")
+        if is_number(f.dataType):
+            c, kind = _named(f.name), number_kind(f.dataType)
+            if kind == "datetime":
+                c = F.unix_micros(c.cast("timestamp"))
+            whole = F.lit(None).cast("bigint") if kind == "float" else c.cast("bigint")
+            real = c.cast("double") if kind == "float" else F.lit(None).cast("double")
+            fields.append(F.struct(F.lit(k).alias("col"), whole.alias("whole"), real.alias("real")))
+    if not fields:
+        return frame.sparkSession.createDataFrame([], "part int, col int, whole long, real double")
+    return frame.select(F.explode(F.array(*fields)).alias("c")).where("c.whole is not null or c.real is not null").select(F.lit(part).alias("part"), "c.*")
+
+
+def counted_numbers(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("part", "col", "whole", "real").agg(F.count("*").alias("n"))
+
+
+def as_text(numbers: DataFrame) -> DataFrame:
+    """Number counts as part, col, value, n, in the canonical form that texts have."""
+    round_ = (F.col("real") == F.floor("real")) & (F.abs("real") < 9.2e18)
+    real = F.when(round_, F.col("real").try_cast("bigint").cast("string")).otherwise(F.col("real").cast("string"))
+    return numbers.select("part", "col", F.coalesce(F.col("whole").cast("string"), real).alias("value"), "n")
 
 
 def counted(cells: DataFrame) -> DataFrame:
@@ -46,19 +80,20 @@ def counted(cells: DataFrame) -> DataFrame:
     return cells.groupBy("part", "col", "kind", "value").agg(F.count("*").alias("n"), F.max("length").alias("length"))
 
 
-def first_values(frame: DataFrame, part: int, n: int, parse_text: bool = False) -> DataFrame:
-    """part, col, value, times of the first n filled values of each text column, in row order.
+def first_values(frame: DataFrame, part: int, n: int, columns: set[int] | None = None, most_rows: int | None = None) -> DataFrame:
+    """part, col, value, times of the first n filled values of text columns (all, or the given ones), in row order.
 
-    Each task keeps its own first n per column before the shuffle (a window with a rank limit is planned so).
+    With most_rows only so many rows are looked at, which is enough for most columns and sorts next to nothing. Without,
+    each task keeps its own first n per column before the shuffle (a window with a rank limit is planned so).
     """
-    names = [(k, f) for k, f in enumerate(frame.schema.fields) if isinstance(f.dataType, T.StringType)]
+    names = [(k, f) for k, f in enumerate(frame.schema.fields) if isinstance(f.dataType, T.StringType) and (columns is None or k in columns)]
     if not names:
         return frame.sparkSession.createDataFrame([], "part int, col int, value string, times long")
-    order = F.monotonically_increasing_id().alias("row")
-    structs = [F.struct(F.lit(k).alias("col"), values.compact(F.nullif(F.col(f"`{f.name.replace('`', '``')}`"), F.lit(""))).alias("value")) for k, f in names]
-    from pyspark.sql import Window as W
-
-    cells = frame.select(order, F.array(*structs).alias("cs")).select("row", F.explode("cs").alias("c")).where("c.value is not null").select("row", "c.*")
+    structs = [F.struct(F.lit(k).alias("col"), values.compact(F.nullif(_named(f.name), F.lit(""))).alias("value")) for k, f in names]
+    rows = frame.select(F.monotonically_increasing_id().alias("row"), *(_named(f.name) for _, f in names))
+    if most_rows is not None:
+        rows = rows.where(F.col("row") < most_rows)
+    cells = rows.select("row", F.explode(F.array(*structs)).alias("c")).where("c.value is not null").select("row", "c.*")
     ranked = cells.withColumn("r", F.row_number().over(W.partitionBy("col").orderBy("row"))).where(F.col("r") <= n)
     return ranked.groupBy(F.lit(part).alias("part"), "col", "value").agg(F.count("*").alias("times"))
 

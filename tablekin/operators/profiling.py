@@ -25,16 +25,22 @@ def column_types(counts: DataFrame) -> DataFrame:
 
 
 def canonical_counts(counts: DataFrame, types: DataFrame) -> DataFrame:
-    """part, col, value, n, length with values in the canonical form of their column's type.
+    """part, col, value, n, length, type with values in the canonical form of their column's type.
 
-    types has one row per column of the schema, which bounds what is broadcast.
+    types has one row per column of the schema, which bounds what is broadcast. Only forms of parsed text can fall
+    together (7 and 07); where a column stays text nothing is counted anew.
     """
-    kind = F.when(F.col("type").isin("int", "float", "bool"), F.col("as_kind")).otherwise("str")
-    form = values.canonical(kind, F.col("value"))
+    form = values.canonical(F.when(F.col("type").isin("int", "float", "bool"), F.col("as_kind")).otherwise("str"), F.col("value"))
     out = parsed(counts).join(F.broadcast(types), ["part", "col"]).select("part", "col", form.alias("value"), "n", "length", "type")
     return out.groupBy("part", "col", "value").agg(F.sum("n").alias("n"), F.max("length").alias("length"), F.first("type").alias("type"))
 
 
+def number_stats(numbers: DataFrame) -> DataFrame:
+    """part, col, filled, distinct and whether all values are whole, of columns that travel as numbers."""
+    round_ = F.col("real").isNull() | ((F.col("real") == F.floor("real")) & (F.abs("real") < 9.2e18))
+    return numbers.groupBy("part", "col").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct"), F.bool_and(round_).alias("all_whole"))
+
+
 def sample_signs(samples: DataFrame, dialect: Dialect) -> DataFrame:
     """part, col and what the first values say: share that looks like an id, share of dates and of dates or times."""
     share = lambda p: F.sum(F.when(p, F.col("times")).otherwise(0)) / F.sum("times")

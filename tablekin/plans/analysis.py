@@ -6,7 +6,7 @@ one join. Between them only schema-sized rows come to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +41,6 @@ class Profile:
 
     nodes: list[Node]
     ids: DataFrame
-    counts: DataFrame
     held: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
@@ -50,17 +49,49 @@ class Profile:
             df.unpersist()
 
 
-def profiled(spark: SparkSession, parts: list[Part], raw: DataFrame, samples: DataFrame, dialect: Dialect, copies: Mapping[str, list[str]] = {}) -> Profile:
-    """Statistics, merged parts and keys. raw: value_counts by part and column position."""
-    raw = raw.persist()
-    types = spark.createDataFrame(profiling.column_types(raw).collect(), "part int, col int, type string")
-    counts = profiling.canonical_counts(raw, types).persist()
-    stats = {(r.part, r.col): r for r in profiling.column_stats(counts, samples, dialect).collect()}
+@dataclass
+class ColumnFact:
+    type: str
+    filled: int
+    distinct: int
+    max_length: int | None = None
+    id_like: bool = False
+
+
+def profiled(
+    spark: SparkSession, parts: list[Part], raw: DataFrame, samples: Callable[[dict[tuple[int, int], int]], DataFrame], dialect: Dialect,
+    copies: Mapping[str, list[str]] = {}, numbers: DataFrame | None = None, kinds: Mapping[tuple[int, int], str] = {}, parse: bool = True,
+) -> Profile:
+    """Statistics, merged parts and keys.
+
+    raw: value_counts of text by part and column position, to be parsed or not. samples: the first values, given how many
+    values each column has. numbers: counts of fixed-width values, whose kinds are known from the frames.
+    """
+    held = []
+    if parse:
+        raw = raw.persist()
+        types = spark.createDataFrame(profiling.column_types(raw).collect(), "part int, col int, type string")
+        counts = profiling.canonical_counts(raw, types).persist()
+        held.append(raw)
+    else:
+        counts = raw.select("part", "col", "value", "n", "length", F.lit("string").alias("type")).persist()
+    held.append(counts)
+    filled = {(r.part, r.col): r.n for r in counts.where("type = 'string'").groupBy("part", "col").agg(F.sum("n").alias("n")).collect()}
+    stats = {(r.part, r.col): ColumnFact(r.type, r.filled, r.distinct, r.max_length, r.id_like) for r in profiling.column_stats(counts, samples(filled), dialect).collect()}
+    values_ = counts.select("part", "col", "value", "n")
     own = {p.number: p for p in parts}
+    if numbers is not None:
+        numbers = numbers.persist()
+        held.append(numbers)
+        for r in profiling.number_stats(numbers).collect():
+            kind = kinds[r.part, r.col]
+            stats[r.part, r.col] = ColumnFact("int" if kind == "float" and r.all_whole else kind, r.filled, r.distinct, id_like=kind == "int" and r.col in own[r.part].integer_ids)
+        values_ = values_.union(cells.as_text(numbers))
+    for (part, col), r in stats.items():
+        r.id_like = r.id_like or (r.type == "int" and col in own[part].integer_ids)
 
     def is_id(part: int, col: int) -> bool:
-        r = stats[part, col]
-        return r.id_like or (r.type == "int" and col in own[part].integer_ids)
+        return stats[part, col].id_like
 
     # names and parts as a small table: from here on values are known by node and column name
     groups: dict[str, list[Part]] = {}
@@ -68,7 +99,7 @@ def profiled(spark: SparkSession, parts: list[Part], raw: DataFrame, samples: Da
         groups.setdefault(p.node.lower(), []).append(p)
     places = [(p.number, k, min(g, key=lambda q: q.source).node, name, is_id(p.number, k) if (p.number, k) in stats else False, len(g) > 1) for g in groups.values() for p in g for k, name in enumerate(p.header)]
     listed = spark.createDataFrame(places, "part int, col int, node string, column string, id boolean, split boolean")
-    named = counts.join(F.broadcast(listed), ["part", "col"])
+    named = values_.join(F.broadcast(listed), ["part", "col"])
     ids = named.where("id").groupBy("node", "column", "value").agg(F.sum("n").alias("n")).persist()
     distinct: dict[str, dict[str, int]] = {}
     if any(len(g) > 1 for g in groups.values()):
@@ -102,7 +133,7 @@ def profiled(spark: SparkSession, parts: list[Part], raw: DataFrame, samples: Da
         for label in sorted({x for p in group for x in copies.get(norm_name(p.source), ())}):
             node.warnings.append(f"skipped {label}: an identical copy of another part")
         nodes.append(node)
-    return Profile(nodes, ids, counts, [raw, counts, ids])
+    return Profile(nodes, ids, [*held, ids])
 
 
 def frame_parts(tables: Mapping[str, DataFrame | list[DataFrame]], dialect: Dialect) -> tuple[list[Part], list[DataFrame]]:
@@ -124,9 +155,22 @@ def profile_frames(spark: SparkSession, tables: Mapping[str, DataFrame | list[Da
     for p in parts:
         p.rows = sizes.get(p.number, 0)
         p.warning = None if p.rows else combining.EMPTY
-    raw = cells.counted(cells.union([cells.melted(f, p.number, parse_text) for p, f in zip(parts, frames, strict=True)]))
-    samples = cells.union([cells.first_values(f, p.number, sample) for p, f in zip(parts, frames, strict=True)])
-    return profiled(spark, parts, raw, samples, dialect)
+    pairs = list(zip(parts, frames, strict=True))
+    raw = cells.counted(cells.union([cells.melted(f, p.number, parse_text) for p, f in pairs]))
+    numbers = cells.counted_numbers(cells.union([cells.melted_numbers(f, p.number) for p, f in pairs]))
+    kinds = {(p.number, k): cells.number_kind(c.dataType) for p, f in pairs for k, c in enumerate(f.schema.fields) if cells.is_number(c.dataType)}
+
+    def samples(filled: dict[tuple[int, int], int]) -> DataFrame:
+        head = cells.union([cells.first_values(f, p.number, sample, most_rows=2 * sample) for p, f in pairs]).persist()
+        found = {(r.part, r.col): r.n for r in head.groupBy("part", "col").agg(F.sum("times").alias("n")).collect()}
+        short = {k for k, n in filled.items() if found.get(k, 0) < min(n, sample)}
+        if not short:
+            return head
+        gaps = spark.createDataFrame(sorted(short), "part int, col int")
+        rest = [cells.first_values(f, p.number, sample, {c for q, c in short if q == p.number}) for p, f in pairs if any(q == p.number for q, _ in short)]
+        return cells.union([head.join(F.broadcast(gaps), ["part", "col"], "left_anti"), *rest])
+
+    return profiled(spark, parts, raw, samples, dialect, numbers=numbers, kinds=kinds, parse=parse_text)
 
 
 def analyze(spark: SparkSession, tables: Mapping[str, DataFrame | list[DataFrame]], profile: str | Dialect = "generic", min_confidence: float = 0.5, overlap: float = 0.8, sample: int = 500, parse_text: bool = False) -> Graph:
@@ -182,6 +226,6 @@ def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect
     data = merged.where(~notes).join(F.broadcast(listed), ["member", "sheet"]).withColumn("col", F.col("col") - F.col("first"))
     raw = data.select("part", "col", "kind", "value", "n", "length")
     samples = data.where((F.col("times") > 0) & F.col("kind").isin("text", "str")).select("part", "col", "value", "times")
-    found = profiled(spark, parts, raw, samples, dialect, copies)
+    found = profiled(spark, parts, raw, lambda _: samples, dialect, copies)
     found.held.append(merged)
     return found
