@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -9,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the word rule `[^\x20\x09-\x0D]+` has it; bytes.split() splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -55,9 +58,40 @@ def map_batches(df: DataFrame, fn: Callable[..., dict | None], schema: str, rows
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
+    return arrow_map(df, run, schema)
+
+
+#: Rows and bytes of an Arrow batch at most; the session's own settings are kept where they are smaller.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with small batches, whose workers give freed memory back to the system when a task ends."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return what Python and Arrow have freed but keep to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def count_upto(df: DataFrame, most: int) -> int:
     return df.limit(most + 1).count()
 
@@ -128,7 +162,7 @@ def _shrunk(edges: DataFrame) -> DataFrame:
             forest = local_forest(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([r for _, r in forest], pa.int64())})
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return arrow_map(edges.select("a", "b"), run, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

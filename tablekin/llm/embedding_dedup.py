@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, local_forest, lookup_join, stored, table
+from .common import arrow_map, components, local_forest, lookup_join, stored, table
 
 COSINE = 0.9
 #: One pivot for so many vectors, up to a fixed number of pivots.
@@ -50,7 +50,7 @@ def prepared(embeddings: DataFrame) -> DataFrame:
                 raw.append(v.astype("<f8").tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
-    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, raw binary")
+    return arrow_map(embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), run, "vec_id long, raw binary")
 
 
 def unit(raws: list[bytes]) -> np.ndarray:
@@ -108,7 +108,7 @@ def routed(classes: DataFrame, pivots: dict[int, np.ndarray], cosine: float) ->
                         home[k], guests[k] = f"{size}:{cell}", [f"{size}:{c}" for c in np.flatnonzero(row)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home, pa.string()), pa.array(guests, pa.list_(pa.string()))], names=["rep", "copies", "raw", "home", "guests"])
 
-    return classes.select("rep", "copies", "raw").mapInArrow(run, "rep long, copies long, raw binary, home string, guests array<string>")
+    return arrow_map(classes.select("rep", "copies", "raw"), run, "rep long, copies long, raw binary, home string, guests array<string>")
 
 
 def tiled(rows: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def tiled(rows: DataFrame) -> DataFrame:
                     got = part.take(pa.array(take, pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(second), *got.columns[:3]], names=["cell", "a", "b", "second", "rep", "copies", "raw"])
 
-    return rows.mapInArrow(run, "cell string, a long, b long, second boolean, rep long, copies long, raw binary")
+    return arrow_map(rows, run, "cell string, a long, b long, second boolean, rep long, copies long, raw binary")
 
 
 def compared(tiles: DataFrame, cosine: float) -> DataFrame:

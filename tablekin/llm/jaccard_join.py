@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, components, local_forest, lookup_join, stored, table
+from .common import arrow_map, SLICE, components, local_forest, lookup_join, stored, table
 from .shingles import RECALL, SIMILARITY, Shingler, depths, prefixes, signature
 
 #: Representatives in a block; a task compares at most two blocks.
@@ -51,7 +51,7 @@ def signatures(documents: DataFrame, similarity: float = SIMILARITY, recall: flo
                 tries = [prefixes(signature(s), deep).view(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(tries, pa.list_(pa.int64()))], names=names)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_key binary, prefixes array<bigint>")
+    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, set_key binary, prefixes array<bigint>")
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def verified(documents: DataFrame, tiles: DataFrame, copies: DataFrame, similari
                 types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "b", "second", "rep", "copies", "shingles"])
 
-    spread = texts.select("rep", "text", "tiles", "copies").mapInArrow(explode, "a long, b long, second boolean, rep long, copies long, shingles binary")
+    spread = arrow_map(texts.select("rep", "text", "tiles", "copies"), explode, "a long, b long, second boolean, rep long, copies long, shingles binary")
     share = Fraction(similarity).limit_denominator(10_000)
 
     def compare(rows: pa.Table) -> pa.Table:

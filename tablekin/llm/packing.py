@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import arrow_map, stored, table
 from .tokens import TOKEN_SLICE, default_path, loaded
 
 CAPACITY = 2048
@@ -180,7 +180,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[: len(names)], types, strict=True)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids binary" * with_ids
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def assigned(cut: DataFrame, plan: Plan, counts: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def assigned(cut: DataFrame, plan: Plan, counts: DataFrame) -> DataFrame:
                     sequence[at], offset[at] = seq[k] + rank[at] - first[k], off[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return rows.select(F.col("length").alias("_l"), F.col("rank").alias("_r"), F.col("before").alias("_b"), *names).mapInArrow(run, schema)
+    return arrow_map(rows.select(F.col("length").alias("_l"), F.col("rank").alias("_r"), F.col("before").alias("_b"), *names), run, schema)
 
 
 def packed(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

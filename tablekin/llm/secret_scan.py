@@ -22,7 +22,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table
+from .common import arrow_map, map_batches, table
 
 KINDS = ("assign", "access", "hex")
 MOST_INFLATED = 8 << 20
@@ -260,7 +260,7 @@ def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
                     columns[j] = pa.array([n if a == b else len(b) for n, a, b in zip(columns[j].to_pylist(), old, new, strict=True)], pa.int64())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents.mapInArrow(run, schema)
+    return arrow_map(documents, run, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, shared_folder, table
+from .common import arrow_map, lookup_join, shared_folder, table
 from .tokens import TOKEN_SLICE, default_path, loaded
 
 END_ID = 2
@@ -71,7 +71,7 @@ def encoded(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([squeeze.compress(counts.tobytes())], pa.binary())], names=["doc_id", "ids", "counts"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, counts binary")
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -96,7 +96,7 @@ def vocabulary(counts: DataFrame) -> list[tuple[int, int]]:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    rows = counts.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = arrow_map(counts.select("counts").where("counts is not null"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return sorted(((r.id, r.n) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
@@ -132,7 +132,7 @@ def _blocks(rows: DataFrame, ranks) -> DataFrame:
         if docs:
             yield flush()
 
-    return rows.mapInArrow(run, _BLOCKS)
+    return arrow_map(rows, run, _BLOCKS)
 
 
 def write(documents: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -175,7 +175,7 @@ def read(spark: SparkSession, folder: str, fn, schema: str) -> DataFrame:
                 got = fn(docs, (start + first + ends - counts).tolist(), np.split(tokens, ends[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(got[c], type=target.field(c).type) for c in names], schema=target)
 
-    return blocks.select("doc_ids", "counts", "control", "data", "first", "start", "n").mapInArrow(run, schema)
+    return arrow_map(blocks.select("doc_ids", "counts", "control", "data", "first", "start", "n"), run, schema)
 
 
 def token_ids(spark: SparkSession, folder: str) -> DataFrame:

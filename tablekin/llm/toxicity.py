@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, held_out, map_batches, table, training_rows
+from .common import arrow_map, SLICE, held_out, map_batches, table, training_rows
 
 #: Bound of the labelled sample: at most so many clean and so many toxic documents, in hash order.
 PER_CLASS = (6000, 3000)
@@ -294,4 +294,4 @@ def without_toxic(documents: DataFrame, model: Model, reject: float = REJECT) ->
                 part = batch.slice(k, SLICE)
                 yield part.filter(pa.array([s < reject for s in score(part.column(at).to_pylist())]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return arrow_map(documents, run, documents.schema)
