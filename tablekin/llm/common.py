@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,9 +127,11 @@ def training_rows(spark: SparkSession, documents: DataFrame, labels: DataFrame,
     parts = [known.where(F.col("y") == y).orderBy(rank, "doc_id").limit(per_class[y]) for y in (0, 1)]
     few = parts[0].unionByName(parts[1])
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return rows["text"].tolist(), rows["y"].tolist()
+    rows = texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").toArrow()
+    ids, labels_ = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()
+    order = np.unique(ids, return_index=True)[1]  # by id, repeated rows once
+    picked = rows.column("text").take(pa.array(order)).to_pylist()
+    return picked, labels_[order].tolist()
 
 
 def crc_of(doc_id: int) -> int:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, SLICE, components, local_forest, lookup_join, stored, table
+from .common import SLICE, arrow_map, components, local_forest, lookup_join, stored, table
 from .shingles import RECALL, SIMILARITY, Shingler, depths, prefixes, signature
 
 #: Representatives in a block; a task compares at most two blocks.

@@ -19,10 +19,12 @@ import hashlib
 import html
 import re
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, map_batches, table
+from .common import SLICE, arrow_map, map_batches, table
 
 KINDS = ("assign", "access", "hex")
 MOST_INFLATED = 8 << 20
@@ -231,10 +233,6 @@ def secret_scan(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced in the text; all other columns stay, n_chars follows the text."""
-    import pyarrow as pa
-
-    from .common import SLICE
-
     schema, names = documents.schema, documents.columns
     text_at = names.index("text")
 
@@ -247,7 +245,7 @@ def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
             at = end
         return "".join([*out, text[at:]])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)

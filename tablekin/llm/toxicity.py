@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, SLICE, held_out, map_batches, table, training_rows
+from .common import SLICE, arrow_map, give_back, held_out, map_batches, table, training_rows
 
 #: Bound of the labelled sample: at most so many clean and so many toxic documents, in hash order.
 PER_CLASS = (6000, 3000)
@@ -101,8 +101,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         at += len(number)
     table_ *= scale.astype(np.float32)
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for k in range(0, len(words), 4096):
-        codes, word, own = encoded(words[k : k + 4096])
+    for k in range(0, len(words), 512):
+        codes, word, own = encoded(words[k : k + 512])
         for at, number, w in runs(codes):
             place = np.minimum(np.searchsorted(known, number), len(known) - 1)
             hit = known[place] == number
@@ -165,7 +165,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
         df[label, bag] += 1
     n = [int((y == 0).sum()), int((y == 1).sum())]
     odds = np.log((df[1] + 0.1) / n[1]) - np.log((df[0] + 0.5) / n[0])
-    order = np.array(sorted(range(len(vocabulary)), key=vocabulary.__getitem__), np.int64)  # ties go by the word
+    order = np.array([number[w] for w in sorted(vocabulary)], np.int64)  # ties go by the word
     least = max(3, n[1] // 200)  # below that a rare word is there by chance
     telling = order[(df[1][order] >= least) & (odds[order] > 1.5) & (df[0][order] * 50 <= df[1][order])]
     telling = telling[np.argsort(-odds[telling] * np.sqrt(df[1][telling]), kind="stable")]
@@ -178,7 +178,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
     gram = kernel(marks, marks).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-4 * values[-1]
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     good = np.concatenate([clean[:2000], clean[2000 :: max(1, len(clean) // 20_000)]])
     good = good[odds[good] < 1.5]
     bad = telling[:1500]
@@ -186,8 +186,9 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
     for turn in range(rounds):
         words = [vocabulary[k] for k in bad] + forms + [vocabulary[k] for k in good]
         n_bad = len(words) - len(good)
-        x = np.empty((len(words), whiten.shape[1] + 1), np.float32)
-        x[:, :-1], x[:, -1] = kernel(words, marks) @ whiten, 1
+        x = np.ones((len(words), whiten.shape[1] + 1), np.float32)
+        for k in range(0, len(words), 2048):
+            x[k : k + 2048, :-1] = kernel(words[k : k + 2048], marks) @ whiten
         target = np.where(np.arange(len(words)) < n_bad, 1.0, -1.0)
         w = _machine(x, target, np.where(target > 0, 500 / n_bad, 500 / max(len(good), 1)))
         model = Model(_folded(marks, whiten @ w[:-1]), float(w[-1]), np.zeros(4))
@@ -218,7 +219,7 @@ def disguised(word: str) -> list[str]:
 
 
 def _margins(model: Model, words: list[str]) -> np.ndarray:
-    return np.concatenate([model.margins(words[k : k + 8192]) for k in range(0, len(words), 8192)] or [np.zeros(0)])
+    return np.concatenate([model.margins(words[k : k + 4096]).astype(np.float32) for k in range(0, len(words), 4096)] or [np.zeros(0, np.float32)])
 
 
 def _folded(marks: list[str], alpha: np.ndarray) -> np.ndarray:
@@ -260,7 +261,9 @@ class Scorer:
 
 
 def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    return train(*training_rows(spark, documents, labels, "toxic", per_class))
+    model = train(*training_rows(spark, documents, labels, "toxic", per_class))
+    give_back()
+    return model
 
 
 def toxicity(documents: DataFrame, model: Model) -> DataFrame:
