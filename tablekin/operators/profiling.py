@@ -42,24 +42,25 @@ def number_stats(numbers: DataFrame) -> DataFrame:
 
 
 def sample_signs(samples: DataFrame, dialect: Dialect) -> DataFrame:
-    """part, col and what the first values say: share that looks like an id, share of dates and of dates or times."""
+    """part, col, found and what the first values say: share that looks like an id, share of dates and of dates or times."""
     share = lambda p: F.sum(F.when(p, F.col("times")).otherwise(0)) / F.sum("times")
     v = F.col("value")
     date = v.rlike(values.ISO_DATE)
     return samples.groupBy("part", "col").agg(
-        share(dialect.looks_like_id(v)).alias("id_share"), share(date).alias("date_share"), share(date | v.rlike(values.ISO_DATETIME)).alias("time_share")
+        F.sum("times").alias("found"), share(dialect.looks_like_id(v)).alias("id_share"), share(date).alias("date_share"), share(date | v.rlike(values.ISO_DATETIME)).alias("time_share")
     )
 
 
-def column_stats(counts: DataFrame, samples: DataFrame, dialect: Dialect) -> DataFrame:
-    """part, col, type, filled, distinct, max_length, id_like: one row per column that holds anything."""
-    own = counts.groupBy("part", "col").agg(F.first("type").alias("kind"), F.sum("n").alias("filled"), F.count("*").alias("distinct"), F.max("length").alias("longest"))
-    signs = sample_signs(samples, dialect)
-    text = F.col("kind") == "string"
-    id_like = text & F.coalesce(F.col("id_share") >= dialect.id_share, F.lit(False))
-    date = F.when(F.col("date_share") == 1, "date").when(F.col("time_share") >= 0.95, "datetime").otherwise("string")
-    kind = F.when(id_like, "id").when(text, F.coalesce(date, F.lit("string"))).otherwise(F.col("kind"))
-    return own.join(signs, ["part", "col"], "left").select("part", "col", kind.alias("type"), "filled", "distinct", F.when(text, F.col("longest")).alias("max_length"), id_like.alias("id_like"))
+def column_stats(counts: DataFrame) -> DataFrame:
+    """part, col, type, filled, distinct, longest: one row per column that holds anything."""
+    return counts.groupBy("part", "col").agg(F.first("type").alias("type"), F.sum("n").alias("filled"), F.count("*").alias("distinct"), F.max("length").alias("longest"))
+
+
+def text_type(id_share: float, date_share: float, time_share: float, dialect: Dialect) -> tuple[str, bool]:
+    """(type, id_like) of a text column, from its sample."""
+    if id_share >= dialect.id_share:
+        return "id", True
+    return "date" if date_share == 1 else "datetime" if time_share >= 0.95 else "string", False
 
 
 def token_counts(counts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Node and column names are schema-sized and live on the driver; values never leav
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,8 +101,8 @@ def resolved(counts: DataFrame, nodes: list[Node], wanted: list[Candidate]) -> l
     return [got.get(k, (0, 0)) for k in range(len(wanted))]
 
 
-def overlapping(counts: DataFrame, nodes: list[Node], unmatched: list[tuple[Node, Column]], threshold: float) -> list[tuple[str, str, str]]:
-    """(node, column, target) where the target's key covers at least the threshold's share of the column's rows.
+def overlapping(counts: DataFrame, nodes: list[Node], unmatched: list[tuple[Node, Column]], threshold: float) -> list[tuple[str, str, str, int]]:
+    """(node, column, target, matched rows) where the target's key covers at least the threshold's share of the column's rows.
 
     One join on value for all columns and all keys, in place of probing them pair by pair.
     """
@@ -110,7 +111,7 @@ def overlapping(counts: DataFrame, nodes: list[Node], unmatched: list[tuple[Node
     listed = counts.sparkSession.createDataFrame([(n.id, c.name, c.filled) for n, c in unmatched], "node string, column string, filled long")
     source = counts.join(F.broadcast(listed), ["node", "column"])
     hits = source.join(key_values(counts, nodes), "value").groupBy("node", "column", "target").agg(F.sum("n").alias("matched"), F.first("filled").alias("filled"))
-    return [(r.node, r.column, r.target) for r in hits.where(F.col("matched") >= threshold * F.col("filled")).collect()]
+    return [(r.node, r.column, r.target, r.matched) for r in hits.where(F.col("matched") >= threshold * F.col("filled")).collect()]
 
 
 def edge_of(c: Candidate, key: str, matched: int, total: int, suffix: bool, group: str | None) -> Edge:
@@ -138,13 +139,19 @@ def infer(counts: DataFrame, nodes: list[Node], dialect: Dialect, min_confidence
     have = {(c.node.id, c.column.name) for c in found}
     without = [(n, c) for n, c in sources(nodes) if (n.id, c.name) not in have]
     by_id = {n.id: n for n in nodes}
-    covers: dict[tuple[str, str], list[str]] = {}
-    if not dialect.integer_ids:
-        for node, column, target in overlapping(counts, nodes, without, overlap):
-            covers.setdefault((node, column), []).append(target)
-    order = {n.id: k for k, n in enumerate(nodes)}
+    linkable = lambda c: (t := by_id[c.target]).key is not None and t.column(t.key).id_like
+    measurable = [c for c in found if linkable(c)]
+    # both are single jobs and neither needs the other
+    with ThreadPoolExecutor(2) as pool:
+        probing = pool.submit(overlapping, counts, nodes, [] if dialect.integer_ids else without, overlap)
+        rates = {id(c): r for c, r in zip(measurable, resolved(counts, nodes, measurable), strict=True)}
+        covers: dict[tuple[str, str], dict[str, int]] = {}
+        for node, column, target, matched in probing.result():
+            covers.setdefault((node, column), {})[target] = matched
     for n, c in without:
-        found += [Candidate(n, c, t, by_overlap=True) for t in sorted(covers.get((n.id, c.name), ()), key=order.get)]
+        for target in sorted(own := covers.get((n.id, c.name), {}), key=[n.id for n in nodes].index):
+            found.append(Candidate(n, c, target, by_overlap=True))
+            rates[id(found[-1])] = (own[target], c.filled)
     graph = Graph(nodes, profile=dialect.name)
 
     groups: dict[tuple[str, str], list[Candidate]] = {}
@@ -158,8 +165,8 @@ def infer(counts: DataFrame, nodes: list[Node], dialect: Dialect, min_confidence
         if (n.id, c.name) not in groups and not c.tokens:
             graph.unresolved.append(Unresolved(n.id, c.name, None, c.filled, "identifier-shaped column with no matching sheet"))
 
-    measured = [c for c in found if (t := by_id[c.target]).key is not None and t.column(t.key).id_like]
-    for c, (matched, total) in zip(measured, resolved(counts, nodes, measured), strict=True):
+    for c in (c for c in found if id(c) in rates):
+        matched, total = rates[id(c)]
         own = groups[c.node.id, c.column.name]
         several = sum(x.token is not None for x in own) > 1 or len(shared_tokens(c.column, least_share)) > 1 or (dialect.is_polymorphic(c.column.name) and len(own) > 1)
         suffix = dialect.reference_base(c.column.name) is not None

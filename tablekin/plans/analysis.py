@@ -7,9 +7,10 @@ one join. Between them only schema-sized rows come to the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
@@ -58,14 +59,27 @@ class ColumnFact:
     id_like: bool = False
 
 
+#: The first values of text columns, given which columns must be looked at in full (None: a first look at few rows).
+Sampler = Callable[[set[tuple[int, int]] | None], DataFrame]
+
+
+def sampled_signs(stats: Mapping[tuple[int, int], ColumnFact], samples: Sampler, first: list, dialect: Dialect, n: int) -> dict[tuple[int, int], Row]:
+    """The signs of each column's sample. Columns whose first look found too few values are looked at again in full."""
+    signs = {(r.part, r.col): r for r in first}
+    short = {k for k, f in stats.items() if f.type == "string" and (signs[k].found if k in signs else 0) < min(n, f.filled)}
+    if short:
+        signs |= {(r.part, r.col): r for r in profiling.sample_signs(samples(short), dialect).collect() if (r.part, r.col) in short}
+    return signs
+
+
 def profiled(
-    spark: SparkSession, parts: list[Part], raw: DataFrame, samples: Callable[[dict[tuple[int, int], int]], DataFrame], dialect: Dialect,
+    spark: SparkSession, parts: list[Part], raw: DataFrame, samples: Sampler, dialect: Dialect, sample: int,
     copies: Mapping[str, list[str]] = {}, numbers: DataFrame | None = None, kinds: Mapping[tuple[int, int], str] = {}, parse: bool = True,
 ) -> Profile:
     """Statistics, merged parts and keys.
 
-    raw: value_counts of text by part and column position, to be parsed or not. samples: the first values, given how many
-    values each column has. numbers: counts of fixed-width values, whose kinds are known from the frames.
+    raw: value_counts of text by part and column position, to be parsed or not. numbers: counts of fixed-width values,
+    whose kinds are known from the frames. The jobs on text, numbers and samples run side by side.
     """
     held = []
     if parse:
@@ -76,19 +90,28 @@ def profiled(
     else:
         counts = raw.select("part", "col", "value", "n", "length", F.lit("string").alias("type")).persist()
     held.append(counts)
-    filled = {(r.part, r.col): r.n for r in counts.where("type = 'string'").groupBy("part", "col").agg(F.sum("n").alias("n")).collect()}
-    stats = {(r.part, r.col): ColumnFact(r.type, r.filled, r.distinct, r.max_length, r.id_like) for r in profiling.column_stats(counts, samples(filled), dialect).collect()}
     values_ = counts.select("part", "col", "value", "n")
     own = {p.number: p for p in parts}
-    if numbers is not None:
-        numbers = numbers.persist()
-        held.append(numbers)
-        for r in profiling.number_stats(numbers).collect():
-            kind = kinds[r.part, r.col]
-            stats[r.part, r.col] = ColumnFact("int" if kind == "float" and r.all_whole else kind, r.filled, r.distinct, id_like=kind == "int" and r.col in own[r.part].integer_ids)
-        values_ = values_.union(cells.as_text(numbers))
-    for (part, col), r in stats.items():
-        r.id_like = r.id_like or (r.type == "int" and col in own[part].integer_ids)
+    with ThreadPoolExecutor(3) as pool:
+        looking = pool.submit(profiling.sample_signs(samples(None), dialect).collect)
+        texts = pool.submit(profiling.column_stats(counts).collect)
+        counted = []
+        if numbers is not None:
+            numbers = numbers.persist()
+            held.append(numbers)
+            values_ = values_.union(cells.as_text(numbers))
+            counted = profiling.number_stats(numbers).collect()
+        stats = {(r.part, r.col): ColumnFact(r.type, r.filled, r.distinct, r.longest if r.type == "string" else None) for r in texts.result()}
+        first = looking.result()
+    signs = sampled_signs(stats, samples, first, dialect, sample)
+    for k, f in stats.items():
+        if f.type == "string" and k in signs:
+            f.type, f.id_like = profiling.text_type(signs[k].id_share, signs[k].date_share, signs[k].time_share, dialect)
+    for r in counted:
+        kind = kinds[r.part, r.col]
+        stats[r.part, r.col] = ColumnFact("int" if kind == "float" and r.all_whole else kind, r.filled, r.distinct)
+    for (part, col), f in stats.items():
+        f.id_like = f.id_like or (f.type == "int" and col in own[part].integer_ids)
 
     def is_id(part: int, col: int) -> bool:
         return stats[part, col].id_like
@@ -100,9 +123,11 @@ def profiled(
     places = [(p.number, k, min(g, key=lambda q: q.source).node, name, is_id(p.number, k) if (p.number, k) in stats else False, len(g) > 1) for g in groups.values() for p in g for k, name in enumerate(p.header)]
     listed = spark.createDataFrame(places, "part int, col int, node string, column string, id boolean, split boolean")
     named = values_.join(F.broadcast(listed), ["part", "col"])
-    ids = named.where("id").groupBy("node", "column", "value").agg(F.sum("n").alias("n")).persist()
+    ids = named.where("id").select("node", "column", "value", "n")
     distinct: dict[str, dict[str, int]] = {}
-    if any(len(g) > 1 for g in groups.values()):
+    if any(len(g) > 1 for g in groups.values()):  # the same value may come in several parts
+        ids = ids.groupBy("node", "column", "value").agg(F.sum("n").alias("n")).persist()
+        held.append(ids)
         for r in named.where("split").groupBy("node", "column").agg(F.countDistinct("value").alias("d")).collect():
             distinct.setdefault(r.node, {})[r.column] = r.d
     tokens: dict[str, dict[str, list[tuple[str, int]]]] = {}
@@ -133,7 +158,7 @@ def profiled(
         for label in sorted({x for p in group for x in copies.get(norm_name(p.source), ())}):
             node.warnings.append(f"skipped {label}: an identical copy of another part")
         nodes.append(node)
-    return Profile(nodes, ids, [*held, ids])
+    return Profile(nodes, ids, held)
 
 
 def frame_parts(tables: Mapping[str, DataFrame | list[DataFrame]], dialect: Dialect) -> tuple[list[Part], list[DataFrame]]:
@@ -160,17 +185,12 @@ def profile_frames(spark: SparkSession, tables: Mapping[str, DataFrame | list[Da
     numbers = cells.counted_numbers(cells.union([cells.melted_numbers(f, p.number) for p, f in pairs]))
     kinds = {(p.number, k): cells.number_kind(c.dataType) for p, f in pairs for k, c in enumerate(f.schema.fields) if cells.is_number(c.dataType)}
 
-    def samples(filled: dict[tuple[int, int], int]) -> DataFrame:
-        head = cells.union([cells.first_values(f, p.number, sample, most_rows=2 * sample) for p, f in pairs]).persist()
-        found = {(r.part, r.col): r.n for r in head.groupBy("part", "col").agg(F.sum("times").alias("n")).collect()}
-        short = {k for k, n in filled.items() if found.get(k, 0) < min(n, sample)}
-        if not short:
-            return head
-        gaps = spark.createDataFrame(sorted(short), "part int, col int")
-        rest = [cells.first_values(f, p.number, sample, {c for q, c in short if q == p.number}) for p, f in pairs if any(q == p.number for q, _ in short)]
-        return cells.union([head.join(F.broadcast(gaps), ["part", "col"], "left_anti"), *rest])
+    def samples(short: set[tuple[int, int]] | None) -> DataFrame:
+        if short is None:
+            return cells.union([cells.first_values(f, p.number, sample, most_rows=2 * sample) for p, f in pairs])
+        return cells.union([cells.first_values(f, p.number, sample, {c for q, c in short if q == p.number}) for p, f in pairs if any(q == p.number for q, _ in short)])
 
-    return profiled(spark, parts, raw, samples, dialect, numbers=numbers, kinds=kinds, parse=parse_text)
+    return profiled(spark, parts, raw, samples, dialect, sample, numbers=numbers, kinds=kinds, parse=parse_text)
 
 
 def analyze(spark: SparkSession, tables: Mapping[str, DataFrame | list[DataFrame]], profile: str | Dialect = "generic", min_confidence: float = 0.5, overlap: float = 0.8, sample: int = 500, parse_text: bool = False) -> Graph:
@@ -226,6 +246,6 @@ def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect
     data = merged.where(~notes).join(F.broadcast(listed), ["member", "sheet"]).withColumn("col", F.col("col") - F.col("first"))
     raw = data.select("part", "col", "kind", "value", "n", "length")
     samples = data.where((F.col("times") > 0) & F.col("kind").isin("text", "str")).select("part", "col", "value", "times")
-    found = profiled(spark, parts, raw, lambda _: samples, dialect, copies)
+    found = profiled(spark, parts, raw, lambda _: samples, dialect, sample, copies)
     found.held.append(merged)
     return found

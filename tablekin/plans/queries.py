@@ -120,7 +120,7 @@ def overlap_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profile_frames(spark, org(spark, sf_dir), get("generic"))
     rows = relating.overlapping(found.ids, found.nodes, relating.sources(found.nodes), 0.8)
     found.release()
-    return spark.createDataFrame(rows, "from_node string, from_column string, to_node string")
+    return spark.createDataFrame([r[:3] for r in rows], "from_node string, from_column string, to_node string")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> list[relating.Candidate]:
