@@ -83,8 +83,8 @@ def counted(cells: DataFrame) -> DataFrame:
 def first_values(frame: DataFrame, part: int, n: int, columns: set[int] | None = None, most_rows: int | None = None) -> DataFrame:
     """part, col, value, times of the first n filled values of text columns (all, or the given ones), in row order.
 
-    With most_rows only so many rows are looked at, which is enough for most columns and sorts next to nothing. Without,
-    each task keeps its own first n per column before the shuffle (a window with a rank limit is planned so).
+    With most_rows only so many rows of each task are looked at, which is enough for most columns and sorts next to
+    nothing. Either way each task keeps its own first n per column before the shuffle (the window has a rank limit).
     """
     names = [(k, f) for k, f in enumerate(frame.schema.fields) if isinstance(f.dataType, T.StringType) and (columns is None or k in columns)]
     if not names:
@@ -92,7 +92,7 @@ def first_values(frame: DataFrame, part: int, n: int, columns: set[int] | None =
     structs = [F.struct(F.lit(k).alias("col"), values.compact(F.nullif(_named(f.name), F.lit(""))).alias("value")) for k, f in names]
     rows = frame.select(F.monotonically_increasing_id().alias("row"), *(_named(f.name) for _, f in names))
     if most_rows is not None:
-        rows = rows.where(F.col("row") < most_rows)
+        rows = rows.where(F.pmod(F.col("row"), F.lit(1 << 33)) < most_rows)  # the upper bits number the task
     cells = rows.select("row", F.explode(F.array(*structs)).alias("c")).where("c.value is not null").select("row", "c.*")
     ranked = cells.withColumn("r", F.row_number().over(W.partitionBy("col").orderBy("row"))).where(F.col("r") <= n)
     return ranked.groupBy(F.lit(part).alias("part"), "col", "value").agg(F.count("*").alias("times"))

@@ -18,7 +18,7 @@ from ..functions.dialects import Dialect, get
 from ..operators import cells, combining, profiling, relating
 from ..plans.model import Column, Graph, Node
 from ..sources.listing import Member, norm_name
-from ..sources.member_source import read_cells
+from ..sources.member_source import CHUNK, read_cells
 
 
 @dataclass
@@ -99,7 +99,8 @@ def profiled(
         if numbers is not None:
             numbers = numbers.persist()
             held.append(numbers)
-            values_ = values_.union(cells.as_text(numbers))
+            if dialect.integer_ids or len({p.node.lower() for p in parts}) < len(parts):
+                values_ = values_.union(cells.as_text(numbers))
             counted = profiling.number_stats(numbers).collect()
         stats = {(r.part, r.col): ColumnFact(r.type, r.filled, r.distinct, r.longest if r.type == "string" else None) for r in texts.result()}
         first = looking.result()
@@ -124,10 +125,13 @@ def profiled(
     listed = spark.createDataFrame(places, "part int, col int, node string, column string, id boolean, split boolean")
     named = values_.join(F.broadcast(listed), ["part", "col"])
     ids = named.where("id").select("node", "column", "value", "n")
+    split = any(len(g) > 1 for g in groups.values())
+    if split:  # the same value may come in several parts
+        ids = ids.groupBy("node", "column", "value").agg(F.sum("n").alias("n"))
+    ids = ids.persist()
+    held.append(ids)
     distinct: dict[str, dict[str, int]] = {}
-    if any(len(g) > 1 for g in groups.values()):  # the same value may come in several parts
-        ids = ids.groupBy("node", "column", "value").agg(F.sum("n").alias("n")).persist()
-        held.append(ids)
+    if split:
         for r in named.where("split").groupBy("node", "column").agg(F.countDistinct("value").alias("d")).collect():
             distinct.setdefault(r.node, {})[r.column] = r.d
     tokens: dict[str, dict[str, list[tuple[str, int]]]] = {}
@@ -202,13 +206,13 @@ def analyze(spark: SparkSession, tables: Mapping[str, DataFrame | list[DataFrame
     return graph
 
 
-def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect, copies: Mapping[str, list[str]] = {}, max_rows: int | None = None, sample: int = 500) -> Profile:
+def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect, copies: Mapping[str, list[str]] = {}, max_rows: int | None = None, sample: int = 500, chunk: int = CHUNK) -> Profile:
     """Profile the files of an export. Each is read once; cells are counted as they come."""
-    read = read_cells(spark, members, max_rows, sample)
+    read = read_cells(spark, members, max_rows, sample, chunk)
     value = values.compact(F.col("value"))
     notes = F.col("kind").isin("header", "rows", "trim", "error")
     merged = read.groupBy("member", "sheet", "col", F.when(notes, F.col("row")).alias("row"), F.col("kind"), F.when(notes, F.col("value")).otherwise(value).alias("value")).agg(
-        F.count("*").alias("n"), F.max(F.length("value")).alias("length"), F.sum(F.col("sampled").cast("long")).alias("times"), F.first("sheet_name", True).alias("sheet_name")
+        F.count("*").alias("n"), F.max(F.length("value")).alias("length"), F.sum((F.col("sampled") & ~F.col("later")).cast("long")).alias("times"), F.sum(F.col("sampled").cast("long")).alias("all_times"), F.first("sheet_name", True).alias("sheet_name")
     )
     merged = merged.persist()
     told = merged.where(F.col("kind").isin("header", "rows", "trim", "error")).collect()
@@ -222,7 +226,8 @@ def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect
         if r.kind == "header":
             headers.setdefault((r.member, r.sheet), {})[r.col] = r.value
         elif r.kind == "rows":
-            info[r.member, r.sheet] = (r.sheet_name, r.row)
+            name, rows = info.get((r.member, r.sheet), (r.sheet_name, 0))
+            info[r.member, r.sheet] = (name, rows + r.row * r.n)  # chunks of a file tell their own
         else:
             trims[r.member, r.sheet] = (r.col, r.row)
     parts, keys = [], []
@@ -245,7 +250,11 @@ def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect
     listed = spark.createDataFrame(keys, "member int, sheet int, part int, first int, last int")
     data = merged.where(~notes).join(F.broadcast(listed), ["member", "sheet"]).withColumn("col", F.col("col") - F.col("first"))
     raw = data.select("part", "col", "kind", "value", "n", "length")
-    samples = data.where((F.col("times") > 0) & F.col("kind").isin("text", "str")).select("part", "col", "value", "times")
-    found = profiled(spark, parts, raw, lambda _: samples, dialect, sample, copies)
+
+    def samples(short: set[tuple[int, int]] | None) -> DataFrame:
+        times = F.col("times" if short is None else "all_times")
+        return data.where((times > 0) & F.col("kind").isin("text", "str")).select("part", "col", "value", times.alias("times"))
+
+    found = profiled(spark, parts, raw, samples, dialect, sample, copies)
     found.held.append(merged)
     return found

@@ -1,6 +1,10 @@
-"""A Spark data source over the files of an export: one partition per file, cells as Arrow batches.
+"""A Spark data source over the files of an export: cells as Arrow batches, a partition for each file or chunk of one.
 
-Rows: member, sheet, sheet_name, col, row, kind, value, sampled. Besides cells there are notes: `header` (a column's name), `rows`
+Plain CSV and TSV files beyond CHUNK bytes are cut. A cut may fall inside quotes, so a first job counts each chunk's
+quotes; the parity of the count before a chunk tells the state in which it starts. (A lone quote inside an unquoted
+field would mislead this; such files are read right only when they are smaller than a chunk.)
+
+Rows: member, sheet, sheet_name, col, row, kind, value, sampled, later. later marks cells of chunks after the first. Besides cells there are notes: `header` (a column's name), `rows`
 (how many rows the sheet has, in row), `trim` (col: first column that is data, row: the one after the last) and
 `error` (what went wrong; the file's other rows then don't count). sampled marks a column's first values in row order.
 """
@@ -15,17 +19,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .listing import Member
-from .readers import read_member
+from .readers import Sheet, count_quotes, head_of_csv, read_csv_chunk, read_member
 
-SCHEMA = "member int, sheet int, sheet_name string, col int, row long, kind string, value string, sampled boolean"
-_ARROW = pa.schema([("member", pa.int32()), ("sheet", pa.int32()), ("sheet_name", pa.string()), ("col", pa.int32()), ("row", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("sampled", pa.bool_())])
+SCHEMA = "member int, sheet int, sheet_name string, col int, row long, kind string, value string, sampled boolean, later boolean"
+_ARROW = pa.schema([("member", pa.int32()), ("sheet", pa.int32()), ("sheet_name", pa.string()), ("col", pa.int32()), ("row", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("sampled", pa.bool_()), ("later", pa.bool_())])
+CHUNK = 128 << 20
 BATCH = 20_000
 
 
 class MemberPartition(InputPartition):
-    def __init__(self, number: int, path: str, chain: tuple[str, ...]):
+    def __init__(self, number: int, path: str, chain: tuple[str, ...], chunk: list | None = None):
         super().__init__(number)
-        self.number, self.path, self.chain = number, path, chain
+        self.number, self.path, self.chain, self.chunk = number, path, chain, chunk
+
+    def sheets(self, max_rows: int | None) -> Iterator[Sheet]:
+        if self.chunk is None:
+            return read_member(self.path, self.chain, max_rows)
+        return read_csv_chunk(self.path, *self.chunk)
+
+    @property
+    def later(self) -> bool:
+        return self.chunk is not None and not self.chunk[-1]
 
 
 class MemberReader(DataSourceReader):
@@ -35,11 +49,11 @@ class MemberReader(DataSourceReader):
         self.sample = int(options.get("sample") or 500)
 
     def partitions(self):
-        return [MemberPartition(n, path, tuple(chain)) for n, path, chain in self.members]
+        return [MemberPartition(n, path, tuple(chain), chunk) for n, path, chain, chunk in self.members]
 
     def read(self, partition: MemberPartition) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        n = partition.number
+        n, later = partition.number, partition.later
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -47,19 +61,20 @@ class MemberReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
         try:
-            for k, sheet in enumerate(read_member(partition.path, partition.chain, self.max_rows)):
-                rows += [(n, k, sheet.name, c, None, "header", name, False) for c, name in enumerate(sheet.header)]
+            for k, sheet in enumerate(partition.sheets(self.max_rows)):
+                if not later:
+                    rows += [(n, k, sheet.name, c, None, "header", name, False, False) for c, name in enumerate(sheet.header)]
                 met = [0] * len(sheet.header)
                 for c, row, kind, value in sheet.cells:
                     met[c] += 1
-                    rows.append((n, k, None, c, row, kind, value, met[c] <= self.sample))
+                    rows.append((n, k, None, c, row, kind, value, met[c] <= self.sample, later))
                     if len(rows) >= BATCH:
                         yield batch()
-                rows.append((n, k, sheet.name, None, sheet.rows, "rows", None, False))
+                rows.append((n, k, sheet.name, None, sheet.rows, "rows", None, False, later))
                 if sheet.last is not None:
-                    rows.append((n, k, sheet.name, sheet.first, sheet.last, "trim", None, False))
+                    rows.append((n, k, sheet.name, sheet.first, sheet.last, "trim", None, False, later))
         except Exception as e:  # one unreadable file must not end the run
-            rows.append((n, 0, None, None, None, "error", f"{type(e).__name__}: {e}", False))
+            rows.append((n, 0, None, None, None, "error", f"{type(e).__name__}: {e}", False, later))
         if rows:
             yield batch()
 
@@ -76,9 +91,43 @@ class MemberSource(DataSource):
         return MemberReader(self.options)
 
 
-def read_cells(spark: SparkSession, members: list[Member], max_rows: int | None = None, sample: int = 500) -> DataFrame:
+def chunks(spark: SparkSession, members: list[Member], chunk: int) -> dict[int, list[list]]:
+    """For each large plain text file its chunks: separator, header, start, end, quoted, first."""
+    cuts: list[tuple[int, str, int, int]] = []
+    heads = {}
+    for k, m in enumerate(members):
+        if m.chain or m.size <= chunk or not m.path.lower().endswith((".csv", ".tsv")):
+            continue
+        separator = "," if m.path.lower().endswith(".csv") else "\t"
+        if (head := head_of_csv(m.path, separator)) is not None:
+            heads[k] = (separator, *head)
+            bounds = [head[1], *range(head[1] + chunk, m.size, chunk), m.size]
+            cuts += [(k, m.path, a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+    if not cuts:
+        return {}
+
+    def quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, path, a, b = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(count_quotes, path, a, b), pa.int64())], names=["k", "start", "n"])
+
+    listed = spark.createDataFrame(cuts, "k int, path string, start long, end long").repartition(len(cuts))
+    counted = {(r.k, r.start): r.n for r in listed.mapInArrow(quotes, "k int, start long, n long").collect()}  # one row per chunk
+    out: dict[int, list[list]] = {}
+    open_ = 0
+    for k, _, a, b in cuts:
+        own = out.setdefault(k, [])
+        open_ = 0 if not own else open_
+        separator, header, _ = heads[k]
+        own.append([separator, header, a, b, bool(open_ & 1), not own])
+        open_ += counted[k, a]
+    return out
+
+
+def read_cells(spark: SparkSession, members: list[Member], max_rows: int | None = None, sample: int = 500, chunk: int = CHUNK) -> DataFrame:
     """The cells of all members, largest file first."""
     spark.dataSource.register(MemberSource)
+    cut = chunks(spark, members, chunk) if max_rows is None else {}
     order = sorted(enumerate(members), key=lambda x: -x[1].size)
-    listed = json.dumps([(k, m.path, m.chain) for k, m in order])
+    listed = json.dumps([(k, m.path, m.chain, c) for k, m in order for c in cut.get(k, [None])])
     return spark.read.format("tablekin_members").option("members", listed).option("maxRows", "" if max_rows is None else str(max_rows)).option("sample", str(sample)).load()

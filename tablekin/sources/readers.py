@@ -74,6 +74,79 @@ def read_csv(stream: io.BufferedIOBase, separator: str, stem: str, max_rows: int
     yield sheet
 
 
+def head_of_csv(path: str, separator: str) -> tuple[list[str], int] | None:
+    """The header of a plain file and where its first row starts; None if the file can't be cut at line feeds."""
+    with open(path, "rb") as f:
+        start = f.read(1 << 16)
+        if _encoding(start[:4]) not in ("utf-8", "utf-8-sig") or b"\n" not in start:
+            return None
+        f.seek(3 if start.startswith(b"\xef\xbb\xbf") else 0)
+        lines = _Lines(f, f.tell(), None)
+        for row in csv.reader(lines, delimiter=separator):
+            if row and row != [""]:
+                return column_names(row), lines.at
+    return None
+
+
+class _Lines:
+    """Text lines of a file up to the end of the last record that starts at or before `end`."""
+
+    def __init__(self, f: io.BufferedIOBase, at: int, end: int | None):
+        self.f, self.at, self.end, self.open = f, at, end, False
+
+    def __iter__(self) -> _Lines:
+        return self
+
+    def __next__(self) -> str:
+        if not self.open and self.end is not None and self.at > self.end:
+            raise StopIteration
+        line = self.f.readline()
+        if not line:
+            raise StopIteration
+        self.at += len(line)
+        self.open ^= bool(line.count(b'"') & 1)
+        return line.decode("utf-8", "replace")
+
+
+def count_quotes(path: str, start: int, end: int) -> int:
+    n = 0
+    with open(path, "rb") as f:
+        f.seek(start)
+        while start < end and (block := f.read(min(1 << 22, end - start))):
+            n += block.count(b'"')
+            start += len(block)
+    return n
+
+
+def read_csv_chunk(path: str, separator: str, header: list[str], start: int, end: int, quoted: bool, first: bool) -> Iterator[Sheet]:
+    """The records that start after `start` (for the first chunk: at it) and not after `end`.
+
+    quoted tells whether `start` lies inside quotes. The record that covers or begins at `start` belongs to the chunk before.
+    """
+    sheet = Sheet(path.replace("\\", "/").rsplit("/", 1)[-1].rpartition(".")[0], header if first else [""] * len(header), iter(()))
+
+    def cells() -> Iterator[Cell]:
+        with open(path, "rb") as f:
+            f.seek(start)
+            lines = _Lines(f, start, end)
+            if not first:
+                lines.open, lines.end = quoted, None
+                for _ in lines:
+                    if not lines.open:
+                        break
+                lines.end = end
+            for row in csv.reader(lines, delimiter=separator):
+                if not row or row == [""]:
+                    continue
+                for k, value in enumerate(row[: len(header)]):
+                    if value:
+                        yield k, sheet.rows, "text", value
+                sheet.rows += 1
+
+    sheet.cells = cells()
+    yield sheet
+
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Built-in number formats that show dates or times.

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 
 import pytest
@@ -171,6 +172,15 @@ def test_row_limit(spark, plain):
     assert {n.rows for n in nodes} == {5}
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 1000])
+def test_chunks_are_whole(spark, tmp_path, chunk):
+    rng = random.Random(chunk)
+    rows = [[str(k), rng.choice(["plain", 'a "quoted" word', "two\nlines\n", "", "comma, here", "é\U0001f600"]), "" if k < 30 else f"later{k}"] for k in range(120)]
+    (tmp_path / "T.csv").write_bytes(b"\xef\xbb\xbf" + as_csv(["N", "Text", "Late"], rows))
+    whole, cut = (facts(analyzed(spark, tmp_path, sample=20, chunk=c)[1]) for c in (10**9, chunk))
+    assert whole == cut and whole["T"][0] == 120
+
+
 def test_names():
     assert [listing.norm_name(x) for x in ("Account", " 'account.XLSX' ", "a\\b/Account.csv", "o.zip!x/Account.tsv")] == ["account"] * 4
     assert listing.default_stem(["WE_00D_1.ZIP", "WE_00D_2.ZIP"]) == "WE_00D"
@@ -255,3 +265,10 @@ def test_command_line_errors(spark, tmp_path, capsys):
 def test_diagrams_mangle_names():
     assert diagrams.ident("1 a-b") == "n_1_a_b" and diagrams.ident("") == "n_"
     assert json_graph.lean({"a": 0, "rows": 0, "b": [{"c": False}], "d": {}}) == {"rows": 0, "b": [{}]}
+
+
+def test_heartbeat(spark):
+    lines = []
+    with cli.Heartbeat(spark, lines.append, every=0.2):
+        spark.sparkContext.parallelize(range(8), 8).foreach(lambda _: __import__("time").sleep(0.3))
+    assert any(re.match(r"  \.\.\. \d+ of 8 tasks done in 0s", x) for x in lines)
