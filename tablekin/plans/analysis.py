@@ -97,9 +97,9 @@ def profiled(
         texts = pool.submit(profiling.column_stats(counts).collect)
         counted = []
         if numbers is not None:
-            numbers = numbers.persist()
-            held.append(numbers)
-            if dialect.integer_ids or len({p.node.lower() for p in parts}) < len(parts):
+            if dialect.integer_ids or len({p.node.lower() for p in parts}) < len(parts):  # else they are read once only
+                numbers = numbers.persist()
+                held.append(numbers)
                 values_ = values_.union(cells.as_text(numbers))
             counted = profiling.number_stats(numbers).collect()
         stats = {(r.part, r.col): ColumnFact(r.type, r.filled, r.distinct, r.longest if r.type == "string" else None) for r in texts.result()}
