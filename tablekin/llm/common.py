@@ -168,23 +168,29 @@ def _shrunk(edges: DataFrame) -> DataFrame:
     return arrow_map(edges.select("a", "b"), run, "a long, b long")
 
 
+def _joined(rows: DataFrame, written: DataFrame, on: str) -> DataFrame:
+    """An inner join to a written table with one row per key, by broadcast if it was counted and is small."""
+    return rows.join(F.broadcast(written) if count_upto(written, BROADCAST_ROWS) <= BROADCAST_ROWS else written, on)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node reached.
 
     Alternates the large-star and small-star steps of map-reduce component finding. A step is a minimum per node (with
     map-side combining) and a join back, so a hub's edges are never gathered in one task: the minimum is combined
-    before the shuffle and the join's large partitions can be split. Each round is written to the shared folder.
+    before the shuffle, and the join back is by broadcast for few nodes, or else of two written tables, whose large
+    partitions Spark can split. Each step is written to the shared folder.
     Self loops are ignored; nodes without edges don't appear.
     """
     state = stored(_shrunk(edges.where("a <> b and a is not null and b is not null")).where("a <> b").distinct())
     before = None
     for _ in range(most_rounds):
         both = state.select("a", "b").union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = _joined(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        low = stored(down.groupBy("a").agg(F.min("b").alias("m")))
+        small = _joined(down, low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         state = stored(small)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if now[0] == now[2] and before == tuple(now):
