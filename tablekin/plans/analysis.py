@@ -212,7 +212,7 @@ def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect
     value = values.compact(F.col("value"))
     notes = F.col("kind").isin("header", "rows", "trim", "error")
     merged = read.groupBy("member", "sheet", "col", F.when(notes, F.col("row")).alias("row"), F.col("kind"), F.when(notes, F.col("value")).otherwise(value).alias("value")).agg(
-        F.count("*").alias("n"), F.max(F.length("value")).alias("length"), F.sum((F.col("sampled") & ~F.col("later")).cast("long")).alias("times"), F.sum(F.col("sampled").cast("long")).alias("all_times"), F.first("sheet_name", True).alias("sheet_name")
+        F.sum("n").alias("n"), F.max(F.length("value")).alias("length"), F.sum(F.when(F.col("later"), 0).otherwise(F.col("times"))).alias("times"), F.sum("times").alias("all_times"), F.first("sheet_name", True).alias("sheet_name")
     )
     merged = merged.persist()
     told = merged.where(F.col("kind").isin("header", "rows", "trim", "error")).collect()

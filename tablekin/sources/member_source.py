@@ -4,9 +4,11 @@ Plain CSV and TSV files beyond CHUNK bytes are cut. A cut may fall inside quotes
 quotes; the parity of the count before a chunk tells the state in which it starts. (A lone quote inside an unquoted
 field would mislead this; such files are read right only when they are smaller than a chunk.)
 
-Rows: member, sheet, sheet_name, col, row, kind, value, sampled, later. later marks cells of chunks after the first. Besides cells there are notes: `header` (a column's name), `rows`
-(how many rows the sheet has, in row), `trim` (col: first column that is data, row: the one after the last) and
-`error` (what went wrong; the file's other rows then don't count). sampled marks a column's first values in row order.
+Rows: member, sheet, sheet_name, col, row, kind, value, n, times, later. The reader counts equal values itself, as far as
+its memory allows: n rows hold the value, and times of them are among the column's first values in row order. later
+marks chunks after the first. Besides values there are notes: `header` (a column's name), `rows` (how many rows the
+sheet has, in row), `trim` (col: first column that is data, row: the one after the last) and `error` (what went wrong;
+the file's other rows then don't count).
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .listing import Member
 from .readers import Sheet, count_quotes, head_of_csv, read_csv_chunk, read_member
 
-SCHEMA = "member int, sheet int, sheet_name string, col int, row long, kind string, value string, sampled boolean, later boolean"
-_ARROW = pa.schema([("member", pa.int32()), ("sheet", pa.int32()), ("sheet_name", pa.string()), ("col", pa.int32()), ("row", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("sampled", pa.bool_()), ("later", pa.bool_())])
+SCHEMA = "member int, sheet int, sheet_name string, col int, row long, kind string, value string, n long, times long, later boolean"
+_ARROW = pa.schema([("member", pa.int32()), ("sheet", pa.int32()), ("sheet_name", pa.string()), ("col", pa.int32()), ("row", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("n", pa.int64()), ("times", pa.int64()), ("later", pa.bool_())])
 CHUNK = 128 << 20
-BATCH = 20_000
+#: Different values that a reader holds before it passes them on.
+HELD = 200_000
 
 
 class MemberPartition(InputPartition):
@@ -52,31 +55,51 @@ class MemberReader(DataSourceReader):
         return [MemberPartition(n, path, tuple(chain), chunk) for n, path, chain, chunk in self.members]
 
     def read(self, partition: MemberPartition) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        n, later = partition.number, partition.later
+        member, later = partition.number, partition.later
 
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+        def batch(rows: int, **columns: object) -> pa.RecordBatch:
+            """Lists as they are, single values repeated."""
+            given = {"member": member, "later": later, "n": 1, "times": 0} | columns
+            arrays = [pa.array(v if isinstance(v := given.get(f.name), list) else [v] * rows, f.type) for f in _ARROW]
+            return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
         try:
             for k, sheet in enumerate(partition.sheets(self.max_rows)):
-                if not later:
-                    rows += [(n, k, sheet.name, c, None, "header", name, False, False) for c, name in enumerate(sheet.header)]
-                met = [0] * len(sheet.header)
-                for c, row, kind, value in sheet.cells:
-                    met[c] += 1
-                    rows.append((n, k, None, c, row, kind, value, met[c] <= self.sample, later))
-                    if len(rows) >= BATCH:
-                        yield batch()
-                rows.append((n, k, sheet.name, None, sheet.rows, "rows", None, False, later))
+                width = len(sheet.header)
+                if width and not later:
+                    yield batch(width, sheet=k, sheet_name=sheet.name, col=list(range(width)), kind="header", value=sheet.header)
+                counts: dict[tuple[int, str], dict[str, int]] = {}
+                first: dict[tuple[int, str], dict[str, int]] = {}
+                met, held = [0] * width, 0
+
+                def flush(k: int = k, counts: dict = counts, first: dict = first) -> Iterator[pa.RecordBatch]:
+                    for key, found in counts.items():
+                        early = first.get(key)
+                        times = [early.get(v, 0) for v in found] if early else 0
+                        yield batch(len(found), sheet=k, col=key[0], kind=key[1], value=list(found), n=list(found.values()), times=times)
+                    counts.clear()
+                    first.clear()
+
+                for c, _, kind, value in sheet.cells:
+                    own = counts.setdefault((c, kind), {})
+                    if (n := own.get(value)) is None:
+                        own[value] = 1
+                        held += 1
+                    else:
+                        own[value] = n + 1
+                    if met[c] < self.sample:
+                        met[c] += 1
+                        early = first.setdefault((c, kind), {})
+                        early[value] = early.get(value, 0) + 1
+                    if held >= HELD:
+                        yield from flush()
+                        held = 0
+                yield from flush()
+                yield batch(1, sheet=k, sheet_name=sheet.name, row=sheet.rows, kind="rows")
                 if sheet.last is not None:
-                    rows.append((n, k, sheet.name, sheet.first, sheet.last, "trim", None, False, later))
+                    yield batch(1, sheet=k, sheet_name=sheet.name, col=sheet.first, row=sheet.last, kind="trim")
         except Exception as e:  # one unreadable file must not end the run
-            rows.append((n, 0, None, None, None, "error", f"{type(e).__name__}: {e}", False, later))
-        if rows:
-            yield batch()
+            yield batch(1, sheet=0, kind="error", value=f"{type(e).__name__}: {e}")
 
 
 class MemberSource(DataSource):
