@@ -29,8 +29,8 @@ from .common import arrow_map, components, local_forest, lookup_join, stored, ta
 
 COSINE = 0.9
 #: One pivot for so many vectors, up to a fixed number of pivots.
-PER_PIVOT, MOST_PIVOTS = 1024, 1024
-CHUNK = 1024
+PER_PIVOT, MOST_PIVOTS = 2048, 1024
+CHUNK = 2048
 MARGIN = 1e-5
 
 
