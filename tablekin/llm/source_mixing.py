@@ -10,7 +10,7 @@ sources; the rates then depend on sizes only).
 
 Defined cases: documents without a source form a source of their own; a source with no given weight has weight 0 and
 is left out; a null or empty text is mixed like any other; rows with equal ids get equal counts; an empty table gives
-an empty result; other columns are carried along by `mixed` and left out of the query.
+an empty result; other columns are carried along by `mixed`, and written but not returned by the query.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, table
+from .common import lookup_join, stored, table
 
 ALPHA = 0.5
 SEED = 6
@@ -100,9 +100,14 @@ def source_mixing(documents: DataFrame, weights: Mapping[str | None, float] | No
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, copy, n_copies of every copy in the mixed corpus, and its place in the global order."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_text"))
-    return shuffled(mixed(rows)).select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.col("_n_copies").cast("long").alias("n_copies"), F.col("_place").alias("place"), "n_text")
+    """doc_id, source, copy, n_copies of every copy in the mixed corpus, its place in the global order and its text's length.
+
+    The corpus itself is written in its order with all columns of documents; the rows returned are read from it.
+    """
+    corpus = stored(shuffled(mixed(table(spark, sf_dir, "documents"))))
+    n_text = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_text")
+    rows = shuffled(corpus.select("doc_id", "source", "_copy", "_n_copies", "_place", n_text))
+    return rows.select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.col("_n_copies").cast("long").alias("n_copies"), F.col("_place").alias("place"), "n_text")
 
 
 SQL = f"""

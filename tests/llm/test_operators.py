@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tablekin.llm import embedding_dedup, html_extraction, jaccard_join, packing, quality_rules, secret_scan, shingles, source_mixing, token_output, tokens, toxicity
 from tablekin.llm.common import components, local_forest, shared_folder
+from tablekin.llm.common import stored as shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -237,6 +238,17 @@ def test_poisson_function(spark):
         assert np.allclose(got, np.cumsum(np.exp(log)), atol=1e-9) and got[-1] > 1 - 1e-9
 
 
+def test_the_query_mixes_whole_documents(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(source_mixing, "stored", lambda df: written.append(shared(df)) or written[0])
+    rows = source_mixing.op6_source_mixing(spark, SF).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    copies = {r.doc_id: r.n_copies for r in rows}
+    want = Counter({tuple(docs[k]): n for k, n in copies.items()})
+    assert Counter(tuple(r) for r in written[0].select("doc_id", "text", "lang", "source", "n_chars").collect()) == want
+    assert all(r.n_text == len(docs[r.doc_id].text) for r in rows)
+
+
 # 7: secrets
 
 KEY = "password = hunter2hunter2"
