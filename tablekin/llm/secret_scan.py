@@ -6,8 +6,8 @@ mapped back to the span of the original text it came from. Layers already seen i
 chain of decodings ends at its fixpoint.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each; an empty table gives an
-empty result; further columns are ignored. A compressed stream is opened in full up to MOST_INFLATED bytes; a larger
-one (a decompression bomb) is scanned in overlapping windows while it streams, so nothing of it is held or skipped.
+empty result; further columns are ignored. A compressed stream is read in overlapping windows, each unwrapped and
+scanned like any layer, whatever its bytes; the overlap holds any encoded run of up to LONGEST bytes.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ import binascii
 import bisect
 import hashlib
 import html
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import SLICE, arrow_map, map_batches, table
 
 KINDS = ("assign", "access", "hex")
-MOST_INFLATED = 8 << 20
+#: Bytes of a compressed stream handled at a time, the least overlap of two windows, and the most.
+PIECE, OVERLAP, LONGEST = 8 << 20, 4096, 16 << 20
+_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.%\\&#;{}\r\n"
 #: The contract's patterns with its least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -115,31 +118,62 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _inflated(raw: bytes) -> tuple[list[bytes], bool] | None:
-    """The windows of a gzip or zlib stream and whether it is whole in one window; None if raw is neither."""
-    if not (raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None
-    stream, out = zlib.decompressobj(47), b""
+def _text(raw: bytes) -> str:
+    """Bytes as text whatever they are: UTF-8, or else one character a byte, which keeps all ASCII in place."""
     try:
-        out = stream.decompress(raw, MOST_INFLATED)
-    except zlib.error:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0
+
+
+def _stream(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The inflated bytes of a gzip or zlib stream, at most PIECE at a time."""
+    stream = zlib.decompressobj(47)
+    for rest in chunks:
+        while True:
+            try:
+                out = stream.decompress(rest, PIECE)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            rest = stream.unconsumed_tail
+            if stream.eof:
+                return
+            if not rest and len(out) < PIECE:
+                break
+
+
+def _inflated(raw: bytes) -> Iterator[bytes] | None:
+    """The bytes of a gzip or zlib stream piece by piece; None if raw is neither."""
+    if not _packed(raw):
         return None
-    return ([out], True) if not stream.unconsumed_tail else ([out], False)
-
-
-def _streamed(raw: bytes) -> set[str]:
-    """The kinds found in a stream too large to hold, window by window with an overlap."""
-    stream, tail, found, rest = zlib.decompressobj(47), b"", set(), raw
-    while rest or tail:
-        try:
-            new = stream.decompress(rest, MOST_INFLATED)
-        except zlib.error:
-            break
-        found |= {k for k, _, _ in scan((tail + new).decode("utf-8", "replace"))}
-        tail, rest = new[-4096:], stream.unconsumed_tail
-        if not new:
-            break
-    return found
+    pieces = _stream([raw])
+    first = next(pieces, None)
+    return None if first is None else itertools.chain([first], pieces)
+
+
+def _windows(pieces: Iterable[bytes]) -> Iterator[str]:
+    """Pieces as texts of at least PIECE bytes, each of which begins with the end of the one before.
+
+    The overlap goes back to the last byte that ends any encoded run or secret, so that none is cut, LONGEST bytes at most.
+    """
+    held, new = b"", False
+    for piece in pieces:
+        held, new = held + piece, True
+        if len(held) < PIECE:
+            continue
+        run = len(held) - len(held.rstrip(_RUN))
+        if run == len(held) < LONGEST:
+            continue
+        yield _text(held)
+        held, new = held[-max(OVERLAP, run if run < LONGEST else 0) :], False
+    if new:
+        yield _text(held)
 
 
 def _base64_bytes(run: str) -> bytes | None:
@@ -153,9 +187,9 @@ def _base64_bytes(run: str) -> bytes | None:
         return None
 
 
-def unwrap(layer: Layer) -> tuple[list[Layer], list[tuple[str, int, int]]]:
-    """The layers directly below this one, and hits of streams too large to become a layer."""
-    text, below, direct = layer.text, [], []
+def unwrap(layer: Layer) -> Iterator[Layer]:
+    """The layers directly below this one, one at a time, so that windows of a large stream are not held together."""
+    text = layer.text
     if "%" in text:
         edits = []
         for m in _PERCENT_ONE.finditer(text):
@@ -163,31 +197,25 @@ def unwrap(layer: Layer) -> tuple[list[Layer], list[tuple[str, int, int]]]:
             if plain is not None:
                 edits.append((m.start(), m.end(), plain))
         if edits:
-            below.append(layer.rewritten(edits))
+            yield layer.rewritten(edits)
     if "\\" in text or "&" in text:
         edits = [(m.start(), m.end(), c) for m in _ESCAPE.finditer(text) if (c := _char(m)) is not None]
         if edits:
-            below.append(layer.rewritten(edits))
+            yield layer.rewritten(edits)
     for m in _BASE64.finditer(text):
         raw = _base64_bytes(m.group())
         if raw is None:
             continue
-        packed = _inflated(raw)
-        if packed is not None:
-            windows, whole = packed
-            if whole:
-                if (plain := _readable(windows[0])) is not None:
-                    below.append(layer.part(m.start(), m.end(), plain))
-            else:
-                direct += [(k, *layer.span(m.start(), m.end())) for k in _streamed(raw)]
+        if (pieces := _inflated(raw)) is not None:
+            for plain in _windows(pieces):
+                yield layer.part(m.start(), m.end(), plain)
         elif (plain := _readable(raw)) is not None:
-            below.append(_base64_layer(layer, m.start(), plain, raw))
-    return below, direct
+            yield _base64_layer(layer, m.start(), plain, raw)
 
 
 def _base64_layer(layer: Layer, at: int, plain: str, raw: bytes) -> Layer:
     """Text decoded from a base64 run, each character mapped to the base64 characters that hold its bytes."""
-    if len(plain) != len(raw):
+    if len(plain) != len(raw) or len(layer.cuts) == 1 and not layer.cuts[0][3]:
         return layer.part(at, at + (len(raw) * 4 + 2) // 3, plain)
     cuts = []
     for k in range(len(raw)):
@@ -200,18 +228,18 @@ def secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[st
     text = text or ""
     base = scan(text)
     found, seen = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = [Layer(text, [(0, 0, len(text), 1)])]
+    work = [unwrap(Layer(text, [(0, 0, len(text), 1)]))]
     while work:
-        layers, direct = unwrap(work.pop())
-        found.update(direct)
-        for layer in layers:
-            where = layer.cuts[0][1], layer.cuts[-1][2]
-            key = hashlib.blake2b(f"{where}:{layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            found.update((kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
-            work.append(layer)
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        where = layer.cuts[0][1], layer.cuts[-1][2]
+        key = hashlib.blake2b(f"{where}:{layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        found.update((kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
+        work.append(unwrap(layer))
     return base, sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

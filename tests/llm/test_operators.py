@@ -276,6 +276,13 @@ def test_nested_layers(wrapped, span):
     assert "hunter2" not in secret_scan.secrets(text)[1]
 
 
+@pytest.mark.parametrize("size", [100, 9 << 20])
+@pytest.mark.parametrize("inner", [urllib.parse.quote(KEY, safe=""), base64.b64encode(gzip.compress(KEY.encode())).decode()])
+def test_size_of_a_stream_decides_nothing(size, inner):
+    stream = base64.b64encode(gzip.compress(b"caf\xe9 " + b"z " * (size // 2) + inner.encode() + b" z" * 50)).decode()
+    assert ("assign", 2, 2 + len(stream.rstrip("="))) in [(k, a, min(b, 2 + len(stream.rstrip("=")))) for k, a, b in secret_scan.secrets("a " + stream)[1]]
+
+
 def test_base_patterns():
     text = "ApiKey: 'abcdefghijkl' token=short AKIA" + "A" * 14 + " " + "AKIA" + "B" * 13 + " " + "0123456789abcdef" + " " + "f" * 15
     base, spans = secret_scan.secrets(text)
