@@ -19,6 +19,7 @@ import hashlib
 import html
 import itertools
 import re
+import urllib.parse
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -41,6 +42,9 @@ _WORDS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:[A-Za-z0-9_.~+/=&?:;,@!$'()*-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9_.~+/=&?:;,@!$'()*-]*")
 _PERCENT_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|&(?:quot|apos|amp|lt|gt|equals|colon);")
+#: Compressed bytes as percent escapes (other characters standing for themselves), and as characters.
+_PERCENT_PACKED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:%78|x)(?:%01|%5[Ee]|%9[Cc]|%[Dd][Aa]|\^%))[!-~]*")
+_RAW_PACKED, _BYTES = re.compile(r"\x1f\x8b|x[\x01\x9c\xda]"), re.compile(r"[\x00-\xff]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 
@@ -104,7 +108,7 @@ def _char(m: re.Match) -> str | None:
     for group, base in ((1, 16), (2, 16), (3, 16), (4, 16), (5, 10)):
         if m.group(group):
             code = int(m.group(group), base)
-            return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+            return chr(code) if (group == 3 or code) and code < 0x110000 and not 0xD800 <= code < 0xE000 else None
     return html.unescape(m.group())
 
 
@@ -131,10 +135,20 @@ def _packed(raw: bytes) -> bool:
 
 
 def _stream(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The inflated bytes of a gzip or zlib stream, at most PIECE at a time."""
-    stream = zlib.decompressobj(47)
-    for rest in chunks:
+    """The inflated bytes of a gzip or zlib stream and of all members after it, at most PIECE at a time."""
+    stream, held = zlib.decompressobj(47), b""
+    for chunk in chunks:
+        rest = held + chunk
+        held = b""
         while True:
+            if stream is None:
+                rest = rest.lstrip(b"\0")  # padding between members
+                if len(rest) < 3:
+                    held = rest
+                    break
+                if not _packed(rest):
+                    return
+                stream = zlib.decompressobj(47)
             try:
                 out = stream.decompress(rest, PIECE)
             except zlib.error:
@@ -143,18 +157,49 @@ def _stream(chunks: Iterable[bytes]) -> Iterator[bytes]:
                 yield out
             rest = stream.unconsumed_tail
             if stream.eof:
-                return
-            if not rest and len(out) < PIECE:
+                stream, rest = None, stream.unused_data
+            elif not rest and len(out) < PIECE:
                 break
 
 
 def _inflated(raw: bytes) -> Iterator[bytes] | None:
-    """The bytes of a gzip or zlib stream piece by piece; None if raw is neither."""
-    if not _packed(raw):
-        return None
-    pieces = _stream([raw])
-    first = next(pieces, None)
-    return None if first is None else itertools.chain([first], pieces)
+    """The bytes below all compressed layers of raw, piece by piece; None if raw is not compressed."""
+    first, pieces, seen = raw, iter(()), set()
+    while _packed(first) and (key := hashlib.blake2b(first).digest()) not in seen:  # a stream may inflate to itself
+        below = _stream(itertools.chain([first], pieces))
+        if (new := next(below, None)) is None:
+            break
+        seen.add(key)
+        first, pieces = new, below
+    return itertools.chain([first], pieces) if seen else None
+
+
+def _packed_parts(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of compressed streams that stand in a text as characters."""
+    at = 0
+    while m := _RAW_PACKED.search(text, at):
+        at = m.start() + 1
+        try:
+            zlib.decompressobj(47).decompress(text[m.start() : m.start() + 64].encode("latin-1", "replace"), 1)
+            raw = _BYTES.match(text, m.start()).group().encode("latin-1")
+            stream, rest = zlib.decompressobj(47), raw
+            while rest and not stream.eof:
+                stream.decompress(rest, PIECE)
+                rest = stream.unconsumed_tail
+        except zlib.error:
+            continue
+        end = m.start() + len(raw) - len(stream.unused_data)
+        while end < m.start() + len(raw) and _packed(more := raw[end - m.start() :]):
+            stream = zlib.decompressobj(47)
+            try:
+                while more and not stream.eof:
+                    stream.decompress(more, PIECE)
+                    more = stream.unconsumed_tail
+            except zlib.error:
+                break
+            end = m.start() + len(raw) - len(stream.unused_data)
+        yield m.start(), end, raw[: end - m.start()]
+        at = end
 
 
 def _windows(pieces: Iterable[bytes]) -> Iterator[str]:
@@ -193,15 +238,18 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     if "%" in text:
         edits = []
         for m in _PERCENT_ONE.finditer(text):
-            plain = _readable(binascii.unhexlify(m.group().replace("%", "")))
-            if plain is not None:
-                edits.append((m.start(), m.end(), plain))
+            edits.append((m.start(), m.end(), _text(binascii.unhexlify(m.group().replace("%", "")))))
         if edits:
             yield layer.rewritten(edits)
     if "\\" in text or "&" in text:
         edits = [(m.start(), m.end(), c) for m in _ESCAPE.finditer(text) if (c := _char(m)) is not None]
         if edits:
             yield layer.rewritten(edits)
+    packed = [(m.start(), m.end(), urllib.parse.unquote_to_bytes(m.group())) for m in _PERCENT_PACKED.finditer(text)]
+    for start, end, raw in itertools.chain(packed, _packed_parts(text)):
+        if (pieces := _inflated(raw)) is not None:
+            for plain in _windows(pieces):
+                yield layer.part(start, end, plain)
     for m in _BASE64.finditer(text):
         raw = _base64_bytes(m.group())
         if raw is None:

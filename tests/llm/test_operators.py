@@ -283,6 +283,23 @@ def test_size_of_a_stream_decides_nothing(size, inner):
     assert ("assign", 2, 2 + len(stream.rstrip("="))) in [(k, a, min(b, 2 + len(stream.rstrip("=")))) for k, a, b in secret_scan.secrets("a " + stream)[1]]
 
 
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        base64.b64encode(gzip.compress(gzip.compress(KEY.encode()))).decode(),
+        base64.b64encode(gzip.compress(zlib.compress(gzip.compress(KEY.encode())))).decode(),
+        base64.b64encode(gzip.compress(b"first") + gzip.compress(KEY.encode())).decode(),
+        urllib.parse.quote(gzip.compress(KEY.encode()), safe=""),
+        urllib.parse.quote(zlib.compress(KEY.encode()), safe=""),
+        "".join(f"\\x{b:02x}" for b in gzip.compress(KEY.encode())),
+    ],
+)
+def test_compressed_below_compressed_or_escaped(wrapped):
+    text = "héllo " + wrapped + " bye"
+    found = [(a, b) for k, a, b in secret_scan.secrets(text)[1] if k == "assign"]
+    assert found and all(6 <= a < b <= 6 + len(wrapped) for a, b in found)
+
+
 def test_base_patterns():
     text = "ApiKey: 'abcdefghijkl' token=short AKIA" + "A" * 14 + " " + "AKIA" + "B" * 13 + " " + "0123456789abcdef" + " " + "f" * 15
     base, spans = secret_scan.secrets(text)
