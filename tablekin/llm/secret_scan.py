@@ -46,6 +46,11 @@ _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-F
 _PERCENT_PACKED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:%78|x)(?:%01|%5[Ee]|%9[Cc]|%[Dd][Aa]|\^%))[!-~]*")
 _RAW_PACKED, _BYTES = re.compile(r"\x1f\x8b|x[\x01\x9c\xda]"), re.compile(r"[\x00-\xff]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run and the lines after it that are base64 throughout; the last may have text after a blank.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++(?![^\s=\"'<,;)]))+={0,2}")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+#: What a decoded text must hold to be worth unwrapping.
+_DEEPER = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux]|&[#a-z]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]\r?\n|\x1f\x8b|x[\x01\x9c\xda]")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -221,15 +226,10 @@ def _windows(pieces: Iterable[bytes]) -> Iterator[str]:
         yield _text(held)
 
 
-def _base64_bytes(run: str) -> bytes | None:
+def _base64_bytes(run: str) -> bytes:
     core = run.rstrip("=")
-    if len(core) % 4 == 1:
-        return None
-    padded = core + "=" * (-len(core) % 4)
-    try:
-        return base64.b64decode(padded.replace("-", "+").replace("_", "/"), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+    core = core[: len(core) - (len(core) % 4 == 1)]
+    return base64.b64decode((core + "=" * (-len(core) % 4)).replace("-", "+").replace("_", "/"))
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -251,14 +251,27 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
             for plain in _windows(pieces):
                 yield layer.part(start, end, plain)
     for m in _BASE64.finditer(text):
-        raw = _base64_bytes(m.group())
-        if raw is None:
-            continue
+        yield from _decoded(layer, m)
+    if "\n" in text and (edits := [(b.start(), b.end(), "") for m in _WRAPPED.finditer(text) for b in _BREAK.finditer(text, m.start(), m.end())]):
+        lines = layer.rewritten(edits)  # only for decoding: as text, the joined lines were never there
+        for m in _BASE64.finditer(lines.text):
+            yield from _decoded(lines, m)
+
+
+def _decoded(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """The layers below a base64 run; where it is not readable from its start, of all four alignments, as a word or path may stand before it."""
+    for shift in range(4):
+        raw = _base64_bytes(m.group()[shift:])
         if (pieces := _inflated(raw)) is not None:
             for plain in _windows(pieces):
                 yield layer.part(m.start(), m.end(), plain)
-        elif (plain := _readable(raw)) is not None:
-            yield _base64_layer(layer, m.start(), plain, raw)
+            return
+        readable = _readable(raw) if not shift else None
+        plain = _text(raw) if readable is None else readable
+        if scan(plain) or _DEEPER.search(plain):
+            yield _base64_layer(layer, m.start() + shift, plain, raw)
+        if readable is not None:
+            return
 
 
 def _base64_layer(layer: Layer, at: int, plain: str, raw: bytes) -> Layer:

@@ -300,6 +300,28 @@ def test_compressed_below_compressed_or_escaped(wrapped):
     assert found and all(6 <= a < b <= 6 + len(wrapped) for a, b in found)
 
 
+BODY = ("x y " * 40 + KEY + " z" * 60).encode()
+LINES = random.Random(2).randbytes(150).hex(" ").encode() + b" " + KEY.encode()
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        *(base64.encodebytes(b"z " * k + KEY.encode() + b" z" * 60).decode().strip() for k in (15, 18, 21, 24)),
+        base64.encodebytes(gzip.compress(LINES)).decode().strip(),
+        base64.encodebytes(BODY).decode().strip().replace("\n", "\r\n"),
+        *("y/-_"[:k] + "key"[: 4 - k] + "/" + base64.b64encode(BODY).decode() for k in (1, 2, 3)),
+        "blob-" + base64.b64encode(gzip.compress(LINES)).decode(),
+        "key_" + base64.b64encode(KEY.encode()).decode().rstrip("=") + "/abc",
+        base64.b64encode(BODY + b"zz").decode().rstrip("=") + "AAAAA",
+    ],
+)
+def test_base64_lines_and_alignments(wrapped):
+    text = "héllo " + wrapped + " bye"
+    found = [(a, b) for k, a, b in secret_scan.secrets(text)[1] if k == "assign"]
+    assert found and all(6 <= a < b <= 6 + len(wrapped) for a, b in found)
+
+
 def test_base_patterns():
     text = "ApiKey: 'abcdefghijkl' token=short AKIA" + "A" * 14 + " " + "AKIA" + "B" * 13 + " " + "0123456789abcdef" + " " + "f" * 15
     base, spans = secret_scan.secrets(text)
