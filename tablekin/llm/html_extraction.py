@@ -3,7 +3,7 @@
 A tree builder accepts tag soup: missing start and end tags are implied (paragraphs, list items, table parts, head and
 body), stray end tags are dropped, open elements are closed at the end. Visibility rules then decide what a reader
 would see (script, style and the head are not shown, nor elements hidden by attribute, by inline style or by a simple
-rule of the page's own style sheets, nor the body of closed details), and a renderer walks the tree: blocks are put
+rule of the page's own style sheets that holds on a screen and is not overruled, nor the body of closed details), and a renderer walks the tree: blocks are put
 on lines of their own, paragraphs are spaced, list items get bullets or numbers and indents, table cells are aligned
 in columns, preformatted text keeps its white space. Both passes keep their own stacks, so depth of nesting is no limit.
 
@@ -24,6 +24,8 @@ from .common import map_batches, table
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math audio video canvas meta link base colgroup col option textarea".split())
+#: Elements whose content is not part of the page, so that style sheets in them don't count.
+UNREAD = ("noscript", "template", "iframe", "object", "audio", "video", "canvas")
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table ul caption tr thead tbody tfoot td th".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu fieldset".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "legend", "li", "dd", "dt", "optgroup"}
@@ -43,9 +45,12 @@ IMPLIED_END = {
 }
 WIDEST_PAD = 60
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
-_SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?$", re.IGNORECASE)
+_CSS = re.compile(r"""[{};]|"[^"]*"|'[^']*'|[^{};"']+|["']""")
+_SHOWS = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.IGNORECASE)
+_SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*|)((?:[.#][\w-]+)*)", re.IGNORECASE)
+#: The screen that media queries are put to, in pixels, and the rank of inline styles among specificities.
+SCREEN = {"width": 1280, "height": 800}
+INLINE = 1 << 30
 
 
 @dataclass(slots=True)
@@ -61,7 +66,7 @@ class TreeBuilder(HTMLParser):
         self.root = Node("html", {})
         self.open = [self.root]
         self.counts = {"html": 1}
-        self.styles: list[str] = []
+        self.sheets: list[Node] = []
 
     def _pop(self) -> None:
         self.counts[self.open.pop().tag] -= 1
@@ -82,6 +87,8 @@ class TreeBuilder(HTMLParser):
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        if tag == "style" and on_screen(attrs.get("media", "")) and attrs.get("type", "").lower() in ("", "text/css") and not any(self.counts.get(t) for t in UNREAD):
+            self.sheets.append(node)
         if tag not in VOID:
             self.open.append(node)
             self.counts[tag] = self.counts.get(tag, 0) + 1
@@ -129,35 +136,126 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1].tag == "style":
-            self.styles.append(data)
         if self.counts.get("head") and self.open[-1].tag == "head" and data.strip():
             self._close({"head"}, set())
         self.open[-1].children.append(data)
 
 
-def hidden_by(styles: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id, or tag with one of them) that the page's style sheets hide."""
-    out = set()
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "\n".join(styles), flags=re.DOTALL)):
-        if _GONE.search(body):
-            out.update(s.strip() for s in selectors.split(",") if s.strip() and _SIMPLE.match(s.strip()))
+def on_screen(media: str) -> bool:
+    """Whether a media query list holds on a screen of SCREEN pixels; features other than its size count as not given."""
+    for query in media.lower().split(","):
+        words = query.split("(")[0].split()
+        negated, kinds = "not" in words, set(words) - {"not", "only", "and", "screen", "all"}
+        holds = not kinds
+        for name, value in re.findall(r"\(\s*([\w-]+)\s*(?::\s*([^)]*?)\s*)?\)", query):
+            size = re.fullmatch(r"([0-9.]+)(px|em|rem)", value)
+            side = SCREEN.get(name.removeprefix("min-").removeprefix("max-"))
+            pixels = float(size[1]) * (1 if size[2] == "px" else 16) if size and size[1].count(".") < 2 and size[1] != "." else None
+            if side is not None and pixels is not None and name[:4] in ("min-", "max-"):
+                holds &= side >= pixels if name[:4] == "min-" else side <= pixels
+            else:
+                holds &= (name, value) == ("orientation", "landscape")
+        if re.search(r"\([^)]*[<>]", query):
+            holds, negated = False, False
+        if holds != negated:
+            return True
+    return not media.strip()
+
+
+def rules_of(css: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the style rules that hold on screen, in order."""
+    out: list[tuple[str, str]] = []
+    blocks: list[tuple[bool, str]] = []  # whether it is a style rule or an at-rule that holds; the selectors
+    now = ""
+
+    def end() -> None:
+        holds, selectors = blocks.pop()
+        if holds and selectors and all(h and not x for h, x in blocks):
+            out.append((selectors, now))
+
+    for token in _CSS.findall(re.sub(r"/\*.*?(?:\*/|$)|<!--|-->", " ", css, flags=re.DOTALL)):
+        if token == "{":
+            inside = bool(blocks and blocks[-1][1])
+            before, _, head = now.rpartition(";") if inside else ("", "", now)
+            if inside and before and blocks[-1][0] and all(h and not x for h, x in blocks[:-1]):
+                out.append((blocks[-1][1], before))
+            head, now = head.strip(), ""
+            if head.startswith("@"):
+                name, _, rest = re.sub(r"^(@[\w-]+)", r"\1 ", head.lower()).partition(" ")
+                blocks.append((name in ("@supports", "@layer") or name == "@media" and on_screen(rest), ""))
+            else:
+                blocks.append((not inside, head or "?"))
+        elif token == "}":
+            if blocks:
+                end()
+            now = ""
+        elif token == ";" and not (blocks and blocks[-1][1]):
+            now = ""
+        else:
+            now += token
+    while blocks:
+        end()
+        now = ""
     return out
 
 
-def shown(node: Node, gone: set[str]) -> bool:
+@dataclass(slots=True)
+class Rule:
+    tag: str
+    marks: frozenset[str]  # .class and #id
+    rank: tuple  # important, specificity, order
+    part: str  # display or visibility
+    gone: bool
+
+
+def _declared(body: str) -> list[tuple[str, bool, bool]]:
+    """(display or visibility, whether it hides, whether important) as declared."""
+    return [(p.lower(), v.lower() in ("none", "hidden", "collapse"), bool(i)) for p, v, i in _SHOWS.findall(body)]
+
+
+def hidden_by(styles: list[str]) -> dict[str, list[Rule]]:
+    """The display and visibility rules of the page's style sheets by a tag or mark that they need; none if nothing is hidden.
+
+    Rules that hide count with selectors of one element (tag, classes, ids); those that show count by their last element.
+    """
+    out: dict[str, list[Rule]] = {}
+    hides = False
+    for order, (selectors, body) in enumerate(r for css in styles for r in rules_of(css)):
+        for part, gone, important in _declared(body):
+            for selector in selectors.split(","):
+                steps = re.split(r"[\s>+~]+", selector.strip())
+                if not (m := _SIMPLE.fullmatch(steps[-1])) or not steps[-1] or gone and len(steps) > 1:
+                    continue
+                marks = re.findall(r"[.#][\w-]+", selector)
+                ids = sum(x[0] == "#" for x in marks)
+                tags = sum(bool(re.match(r"[a-z]", x, re.IGNORECASE)) for x in steps)
+                own = frozenset(re.findall(r"[.#][\w-]+", m[2]))
+                tag = m[1].lower().replace("*", "")
+                rule = Rule(tag, own, (important, ids, len(marks) - ids, tags, order), part, gone)
+                out.setdefault(min(own) if own else tag or "*", []).append(rule)
+                hides |= gone
+    return out if hides else {}
+
+
+def shown(node: Node, gone: dict[str, list[Rule]]) -> bool:
     if node.tag in HIDDEN or "hidden" in node.attrs and node.attrs["hidden"].lower() != "until-found":
         return False
-    if (style := node.attrs.get("style")) and _GONE.search(style):
-        return False
     if node.tag == "input" or node.tag == "dialog" and "open" not in node.attrs:
         return False
+    best: dict[str, tuple[tuple, bool]] = {}
+    if style := node.attrs.get("style"):
+        for part, hides, important in _declared(style):
+            if part not in best or best[part][0] <= (important, INLINE):
+                best[part] = (important, INLINE), hides
     if gone:
-        marks = ["." + c for c in node.attrs.get("class", "").split()]
+        marks = {"." + c for c in node.attrs.get("class", "").split()}
         if "id" in node.attrs:
-            marks.append("#" + node.attrs["id"])
-        return not (node.tag in gone or any(m in gone or node.tag + m in gone for m in marks))
-    return True
+            marks.add("#" + node.attrs["id"])
+        for key in (node.tag, "*", *marks):
+            for rule in gone.get(key, ()):
+                if (not rule.tag or rule.tag == node.tag) and rule.marks <= marks and (rule.part not in best or best[rule.part][0] <= rule.rank):
+                    best[rule.part] = rule.rank, rule.gone
+    return not any(hides for _, hides in best.values())
 
 
 class Page:
@@ -207,7 +305,7 @@ def aligned(rows: list[list[str]]) -> list[str]:
     return [" | ".join([*(c.ljust(width[k]) for k, c in enumerate(r[:-1])), r[-1]]).rstrip() for r in rows]
 
 
-def render(root: Node, gone: set[str]) -> str:
+def render(root: Node, gone: dict[str, list[Rule]]) -> str:
     pages, lists, tables, pre = [Page()], [], [], 0
     work: list[tuple[Node | str, bool]] = [(root, True)]
     while work:
@@ -312,7 +410,7 @@ def extract(html: str | None) -> tuple[str | None, str]:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return title_of(builder.root), render(builder.root, hidden_by(builder.styles))
+    return title_of(builder.root), render(builder.root, hidden_by(["".join(c for c in n.children if isinstance(c, str)) for n in builder.sheets]))
 
 
 def html_extraction(pages: DataFrame) -> DataFrame:

@@ -42,6 +42,31 @@ def test_layout():
     assert text == "Head\n\none two three\n\n- a\n- b\n  3. c\n\nk        | value\nlong key | 1\n\nx  y\n z\n\na\nb"
 
 
+@pytest.mark.parametrize(
+    ("css", "seen"),
+    [
+        ("@media print{body{display:none} .a{display:none}}", "one two"),
+        ("@media (max-width:600px){div{display:none}}", "one two"),
+        ("@media screen and (min-width: 600px){.a{display:none}}", "two"),
+        ("@media not print{.a{display:none}} @import 'x';", "two"),
+        ("div{display:none} .a.b{display:block}", "one"),
+        ("@supports (display:grid){.a{color:red;display:none}}", "two"),
+        (".a{display:none} div{display:block}", "two"),
+        (".a{display:none!important} #i{display:block}", "two"),
+        (".a{display:none} .x .b{display:flex}", "one two"),
+        (".a:hover{display:none} @font-face{x:y} .c{visibility:hidden}", "one"),
+    ],
+)
+def test_style_sheets_as_on_screen(css, seen):
+    html = f'<head><style>{css}</style></head><div class="a b" id=i>one</div><div class=c>two</div>'
+    assert " ".join(html_extraction.extract(html)[1].split()) == seen
+
+
+@pytest.mark.parametrize("sheet", ["<style media=print>div{display:none}</style>", "<noscript><style>div{display:none}</style></noscript>", "<template><style>div{display:none}</style></template>"])
+def test_style_sheets_that_do_not_count(sheet):
+    assert html_extraction.extract(sheet + "<div>one</div>")[1] == "one"
+
+
 @given(st.text(alphabet="<>/=\"' abpdivtrul&;!-", max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_any_soup(html):
