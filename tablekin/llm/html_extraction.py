@@ -3,7 +3,8 @@
 A tree builder accepts tag soup: missing start and end tags are implied (paragraphs, list items, table parts, head and
 body), stray end tags are dropped, open elements are closed at the end. Visibility rules then decide what a reader
 would see (script, style and the head are not shown, nor elements hidden by attribute, by inline style or by a simple
-rule of the page's own style sheets that holds on a screen and is not overruled, nor the body of closed details), and a renderer walks the tree: blocks are put
+rule of the page's own style sheets that holds on a screen and is not overruled, nor the body of closed details; form fields show their value, a drop-down
+its chosen option, a drawing its text), and a renderer walks the tree: blocks are put
 on lines of their own, paragraphs are spaced, list items get bullets or numbers and indents, table cells are aligned
 in columns, preformatted text keeps its white space. Both passes keep their own stacks, so depth of nesting is no limit.
 
@@ -23,7 +24,7 @@ from .common import map_batches, table
 
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math audio video canvas meta link base colgroup col option textarea".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas meta link base colgroup col annotation annotation-xml".split())
 #: Elements whose content is not part of the page, so that style sheets in them don't count.
 UNREAD = ("noscript", "template", "iframe", "object", "audio", "video", "canvas")
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table ul caption tr thead tbody tfoot td th".split())
@@ -44,6 +45,9 @@ IMPLIED_END = {
     "body": ({"head"}, set()),
 }
 WIDEST_PAD = 60
+#: Inputs that show no text, and elements of a drawing that are not drawn where they stand.
+WORDLESS = frozenset("hidden checkbox radio file color range password".split())
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern title style script".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _CSS = re.compile(r"""[{};]|"[^"]*"|'[^']*'|[^{};"']+|["']""")
 _SHOWS = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.IGNORECASE)
@@ -101,10 +105,10 @@ class TreeBuilder(HTMLParser):
             return
         if tag in CLOSES_P and self.counts.get("p"):
             self._close({"p"}, {"table", "td", "th", "button", "object"})
+        if self.counts.get("head") and tag not in HIDDEN and not self.counts.get("template") and not self.counts.get("noscript"):
+            self._close({"head"}, set())
         if tag in IMPLIED_END:
             self._close(*IMPLIED_END[tag])
-        elif self.counts.get("head") and tag not in HIDDEN:
-            self._close({"head"}, set())
         if tag in ("td", "th") and self.counts.get("table") and self.open[-1].tag != "tr":
             if self.open[-1].tag == "table":
                 self._push("tbody", {})
@@ -240,7 +244,7 @@ def hidden_by(styles: list[str]) -> dict[str, list[Rule]]:
 def shown(node: Node, gone: dict[str, list[Rule]]) -> bool:
     if node.tag in HIDDEN or "hidden" in node.attrs and node.attrs["hidden"].lower() != "until-found":
         return False
-    if node.tag == "input" or node.tag == "dialog" and "open" not in node.attrs:
+    if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in node.attrs:
         return False
     best: dict[str, tuple[tuple, bool]] = {}
     if style := node.attrs.get("style"):
@@ -258,6 +262,31 @@ def shown(node: Node, gone: dict[str, list[Rule]]) -> bool:
     return not any(hides for _, hides in best.values())
 
 
+def face(node: Node) -> str:
+    """The text that an input shows: its value, or else its placeholder; an image's alternative text."""
+    kind = node.attrs.get("type", "").lower()
+    if kind in WORDLESS:
+        return ""
+    if kind == "image":
+        return node.attrs.get("alt", "")
+    return node.attrs.get("value", "") or ("" if kind in ("submit", "reset", "button") else node.attrs.get("placeholder", ""))
+
+
+def chosen(select: Node, gone: dict[str, list[Rule]]) -> list[Node | str]:
+    """What a select shows: all options of a list box, each on a line, or the chosen option of a drop-down, else its first."""
+    options, work = [], [(select, False)]
+    while work:
+        node, off = work.pop()
+        if node.tag == "option":
+            options.append((node, off or "disabled" in node.attrs))
+        else:
+            work += [(c, off or node.tag == "optgroup" and "disabled" in node.attrs) for c in reversed(node.children) if isinstance(c, Node) and shown(c, gone)]
+    if "multiple" in select.attrs or re.fullmatch(r"0*([2-9]|[1-9][0-9]+)", select.attrs.get("size", "")):
+        return [Node("div", {}, [n]) for n, _ in options]
+    picked = [n for n, _ in options if "selected" in n.attrs][-1:] or [n for n, off in options if not off][:1]
+    return [" ", *picked, " "]
+
+
 class Page:
     """Lines of one flow of text: the page's, or a table cell's."""
 
@@ -307,11 +336,14 @@ def aligned(rows: list[list[str]]) -> list[str]:
 
 def render(root: Node, gone: dict[str, list[Rule]]) -> str:
     pages, lists, tables, pre = [Page()], [], [], 0
+    drawing: list[bool] = []  # of each open svg: whether text in it is drawn at this place
     work: list[tuple[Node | str, bool]] = [(root, True)]
     while work:
         item, enter = work.pop()
         page = pages[-1]
         if isinstance(item, str):
+            if drawing and not drawing[-1]:
+                continue
             if pre:
                 first, *rest = item.split("\n")
                 page.now.append(first)
@@ -323,10 +355,24 @@ def render(root: Node, gone: dict[str, list[Rule]]) -> str:
             continue
         tag = item.tag
         if enter:
-            if not shown(item, gone):
+            if not shown(item, gone) or drawing and not drawing[-1] and tag in UNDRAWN:
                 continue
             work.append((item, False))
             children = item.children
+            if tag == "svg" or drawing and tag in ("text", "foreignobject"):
+                page.space |= bool(page.now)
+                drawing.append(tag != "svg")
+            elif tag == "input":
+                children = [" ", face(item), " "] if face(item) else []
+            elif tag == "select":
+                children = chosen(item, gone)
+            elif tag == "option" and item.attrs.get("label"):
+                children = [item.attrs["label"]]
+            elif tag == "textarea":
+                page.end_line()
+                pre += 1
+                words = "".join(c for c in children if isinstance(c, str)).removeprefix("\n") or item.attrs.get("placeholder", "")
+                children = [words] if words else []
             if tag == "details" and "open" not in item.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
             if tag == "table":
@@ -365,7 +411,13 @@ def render(root: Node, gone: dict[str, list[Rule]]) -> str:
                     pre += 1
             work.extend((c, True) for c in reversed(children))
             continue
-        if tag == "table" and tables:
+        if tag == "svg" or tag in ("text", "foreignobject") and len(drawing) and drawing[-1]:
+            drawing.pop()
+            page.space |= bool(page.now)
+        elif tag == "textarea":
+            page.end_line()
+            pre -= 1
+        elif tag == "table" and tables:
             page.end_line()
             for line in aligned(tables.pop()):
                 page.put(line)

@@ -67,6 +67,25 @@ def test_style_sheets_that_do_not_count(sheet):
     assert html_extraction.extract(sheet + "<div>one</div>")[1] == "one"
 
 
+@pytest.mark.parametrize(
+    ("html", "seen"),
+    [
+        ("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math> holds", "so E=m holds"),
+        ("a<svg><title>no</title><defs><text>no</text></defs><g> stray <text>one <tspan>two</tspan></text><text>three</text></g></svg>b", "a one two three b"),
+        ("<textarea>first\nsecond</textarea>", "first\nsecond"),
+        ("<select><option>one<option selected>two<option>three</select> x", "two x"),
+        ("<select><option disabled>one<option>two</select><datalist><option>no</datalist>", "two"),
+        ("<select multiple><option>one<option>two</select>", "one\ntwo"),
+        ("go <input type=submit value=Send><input type=hidden value=no><input type=password value=no><input type=checkbox value=no> <input value=typed>", "go Send typed"),
+        ("<head><title>t</title><li>one", "- one"),
+        ("<head><meta x><tr><td>cell", "cell"),
+        ("<head><dt>term<dd>what", "term\n  what"),
+    ],
+)
+def test_what_browsers_show(html, seen):
+    assert html_extraction.extract(html)[1] == seen
+
+
 @given(st.text(alphabet="<>/=\"' abpdivtrul&;!-", max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_any_soup(html):
