@@ -37,7 +37,7 @@ RUN, DECAY, CODES = 4, 0.75, 32
 PAD = 2 * RUN
 CACHE = 200_000
 _DROP = re.compile(r"[^\w\s]+|_")
-_SINGLES = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+_SINGLES = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
 
 def _offsets() -> list[tuple[tuple[int, ...], float]]:

@@ -421,3 +421,7 @@ def test_gapped_insults():
     assert max(score([" ".join(plain()) for _ in range(200)])) < 0.5
     for form in ("wretchbag", "Wretchbag!", "w.r.e.t.c.h.b.a.g", "w r e t c h b a g", "wretchbbag", "wretqchbag", "gutter-fink", "gutterfink's"):
         assert score([" ".join([*plain(), form, *plain()])])[0] >= 0.5, form
+
+
+def test_letters_apart_by_any_white_space():
+    assert "idiot" in toxicity.words_of("you i  d \t i\n\no   t there")
