@@ -9,8 +9,9 @@ Target shares are given per source, or else a source's share is its size to the
 sources; the rates then depend on sizes only).
 
 Defined cases: documents without a source form a source of their own; a source with no given weight has weight 0 and
-is left out; a null or empty text is mixed like any other; rows with equal ids get equal counts; an empty table gives
-an empty result; other columns are carried along by `mixed`, and written but not returned by the query.
+is left out; null, empty and very long texts are mixed like any others; repeated rows and rows with equal ids (null
+ids too) get equal counts and ties of place go by id and copy; an empty table gives an empty result. The documents
+travel as one struct column, so that no column of theirs can clash with the operator's, whatever its name.
 """
 
 from __future__ import annotations
@@ -39,12 +40,12 @@ def source_key(source: Column) -> Column:
 
 def rates(documents: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = ALPHA) -> DataFrame:
     """source_key, n_docs, rate and cdf (the Poisson distribution function from 0 on): one row per source."""
-    sizes = documents.groupBy(source_key(F.col("source")).alias("_source")).agg(F.count("*").alias("n_docs"))
+    sizes = documents.groupBy(source_key(F.col("source")).alias("source_key")).agg(F.count("*").alias("n_docs"))
     if weights is None:
         weighted = sizes.withColumn("weight", F.pow(F.col("n_docs").cast("double"), F.lit(alpha)))
     else:
-        given = documents.sparkSession.createDataFrame([("none" if k is None else "s" + k, float(v)) for k, v in weights.items()], "_source string, weight double")
-        weighted = lookup_join(sizes, given, "_source", "inner").where("weight > 0")
+        given = documents.sparkSession.createDataFrame([("none" if k is None else "s" + k, float(v)) for k, v in weights.items()], "source_key string, weight double")
+        weighted = lookup_join(sizes, given, "source_key", "inner").where("weight > 0")
     total = weighted.agg(F.sum("n_docs"), F.sum("weight")).first()
     if total[0] is None:
         return weighted.withColumn("rate", F.lit(0.0)).withColumn("cdf", F.array(F.lit(1.0)))
@@ -67,47 +68,42 @@ def cdf(rate: Column) -> Column:
 
 
 def counted(documents: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The documents with n_copies, the inverted Poisson distribution at the document's uniform number."""
-    per_source = rates(documents, weights, alpha).select("_source", F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
-    rows = lookup_join(documents.withColumn("_source", source_key(F.col("source"))), per_source, "_source", "inner", salt=F.col("doc_id"))
-    u = uniform(seed, F.col("doc_id"))
-    return rows.withColumn("_u", u).withColumn("_n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
+    """doc (the document's columns), rate and n_copies, the inverted Poisson distribution at the document's uniform number."""
+    per_source = rates(documents, weights, alpha).select("source_key", "rate", "cdf")
+    rows = documents.select(F.struct("*").alias("doc")).withColumn("source_key", source_key(F.col("doc.source")))
+    rows = lookup_join(rows, per_source, "source_key", "inner", salt=F.col("doc.doc_id"))
+    drawn = rows.withColumn("u", uniform(seed, F.col("doc.doc_id")))
+    return drawn.select("doc", "rate", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).alias("n_copies"))
 
 
 def mixed(documents: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: every document as often as counted, with all its columns, and _copy, in global hash order.
-
-    Only the id and the counts are replicated before the shuffle's sort key is drawn; the shuffle is by range of that
-    key, which is uniform whatever the sources' sizes.
-    """
-    names = documents.columns
-    rows = counted(documents, weights, alpha, seed).where("_n_copies > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n_copies") - 1)))
-    rows = rows.withColumn("_place", uniform(seed + 1, F.col("doc_id"), F.col("_copy")))
-    return rows.select(*names, "_copy", "_n_copies", "_rate", "_place")
+    """doc, rate, n_copies, copy and place: every document, whole, as often as counted, not yet in order of place."""
+    rows = counted(documents, weights, alpha, seed).where("n_copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    return rows.withColumn("place", uniform(seed + 1, F.col("doc.doc_id"), F.col("copy")))
 
 
 def shuffled(rows: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows in global order of _place, which is uniform in [0, 1): the bounds need no sampling."""
+    """Rows in global order of place. It is uniform in [0, 1), so equal ranges of it are equal partitions: each row's
+    partition is computed, and no pass over the data looks for bounds."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.least(F.floor(F.col("_place") * n), F.lit(n - 1)).cast("int")
-    return rows.repartitionByRange(n, bucket).sortWithinPartitions("_place", "doc_id", "_copy")
+    part = F.least(F.floor(F.col("place") * n), F.lit(n - 1)).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions("place", "doc.doc_id", "copy")
 
 
 def source_mixing(documents: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """documents as a mixed corpus with the same columns, in shuffled order."""
-    return shuffled(mixed(documents, weights, alpha, seed)).select(documents.columns)
+    return shuffled(mixed(documents, weights, alpha, seed)).select("doc.*")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, copy, n_copies of every copy in the mixed corpus, its place in the global order and its text's length.
 
-    The corpus itself is written in its order with all columns of documents; the rows returned are read from it.
+    The corpus is written in its order with all columns of documents; the rows returned are read from it.
     """
     corpus = stored(shuffled(mixed(table(spark, sf_dir, "documents"))))
-    n_text = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_text")
-    rows = shuffled(corpus.select("doc_id", "source", "_copy", "_n_copies", "_place", n_text))
-    return rows.select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.col("_n_copies").cast("long").alias("n_copies"), F.col("_place").alias("place"), "n_text")
+    n_text = F.length(F.coalesce("doc.text", F.lit(""))).cast("long").alias("n_text")
+    return corpus.select("doc.doc_id", "doc.source", F.col("copy").cast("long").alias("copy"), F.col("n_copies").cast("long").alias("n_copies"), "place", n_text)
 
 
 SQL = f"""

@@ -289,10 +289,27 @@ def test_the_query_mixes_whole_documents(spark, monkeypatch):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     copies = {r.doc_id: r.n_copies for r in rows}
     want = Counter({tuple(docs[k]): n for k, n in copies.items()})
-    assert Counter(tuple(r) for r in written[0].select("doc_id", "text", "lang", "source", "n_chars").collect()) == want
+    assert Counter(tuple(r) for r in written[0].select("doc.doc_id", "doc.text", "doc.lang", "doc.source", "doc.n_chars").collect()) == want
     assert all(r.n_text == len(docs[r.doc_id].text) for r in rows)
 
 
+def test_no_column_name_clashes_with_mixing(spark):
+    names = ["copy", "place", "rate", "cdf", "u", "n_copies", "source_key", "doc", "_salt", "weight", "n_docs", "_copy", "_rate"]
+    docs = spark.range(300).selectExpr("id as doc_id", "'t' as text", "concat('s', id % 3) as source", *(f"'own {n}' as {n}" for n in names))
+    got = source_mixing.source_mixing(docs)
+    assert got.columns == docs.columns
+    assert all(r[n] == f"own {n}" for r in got.collect() for n in names)
+
+
+def test_the_mixed_order_is_global_and_needs_no_second_pass(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "'t' as text", "concat('s', id % 3) as source")
+    rows = source_mixing.shuffled(source_mixing.mixed(docs), 5)
+    assert rows.rdd.getNumPartitions() == 5
+    places = [r.place for r in rows.collect()]
+    assert places == sorted(places) and len(places) > 1500
+    assert "rangepartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 # 7: secrets
 
 KEY = "password = hunter2hunter2"
@@ -400,6 +417,23 @@ def test_failing_hosts_take_all(spark):
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert not any(got[k].kept for k in range(100))
     assert all(got[k].kept == (k % 20 > 0) for k in range(100, 500))
+    assert {got[k].host for k in range(100)} == {"failed"} and got[0].shrunk_rate > 0.5
+
+
+def test_hosts_in_doubt_are_held_to_all_rules(spark):
+    good = " ".join(f"w{k}" for k in range(20))
+    odd = good + " ####"  # breaks a further rule only
+    docs = [(k, odd if k % 4 == 0 else good, f"doubt{k % 2}") for k in range(200)] + [(k, odd if k % 50 == 0 else good, f"h{k % 8}") for k in range(200, 1000)] + [(2000, odd, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame).collect()}
+    rates = {s: sum(t == odd for _, t, x in docs if x == s) / sum(x == s for _, _, x in docs) for s in {x for _, _, x in docs if x}}
+    mean = sum(rates.values()) / len(rates)
+    for k, text, source in docs:
+        strict = source is not None and rates[source] > mean
+        assert got[k].host == (None if source is None else "strict" if strict else "passed")
+        assert got[k].kept == (not strict or text != odd) and not got[k].base_failed
+        if source is not None:  # shrunk: between the host's own rate and the mean of all
+            assert min(rates[source], mean) - 1e-6 <= got[k].shrunk_rate <= max(rates[source], mean) + 1e-6
 
 
 # 10: toxicity
