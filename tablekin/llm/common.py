@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -116,26 +115,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> tuple[list[str], list[int]]:
-    """At most per_class labelled texts of class 0 and of class 1, in hash order of the id, held-out rows excluded.
+def training_rows(spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> tuple[list[str], list[int], tuple[int, int]]:
+    """At most per_class labelled texts of class 0 and of class 1, in hash order of the id, held-out rows excluded, and
+    the numbers of labelled ids of both classes.
 
-    The bound is a documented parameter of the classifiers, and so the labels side of the join has a fixed bound too.
+    The bound is a documented parameter of the classifiers, so the labels side of the join has a fixed bound too, and a
+    document that comes many times is brought to the driver once: equal ids are reduced before, to one text.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rank = F.xxhash64(F.col("doc_id"), F.lit(label))
     parts = [known.where(F.col("y") == y).orderBy(rank, "doc_id").limit(per_class[y]) for y in (0, 1)]
     few = parts[0].unionByName(parts[1])
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").toArrow()
-    ids, labels_ = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()
-    order = np.unique(ids, return_index=True)[1]  # by id, repeated rows once
-    picked = rows.column("text").take(pa.array(order)).to_pylist()
-    return picked, labels_[order].tolist()
-
-
-def crc_of(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
+    rows = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toArrow().sort_by("doc_id")
+    return rows.column("text").to_pylist(), rows.column("y").to_pylist(), (sizes.get(0, 0), sizes.get(1, 0))
 
 
 def local_forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -149,7 +149,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 200, sample: int =
 
 
 def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    return train(*training_rows(spark, documents, labels, "quality", per_class))
+    texts, y, _ = training_rows(spark, documents, labels, "quality", per_class)
+    return train(texts, y)
 
 
 class Scorer:

@@ -1,23 +1,30 @@
-"""Toxicity by a subsequence string kernel and a support vector machine on Nyström landmarks.
-
-Kernel: two words share weight for every ordered run of four letters they have in common, letters being allowed to
-stand one apart (an inserted character) at a discount; word ends count as letters; the value is scaled by the word
-lengths. Punctuation inside a word is dropped and runs of single letters are joined, so that `i.d.i.o.t`, `i d i o t`
-and `idxiot` stay close to the plain word. Landmarks are words of the training sentences; the kernel to them, whitened
-by their own kernel matrix, is the Nyström feature map of a linear machine with squared hinge loss. As the machine is
-linear in the kernel, it folds into one weight for each possible run, and a word is judged by table lookups.
-
-A labelled document lends its label to its sentences: every sentence of a clean one is clean, and in a toxic one the
-best sentence is toxic (multiple-instance training, a few rounds). A sentence is as bad as its worst word, and a
-document's probability is fitted on the three worst of its different words.
-
-Defined cases: a null text counts as empty; an empty text has a low, fixed score; repeated rows get equal scores; with
-labels of one class only, or none, every score is that share (0 without labels); further columns are ignored.
+"""Toxicity by a gap-weighted subsequence kernel and a support vector machine on Nyström landmarks.
+
+Sentences. Every text is cut into sentences and a sentence is a string of letter codes: case is folded, punctuation
+inside words is dropped, blanks are one code, and blanks between single letters go (`i d i o t`). No subsequence runs
+over the end of a sentence. What the machine judges are a sentence's stretches: one begins at each word and holds the
+subsequences that start among its first WIDTH codes, wherever in the sentence they end.
+
+Kernel. Two stretches share weight for every subsequence of ORDER codes they have in common. Codes may be skipped
+between any two of them, at a discount of DECAY each, which makes `idxiot`, `idxiqot`, `i-diot` and `idi ot` resemble
+the plain word. (Weights below DECAY ** (GAP + 1) are dropped.) A blank is a code like any other, so word ends count.
+
+Training. A labelled document lends its label to its sentences, and multiple-instance rounds find the stretches that
+earn it: first those that begin with a run of codes known from toxic documents and all but absent from clean ones, then
+those that the machine of the last round finds worst, each also with letters put in at random. Clean sentences give
+random stretches and, in each round, the ones the machine finds worst. Landmarks are stretches of both kinds; the
+kernel to them, whitened by their own kernel matrix, is the feature map of a linear machine with squared hinge loss.
+The machine is linear in the kernel and folds into one weight per subsequence, so a text is scored by table lookups.
+A document's probability is fitted on its three worst words' stretches.
+
+Defined cases: a null text counts as empty; an empty text has a low, fixed score; a very long text is judged whole;
+repeated rows and equal texts get equal scores; with labels of one class only, or none, every score is that share
+(0 without labels); an empty table gives an empty result; further columns are ignored, or kept where rows are filtered.
 """
 
 from __future__ import annotations
 
-import re
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,108 +36,160 @@ from pyspark.sql import functions as F
 from .common import SLICE, arrow_map, give_back, held_out, map_batches, table, training_rows
 
 #: Bound of the labelled sample: at most so many clean and so many toxic documents, in hash order.
-PER_CLASS = (6000, 3000)
+PER_CLASS = (3000, 2000)
 #: A document is rejected from this probability on.
 REJECT = 0.5
-LANDMARKS = 256
-RUN, DECAY, CODES = 4, 0.75, 32
-PAD = 2 * RUN
-CACHE = 200_000
-_DROP = re.compile(r"[^\w\s]+|_")
-_SINGLES = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
-
-
-def _offsets() -> list[tuple[tuple[int, ...], float]]:
-    """Letter offsets of a run with at most one letter skipped between neighbours, and their weights."""
-    out = []
-    for gaps in np.ndindex(*(2,) * (RUN - 1)):
-        steps = np.cumsum([0, *(g + 1 for g in gaps)])
-        out.append((tuple(int(s) for s in steps), DECAY ** sum(gaps)))
+ORDER, GAP, DECAY, WIDTH = 4, 4, 0.5, 10
+#: Stretches that a round of training takes of toxic documents and adds of clean ones, and the landmarks.
+BAD, GOOD, LANDMARKS, ROUNDS = 3000, 4000, 384, 4
+LEAST = 50  # a telling run is in one of so many toxic documents at least, and in three
+CODES, BLANK, STOP, DROP = 32, 1, 254, 255
+#: Codes between two sentences, which no subsequence and no stretch gets over.
+APART = max(WIDTH, GAP + 1) + 1
+LONGEST = WIDTH + ORDER + GAP
+TOP, LOW = 3, -3.0  # words a document is judged by, and the margin in place of those a short text doesn't have
+
+
+def _codes() -> np.ndarray:
+    """A code for each character: a to z, four codes for all other letters and digits, blank, and two marks."""
+    out = np.full(0x110000, DROP, np.uint8)
+    for k in range(0x3000):
+        low = chr(k).lower()
+        if low.isspace():
+            out[k] = BLANK
+        elif low.isalnum():
+            out[k] = ord(low) - 95 if "a" <= low <= "z" else 28 + ord(low[0]) % 4
+    out[0x3000:] = 28 + np.arange(0x3000, 0x110000) % 4
+    out[[ord(c) for c in ".!?\n"]] = STOP
     return out
 
 
-OFFSETS = _offsets()
-_CODE = (29 + np.arange(0x110000) % 3).astype(np.uint8)  # other letters share three codes
-_CODE[ord("a") : ord("z") + 1] = np.arange(3, 29)
-_CODE[0], _CODE[1], _CODE[2] = 0, 1, 2
-
-
-def words_of(text: str) -> set[str]:
-    """The different words of a text, in lower case and without punctuation, joined single letters included."""
-    plain = _DROP.sub("", text.lower())
-    out = set(plain.split())
-    if m := _SINGLES.findall(plain):
-        out.update("".join(x.split()) for x in m)
+_CODE = _codes()
+#: Codes skipped after the first, second, ... code of a subsequence.
+GAPS = [g for g in itertools.product(range(GAP + 1), repeat=ORDER - 1) if sum(g) <= GAP]
+
+
+def sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all texts, sentences kept apart by zeros; where each word starts (at the blank before it); its text's number."""
+    joined = "\n".join([*texts, ""])
+    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _CODE[raw]
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    after = np.append(codes[1:], BLANK)
+    codes[(codes == STOP) & (raw != 10) & (after != BLANK) & (after != STOP)] = DROP  # a point inside a word
+    at = np.flatnonzero(codes != DROP)
+    codes = codes[at]
+    for _ in range(2):  # blanks next to others, then blanks between single letters
+        empty = codes == BLANK
+        edge = np.concatenate([[True, True], empty | (codes == STOP), [True, True]])
+        n = len(codes)
+        gone = empty & (edge[1 : n + 1] if _ == 0 else edge[:n] & ~edge[1 : n + 1] & ~edge[3 : n + 3] & edge[4 : n + 4])
+        at, codes = at[~gone], codes[~gone]
+    stop = codes == STOP
+    codes[stop] = 0
+    many = np.where(stop, APART, 1)
+    place = np.concatenate([[0], np.cumsum(many)])
+    out = np.concatenate([np.zeros(APART, np.uint8), np.repeat(codes, many)])
+    first = np.flatnonzero((out[:-1] == 0) & (out[1:] > BLANK))
+    out[first] = BLANK
+    starts = np.flatnonzero((out[:-1] == BLANK) & (out[1:] > BLANK))
+    last = place[np.searchsorted(at, ends)] + APART  # where each text ends among the codes
+    return out, starts, np.searchsorted(last, starts + 1, side="right")
+
+
+def margins(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sum of the weights of all subsequences of each stretch."""
+    total = np.zeros(len(codes) + 1)
+    padded = np.concatenate([codes, np.zeros(LONGEST, np.uint8)]).astype(np.int32)
+    for k in range(0, len(codes), 1 << 15):
+        x = padded[k : k + (1 << 15) + LONGEST]
+        n = min(1 << 15, len(codes) - k)
+        pairs = [x[: len(x) - 1 - g] * CODES + x[1 + g :] for g in range(GAP + 1)]
+        by_gap = np.zeros((GAP + 1, n), np.float32)
+        for a, b, c in GAPS:
+            by_gap[a + b + c] += weights.take(pairs[a][:n] * CODES**2 + pairs[c][2 + a + b : 2 + a + b + n])
+        total[k + 1 : k + 1 + n] = (by_gap * DECAY ** np.arange(GAP + 1, dtype=np.float32)[:, None]).sum(axis=0)
+    total = np.cumsum(total)
+    return (total[np.minimum(starts + WIDTH, len(codes))] - total[starts]).astype(np.float32)
+
+
+def stretches(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The codes of each stretch, one a row, with zeros behind the end of the sentence."""
+    padded = np.concatenate([codes, np.zeros(LONGEST, np.uint8)])
+    out = padded[starts[:, None] + np.arange(LONGEST)]
+    out[np.logical_or.accumulate(out == 0, axis=1)] = 0
     return out
 
 
-def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letter codes of all words with padding between, the word of each position, and a scale for each word."""
-    joined = (("\x02" + "\x00" * PAD + "\x01").join(words)).join(("\x01", "\x02" + "\x00" * PAD))
-    codes = _CODE[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    word = np.cumsum(codes == 1) - 1
-    length = np.bincount(word, codes > 0, minlength=len(words))
-    scale = sum(np.maximum(length - steps[-1], 0) * weight**2 for steps, weight in OFFSETS)
-    return codes, word, 1 / np.sqrt(np.maximum(scale, 1.0))
-
-
-def runs(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each way to skip letters: positions where a run starts, the run as a number, its weight."""
-    out = []
-    for steps, weight in OFFSETS:
-        n = len(codes) - steps[-1]
-        if n <= 0:
-            continue
-        number, whole = np.zeros(n, np.int64), np.ones(n, bool)
-        for s in steps:
-            number = number * CODES + codes[s : s + n]
-            whole &= codes[s : s + n] > 0
-        at = np.flatnonzero(whole)
-        out.append((at, number[at], weight))
-    return out
-
-
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """The scaled kernel between words and landmarks, one row per word."""
-    codes, word, scale = encoded(landmarks)
-    found = [(word[at], number, w) for at, number, w in runs(codes)]
-    known, column = np.unique(np.concatenate([n for _, n, _ in found]), return_inverse=True)
-    table_, at = np.zeros((len(known), len(landmarks)), np.float32), 0
-    for who, number, w in found:
-        np.add.at(table_, (column[at : at + len(number)], who), w)
-        at += len(number)
-    table_ *= scale.astype(np.float32)
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for k in range(0, len(words), 512):
-        codes, word, own = encoded(words[k : k + 512])
-        for at, number, w in runs(codes):
-            place = np.minimum(np.searchsorted(known, number), len(known) - 1)
-            hit = known[place] == number
-            np.add.at(out, word[at[hit]] + k, w * table_[place[hit]])
-        out[k : k + len(own)] *= own[:, None].astype(np.float32)
-    return out
+def subsequences(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """For each way to skip codes: the row and the number of each subsequence, and their weight."""
+    x = np.concatenate([rows, np.zeros((len(rows), ORDER), np.uint8)], axis=1).astype(np.int32)
+    for gaps in GAPS:
+        number, whole, at = np.zeros((len(rows), WIDTH), np.int32), np.ones((len(rows), WIDTH), bool), 0
+        for skip in (*gaps, 0):
+            number = number * CODES + x[:, at : at + WIDTH]
+            whole &= x[:, at : at + WIDTH] > 0
+            at += 1 + skip
+        row, _ = np.nonzero(whole)
+        yield row, number[whole], DECAY ** sum(gaps)
+
+
+class Landmarks:
+    def __init__(self, rows: np.ndarray):
+        found = list(subsequences(rows))
+        self.known, column = np.unique(np.concatenate([n for _, n, _ in found]), return_inverse=True)
+        self.table = np.zeros((len(self.known), len(rows)), np.float32)
+        np.add.at(self.table, (column, np.concatenate([r for r, _, _ in found])), np.concatenate([np.full(len(r), w, np.float32) for r, _, w in found]))
+        self.table /= np.sqrt(np.maximum((self.table**2).sum(axis=0), 1e-6))  # stretches of any length weigh the same
+        gram = self.table.T @ self.table
+        values, vectors = np.linalg.eigh(gram.astype(float))
+        keep = values > 1e-4 * values[-1]
+        self.whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+
+    def features(self, rows: np.ndarray) -> np.ndarray:
+        """The Nyström features of stretches and a 1, one row each."""
+        out = np.ones((len(rows), self.whiten.shape[1] + 1), np.float32)
+        for k in range(0, len(rows), 64):
+            part = np.zeros((min(64, len(rows) - k), len(self.known)), np.float32)
+            for row, number, weight in subsequences(rows[k : k + 64]):
+                at = np.minimum(np.searchsorted(self.known, number), len(self.known) - 1)
+                hit = self.known[at] == number
+                np.add.at(part, (row[hit], at[hit]), np.float32(weight))
+            out[k : k + 64, :-1] = part @ self.table @ self.whiten
+        return out
+
+    def folded(self, w: np.ndarray) -> np.ndarray:
+        """The machine's weight for each subsequence there can be."""
+        out = np.zeros(CODES**ORDER, np.float32)
+        out[self.known] = self.table @ (self.whiten @ w[:-1].astype(np.float32))
+        return out
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # for each run of four codes
+    weights: np.ndarray  # for each subsequence, by number
     bias: float
-    link: np.ndarray  # of the three worst margins and 1
+    link: np.ndarray  # of the worst margins and 1
     share: float | None = None  # the constant score if there was nothing to learn from
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        codes, word, scale = encoded(words)
-        total = np.zeros(len(words))
-        for at, number, w in runs(codes):
-            total += np.bincount(word[at], w * self.weights[number], minlength=len(words))
-        return total * scale + self.bias
-
-
-LOW = -3.0  # margin in place of words that a short text doesn't have
-
-
-def worst(margins: list[float]) -> list[float]:
-    return (sorted(margins, reverse=True)[:3] + [LOW] * 3)[:3]
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.share is not None:
+            return np.full(len(texts), self.share)
+        codes, starts, text = sentences([t or "" for t in texts])
+        x = worst(margins(codes, starts, self.weights) + self.bias, text, len(texts))
+        return 1 / (1 + np.exp(-np.clip(x @ self.link, -30, 30)))
+
+
+def worst(margin: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The TOP largest margins of each text, falling, and a 1."""
+    out = np.concatenate([np.full((n, TOP), LOW), np.ones((n, 1))], axis=1)
+    order = np.lexsort((-margin, text))
+    text = text[order]
+    begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else text
+    rank = np.arange(len(text)) - np.repeat(begin, np.diff([*begin, len(text)]))
+    top = rank < TOP
+    out[text[top], rank[top]] = np.clip(margin[order][top], LOW, -LOW)
+    return out
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -138,130 +197,127 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2
     w = np.zeros(x.shape[1])
     for _ in range(25):
         slack = 1 - y * (x @ w)
-        on = slack > 0
-        grad, curve = ridge * w, ridge * np.eye(len(w))
-        for k in range(0, len(x), 4096):  # a few rows at a time, to hold no second copy
-            rows = np.flatnonzero(on[k : k + 4096]) + k
-            xs, c = x[rows].astype(np.float64), cost[rows]
-            grad -= xs.T @ (c * y[rows] * slack[rows])
-            curve += (xs * c[:, None]).T @ xs
-        step = np.linalg.solve(curve, grad)
+        rows = np.flatnonzero(slack > 0)
+        xs, c = x[rows].astype(np.float64), cost[rows]
+        grad = ridge * w - xs.T @ (c * y[rows] * slack[rows])
+        step = np.linalg.solve(ridge * np.eye(len(w)) + (xs * c[:, None]).T @ xs, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
-    y = np.array(labels)
-    empty = np.zeros(1, np.float32)
+def telling(codes: np.ndarray, starts: np.ndarray, toxic: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How telling the run of codes is that each stretch begins with, over runs of ORDER to WIDTH codes: their log odds,
+    weighted by how many toxic documents hold them. Runs that clean documents hold more than once in 50 count nothing,
+    nor do rare ones, which are there by chance."""
+    best = np.zeros(len(starts), np.float32)
+    rows = stretches(codes, starts)
+    number = np.zeros(len(starts), np.uint64)
+    n = np.maximum([(~toxic).sum(), toxic.sum()], 1)
+    least = max(3, n[1] // LEAST)
+    for length in range(1, WIDTH + 1):
+        number = number * np.uint64(CODES) + rows[:, length - 1].astype(np.uint64)
+        whole = np.flatnonzero(rows[:, length - 1] > 0)
+        if length < ORDER or not len(whole):
+            continue
+        run = np.unique(number[whole], return_inverse=True)[1]
+        held = np.unique(text[whole] * np.int64(len(starts) + 1) + run)
+        who, run_of = held // (len(starts) + 1), held % (len(starts) + 1)
+        df = [np.bincount(run_of[toxic[who] == v], minlength=run.max() + 1) for v in (False, True)]
+        odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
+        value = np.where((df[1] >= least) & (df[0] * 50 <= df[1]), odds * np.sqrt(df[1]), 0)
+        best[whole] = np.maximum(best[whole], value[run])
+    return best
+
+
+def disguised(rows: np.ndarray, letters: int, rng: np.random.Generator) -> np.ndarray:
+    """The stretches with so many letters put in among their first, as people write to slip past a filter."""
+    out = rows.copy()
+    for _ in range(letters):
+        at = rng.integers(2, 6, len(out))[:, None]
+        k = np.arange(out.shape[1])[None, :]
+        moved = np.take_along_axis(out, np.where(k > at, k - 1, k), axis=1)
+        out = np.where((k == at) & (moved > 0), rng.integers(2, 28, len(out))[:, None], moved).astype(np.uint8)
+    return out
+
+
+def train(texts: list[str], labels: list[int], toxic_share: float | None = None) -> Model:
+    """toxic_share: how many of all labelled documents are toxic, where the sample holds another share of them."""
+    y = np.array(labels, int)
+    none = np.zeros(1, np.float32)
     if len(set(labels)) < 2:
-        return Model(empty, 0.0, np.zeros(4), float(y.mean()) if len(y) else 0.0)
-    number: dict[str, int] = {}
-    bags = [np.array([number.setdefault(w, len(number)) for w in sorted(words_of(t))], np.int32) for t in texts]
-    vocabulary = list(number)
-    df = np.zeros((2, len(vocabulary)))
-    for bag, label in zip(bags, labels, strict=True):
-        df[label, bag] += 1
-    n = [int((y == 0).sum()), int((y == 1).sum())]
-    odds = np.log((df[1] + 0.1) / n[1]) - np.log((df[0] + 0.5) / n[0])
-    order = np.array([number[w] for w in sorted(vocabulary)], np.int64)  # ties go by the word
-    least = max(3, n[1] // 200)  # below that a rare word is there by chance
-    telling = order[(df[1][order] >= least) & (odds[order] > 1.5) & (df[0][order] * 50 <= df[1][order])]
-    telling = telling[np.argsort(-odds[telling] * np.sqrt(df[1][telling]), kind="stable")]
-    clean = order[df[0][order] > 0]
-    clean = clean[np.argsort(-df[0][clean], kind="stable")]
-    if not len(telling):
-        return Model(empty, 0.0, np.zeros(4), float(y.mean()))
-    first = telling[: landmarks * 3 // 4]
-    marks = [vocabulary[k] for k in [*first, *np.setdiff1d(clean[: landmarks * 2], first, assume_unique=True)[: landmarks - len(first)]]]
-    gram = kernel(marks, marks).astype(float)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > 1e-4 * values[-1]
-    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    good = np.concatenate([clean[:2000], clean[2000 :: max(1, len(clean) // 20_000)]])
-    good = good[odds[good] < 1.5]
-    bad = telling[:1500]
-    forms = [v for k in bad[:150] for v in disguised(vocabulary[k]) if v not in number or not df[0][number[v]]]
-    for turn in range(rounds):
-        words = [vocabulary[k] for k in bad] + forms + [vocabulary[k] for k in good]
-        n_bad = len(words) - len(good)
-        x = np.ones((len(words), whiten.shape[1] + 1), np.float32)
-        for k in range(0, len(words), 2048):
-            x[k : k + 2048, :-1] = kernel(words[k : k + 2048], marks) @ whiten
-        target = np.where(np.arange(len(words)) < n_bad, 1.0, -1.0)
-        w = _machine(x, target, np.where(target > 0, 500 / n_bad, 500 / max(len(good), 1)))
-        model = Model(_folded(marks, whiten @ w[:-1]), float(w[-1]), np.zeros(4))
-        margin = _margins(model, vocabulary)
-        if turn == rounds - 1:
-            break
-        best = np.unique([bag[np.argmax(margin[bag])] for bag, label in zip(bags, labels, strict=True) if label and len(bag)]).astype(np.int64)
-        bad = np.union1d(bad, best[df[0][best] == 0])
-        hard = clean[margin[clean] > -0.5]
-        good = np.setdiff1d(np.union1d(good, hard[np.argsort(-margin[hard], kind="stable")][:8000]), bad)
-    feats = np.array([[*worst(margin[bag].tolist()), 1.0] for bag in bags])
-    used = [0, 1, 2, 3]
-    while True:  # no word may speak for a text: weights below 0 are left out
-        link = np.zeros(4)
-        link[used] = _logistic(feats[:, used], y.astype(float))
+        return Model(none, 0.0, np.zeros(TOP + 1), float(y.mean()) if len(y) else 0.0)
+    rng = np.random.default_rng(10)
+    codes, starts, text = sentences(texts)
+    apart = np.arange(len(y)) % 8 == 4  # these documents' sentences stay out of the rounds and fit the probability
+    if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
+        apart[:] = False
+    learnt = ~apart[text]
+    toxic, clean = learnt & (y[text] == 1), np.flatnonzero(learnt & (y[text] == 0))
+    margin, bias = telling(codes, starts[learnt], y == 1, text[learnt]), 0.0
+    margin = np.bincount(np.flatnonzero(learnt), margin, minlength=len(starts))
+    chosen = np.flatnonzero(toxic & (margin > 0))
+    if not len(chosen):  # no run of codes tells anything: each toxic document's first stretches will do
+        chosen = np.unique(text, return_index=True)[1]
+        chosen = chosen[toxic[chosen]]
+    if not len(chosen) or not len(clean):
+        return Model(none, 0.0, np.zeros(TOP + 1), float(y.mean()))
+    good = rng.choice(clean, min(len(clean), GOOD), replace=False)
+    weights = none
+    for turn in range(ROUNDS):
+        if turn:
+            order = np.lexsort((-margin, text))
+            order = order[toxic[order]]
+            best = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]  # each toxic document's worst stretch
+            chosen = np.unique(np.concatenate([chosen[margin[chosen] > -0.5], best, np.flatnonzero(toxic & (margin > 0.5))]))
+            hard = clean[np.argsort(-margin[clean], kind="stable")[:GOOD]]
+            good = np.union1d(good, hard)
+        bad = stretches(codes, starts[chosen if len(chosen) <= BAD else np.sort(rng.choice(chosen, BAD, replace=False))])
+        fine = stretches(codes, starts[good])
+        rows = np.unique(np.concatenate([bad, *(disguised(bad, k, rng) for k in (1, 2, 2, 2))]), axis=0)
+        n_bad = len(rows)
+        of_bad = bad[rng.choice(len(bad), min(len(bad), LANDMARKS * 3 // 4), replace=False)]
+        of_fine = fine[rng.choice(len(fine), min(len(fine), LANDMARKS - len(of_bad)), replace=False)]
+        marks = Landmarks(np.concatenate([of_bad, of_fine]))
+        rows = np.concatenate([rows, np.unique(fine, axis=0)])
+        target = np.where(np.arange(len(rows)) < n_bad, 1.0, -1.0)
+        w = _machine(marks.features(rows), target, np.where(target > 0, 500 / n_bad, 500 / (len(rows) - n_bad)))
+        weights, bias = marks.folded(w), float(w[-1])
+        margin = margins(codes, starts, weights) + np.float32(bias)
+    fit = apart if apart.any() else ~apart
+    share = y[fit].mean()
+    of_all = share if toxic_share is None else min(max(toxic_share, 1e-3), 1 - 1e-3)
+    cost = np.where(y[fit] > 0, of_all / share, (1 - of_all) / (1 - share))
+    return Model(weights, bias, _link(worst(margin, text, len(texts))[fit], y[fit].astype(float), cost))
+
+
+def _link(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Logistic weights of the worst margins; no word may speak for a text, so weights below 0 are left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        link = np.zeros(x.shape[1])
+        link[used] = _logistic(x[:, used], y, cost)
         low = [k for k in used[:-1] if link[k] < 0]
         if not low:
-            break
+            return link
         used.remove(min(low, key=lambda k: link[k]))
-    model.link = link
-    return model
-
-
-def disguised(word: str) -> list[str]:
-    """A word with one letter put in or doubled, as people write to slip past a filter."""
-    places = range(1, len(word)) if 4 <= len(word) <= 16 else ()
-    return [word[:k] + c + word[k:] for k in places for c in ("xqzjk"[k % 5], word[k])]
 
 
-def _margins(model: Model, words: list[str]) -> np.ndarray:
-    return np.concatenate([model.margins(words[k : k + 4096]).astype(np.float32) for k in range(0, len(words), 4096)] or [np.zeros(0, np.float32)])
-
-
-def _folded(marks: list[str], alpha: np.ndarray) -> np.ndarray:
-    """The weight of each run: the landmarks' scaled features added up with alpha."""
-    codes, word, scale = encoded(marks)
-    out = np.zeros(CODES**RUN)
-    for at, number, w in runs(codes):
-        np.add.at(out, number, w * (alpha * scale)[word[at]])
-    return out.astype(np.float32)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (cost * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (cost * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-class Scorer:
-    """Scores texts; margins of words met before are kept, up to CACHE words."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def __call__(self, texts: list[str | None]) -> list[float]:
-        if self.model.share is not None:
-            return [self.model.share] * len(texts)
-        bags = [words_of(t or "") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*bags).difference(self.known)) if bags else []
-        self.known.update(zip(new, _margins(self.model, new).tolist(), strict=True))
-        x = np.array([[*worst([self.known[w] for w in bag]), 1.0] for bag in bags])
-        return (1 / (1 + np.exp(-np.clip(x @ self.model.link, -30, 30)))).tolist()
-
-
 def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    model = train(*training_rows(spark, documents, labels, "toxic", per_class))
+    texts, y, sizes = training_rows(spark, documents, labels, "toxic", per_class)
+    model = train(texts, y, sizes[1] / max(sum(sizes), 1))
     give_back()
     return model
 
@@ -269,14 +325,11 @@ def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame, per_cla
 def toxicity(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every document, by a model sent to the executors once (of fixed size)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    own: list[Scorer] = []
 
     def of(ids: list, texts: list) -> dict:
-        if not own:
-            own.append(Scorer(shared.value))
-        return {"doc_id": ids, "score": own[0](texts)}
+        return {"doc_id": ids, "score": shared.value.scores(texts).tolist()}
 
-    return map_batches(documents.select("doc_id", "text"), of, "doc_id long, score double")
+    return map_batches(documents.select("doc_id", "text"), of, "doc_id long, score double", rows=SLICE // 4)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,10 +344,9 @@ def without_toxic(documents: DataFrame, model: Model, reject: float = REJECT) ->
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                yield part.filter(pa.array([s < reject for s in score(part.column(at).to_pylist())]))
+            for k in range(0, batch.num_rows, SLICE // 4):
+                part = batch.slice(k, SLICE // 4)
+                yield part.filter(pa.array(shared.value.scores(part.column(at).to_pylist()) < reject))
 
     return arrow_map(documents, run, documents.schema)

@@ -105,6 +105,8 @@ def test_pages(spark):
 
 
 def test_one_class_of_labels():
-    assert toxicity.Scorer(toxicity.train(["a b"], [0]))(["x", None]) == [0.0, 0.0]
+    assert toxicity.train(["a b"], [0]).scores(["x", None]).tolist() == [0.0, 0.0]
+    assert toxicity.train([], []).scores([]).tolist() == []
     assert quality_classifier.Scorer(quality_classifier.train([], []))(["x"]) == [1.0]
-    assert np.isfinite(toxicity.Scorer(labelled(None))(["", None, "x" * 100_000])).all()
+    got = labelled(None).scores(["", None, "x" * 100_000, "same text", "same text"])
+    assert np.isfinite(got).all() and got[0] == got[1] and got[3] == got[4]

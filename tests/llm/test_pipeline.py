@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -34,11 +35,30 @@ def test_quality_on_held_out_labels():
 
 
 def test_toxicity_on_held_out_labels():
+    """Held-out toxic documents are found, also with one or two letters put into each word that only toxic documents use."""
     (texts, y), (held, want) = labelled("/root/testdata/sf0.1", "toxic")
-    score = toxicity.Scorer(toxicity.train(list(texts), list(y)))(list(held))
-    found = [s >= toxicity.REJECT for s in score]
-    hits = sum(f and w for f, w in zip(found, want, strict=True))
-    assert hits >= 0.8 * sum(want) and hits >= 0.9 * sum(found)
+    df = [Counter(), Counter()]
+    for text, label in zip(texts, y, strict=True):
+        df[label].update(set(re.findall(r"\w+", text.lower())))
+    telling = {w for w, n in df[1].items() if n >= 3 and df[0][w] * 50 <= n}
+    model, rng = toxicity.train(list(texts), list(y)), random.Random(5)
+
+    def put_in(text, letters):
+        def word(m):
+            out = list(m[0])
+            for _ in range(letters if m[0].lower() in telling else 0):
+                out.insert(rng.randrange(1, max(2, len(out))), chr(97 + rng.randrange(26)))
+            return "".join(out)
+
+        return re.sub(r"\w+", word, text)
+
+    recall = []
+    for letters in (0, 1, 2):
+        found = model.scores([put_in(t, letters) for t in held]) >= toxicity.REJECT
+        hits = sum(f and w for f, w in zip(found, want, strict=True))
+        assert hits >= 0.9 * sum(found) or letters
+        recall.append(hits / sum(want))
+    assert recall[0] >= 0.75 and min(recall[1:]) >= recall[0] - 0.06, recall
 
 
 @pytest.fixture(scope="module")
@@ -58,8 +78,10 @@ def test_names_and_columns(stages):
 
 def test_toxic_ones_go(spark, stages):
     before, after = stages[0][:2]
-    model = toxicity.train(*training_rows(spark, table(spark, SF, "documents"), table(spark, SF, "labels"), "toxic", toxicity.PER_CLASS))
-    score = toxicity.Scorer(model)([r.text for r in before])
+    texts, y, sizes = training_rows(spark, table(spark, SF, "documents"), table(spark, SF, "labels"), "toxic", toxicity.PER_CLASS)
+    assert sizes == (y.count(0), y.count(1))  # all fit in
+    model = toxicity.train(texts, y, sizes[1] / sum(sizes))
+    score = model.scores([r.text for r in before])
     assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r, s in zip(before, score, strict=True) if s < 0.5)
 
 
