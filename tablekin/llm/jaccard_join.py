@@ -1,11 +1,13 @@
 """Near-duplicate documents: a similarity join on word shingles by a min-hash LSH forest with exact verification.
 
 1. Every document becomes its set of five-word shingles. Equal sets form a class; its smallest doc_id stands for it.
-2. The representatives' min-hash signatures are labels in TREES tries. Prefixes are matched as deep as the recall
-   allows: they are shortened trie by trie until a pair at the least similarity meets somewhere with the target
-   recall. Members of a bucket (one prefix of one trie) are tied to the bucket's smallest id, never to each other.
-3. Ties connect representatives to candidate groups. Groups are cut into blocks of bounded size; two blocks of a large
-   group meet only if some bucket has members in both. A block, or a pair of blocks, is one task's work.
+2. The representatives' min-hash signatures are paths in TREES tries. Every representative queries all tries: its
+   prefixes begin deep and are shortened, the least crowded ones first, until a neighbour at the least similarity
+   would be met with the target recall (shingles.shortened). What it matches are the nodes where its prefixes end, with
+   all that is below them. Crowds are counts per node, combined before the shuffle; no node is ever gathered.
+3. Members of a matched node are tied to its smallest id. Ties connect representatives to candidate groups. Groups are
+   cut into blocks of bounded size; two blocks of a large group meet only if some matched node has members in both. A
+   block, or a pair of blocks, is one task's work.
 4. There the exact intersections of all pairs are counted, by an inverted index for rare shingles and a matrix product
    for frequent ones. Links are not written out: a task returns each document's number of links and a spanning forest.
 5. The forests' connected components are the groups of near duplicates.
@@ -13,8 +15,9 @@
 Words are what ASCII white space separates, taken as they are. A text of one to four words is one shingle.
 
 Defined cases: a null or empty text has no shingles and links with nothing; a row with a null doc_id gets no class and
-no links and is kept; repeated rows count as further copies of their class; an empty table gives an empty result;
-further columns are ignored.
+no links and is kept; a very long text is shingled whole; repeated rows count as further copies of their class; rows
+with equal ids and different texts are judged each by its own text under the common id, and where such an id stands for
+two classes its text of least set key is compared; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,17 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE, arrow_map, components, local_forest, lookup_join, stored, table
-from .shingles import RECALL, SIMILARITY, Shingler, depths, prefixes, signature
+from .shingles import DEPTH, LEAST, RECALL, SIMILARITY, Shingler, prefixes, shortened, signature
 
 #: Representatives in a block; a task compares at most two blocks.
 BLOCK = 256
 FREQUENT = 24
 
 
-def signatures(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, set_key (of the shingle set, null if there is none) and the prefix of each trie."""
-    deep = depths(similarity, recall)
-    names = ["doc_id", "set_key", "prefixes"]
+def key_of(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def signatures(documents: DataFrame) -> DataFrame:
+    """doc_id, set_key (of the shingle set, null if there is none) and by trie the shortest prefix and what is below it."""
+    names = ["doc_id", "set_key", "prefixes", "below"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler()
@@ -47,25 +53,56 @@ def signatures(documents: DataFrame, similarity: float = SIMILARITY, recall: flo
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = [shingled(x) for x in part.column(1).to_pylist()]
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                tries = [prefixes(signature(s), deep).view(np.int64) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(tries, pa.list_(pa.int64()))], names=names)
+                tries = [prefixes(signature(s)) if len(s) else (None, None) for s in sets]
+                columns = [pa.array([x if x is None else x.view(np.int64) for x in side], pa.list_(pa.int64())) for side in zip(*tries, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(key_of, sets), pa.binary()), *columns], names=names)
+
+    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, set_key binary, prefixes array<bigint>, below array<bigint>")
+
+
+def forest_nodes(reps: DataFrame) -> DataFrame:
+    """rep, trie, depth, node, n, low: the nodes on each representative's paths from LEAST to DEPTH that hold n > 1 of them
+    (at LEAST), with the smallest of them. reps: rep, prefixes, below. Most documents share no prefix and drop out first."""
+    entries = reps.select("rep", F.posexplode("prefixes").alias("trie", "p"))
+    shared = entries.groupBy("p").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("p")
+    paths = stored(entries.join(shared, "p"))
+    paths = paths.join(reps.select("rep", "below"), "rep").withColumn("b", F.element_at("below", F.col("trie") + 1))
+    steps = [F.struct(F.lit(LEAST).alias("depth"), F.col("p").alias("node")), F.struct(F.lit(LEAST + 1).alias("depth"), F.xxhash64("p", F.shiftrightunsigned("b", 32)).alias("node")), F.struct(F.lit(DEPTH).alias("depth"), F.xxhash64("p", F.col("b"), F.lit(DEPTH)).alias("node"))]
+    levels = stored(paths.select("rep", "trie", F.explode(F.array(*steps)).alias("s")).select("rep", "trie", "s.*"))
+    crowds = levels.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low"))
+    return stored(levels.join(crowds, "node"))
+
+
+def matched_nodes(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """node: where some representative's shortened prefixes end with others below. A representative has at most TREES
+    paths of three nodes, which bounds what is gathered for it."""
+    own = nodes.groupBy("rep").agg(F.collect_list(F.struct("trie", "depth", "n", "node")).alias("paths")).select("paths")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[int] = set()
+            for paths in batch.column(0).to_pylist():
+                crowds: dict[int, dict[int, int]] = {}
+                for x in paths:
+                    crowds.setdefault(x["trie"], {})[x["depth"]] = x["n"]
+                ends = shortened(crowds, similarity, recall)
+                found.update(x["node"] for x in paths if x["n"] > 1 and ends[x["trie"]] == x["depth"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["node"])
 
-    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, set_key binary, prefixes array<bigint>")
+    return arrow_map(own, run, "node long").distinct()
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """rep, tile (array of int64 pairs as structs a, b): in which tiles each representative is compared.
+def candidate_groups(reps: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """rep, block, a, b: the tiles (pairs of blocks) in which each representative is compared, from its own block.
 
-    reps: rep, prefixes. Representatives that share no bucket don't appear.
+    reps: rep, prefixes, below. Representatives that no query matches don't appear.
     """
-    entries = reps.select("rep", F.explode("prefixes").alias("p"))
-    buckets = entries.groupBy("p").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("p", "low")
-    ties = stored(entries.join(buckets, "p").select("p", "rep", "low"))
+    nodes = forest_nodes(reps)
+    ties = stored(nodes.join(matched_nodes(nodes, similarity, recall), "node", "left_semi").select(F.col("node").alias("p"), "rep", "low"))
     groups = components(ties.select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b"))
     groups = stored(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    placed = groups.join(sizes, "grp")
+    placed = stored(lookup_join(groups, sizes, "grp", "inner", salt=F.col("rep")))
     few = F.col("n") <= BLOCK
     total = placed.where(few).count()
     bins = max(1, -(-total // BLOCK))
@@ -76,12 +113,12 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     hub = ties.groupBy("rep").agg(F.min("low").alias("hub"))
     large = large.join(hub, "rep")
     hubs = large.groupBy("hub").agg(F.count("*").alias("h"))
-    large = large.join(hubs, "hub").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("h") / BLOCK)))
+    large = lookup_join(large, hubs, "hub", "inner", salt=F.col("rep")).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("h") / BLOCK)))
     block = F.concat_ws(":", F.col("grp").cast("string"), F.pmod(F.xxhash64("hub", "part"), F.ceil(F.col("n") / BLOCK)).cast("string"))
     large = stored(large.select("rep", F.xxhash64(block).alias("block"), "grp"))
-    inside = ties.select("p", "rep").join(large.select("rep", "block"), "rep").groupBy("p").agg(F.sort_array(F.collect_set("block")).alias("bs"))
-    meets = inside.where(F.size("bs") > 1).select("bs", F.posexplode("bs").alias("i", "a")).select("a", F.explode(F.slice("bs", F.col("i") + 2, F.size("bs"))).alias("b")).distinct()
-    meets = stored(meets)
+    # which blocks meet: one row per node and block, so a crowded node gives a row per BLOCK members
+    inside = stored(ties.select("p", "rep").join(large.select("rep", "block"), "rep").select("p", "block").distinct())
+    meets = stored(inside.select("p", F.col("block").alias("a")).join(inside.select("p", F.col("block").alias("b")), "p").where("a < b").select("a", "b").distinct())
     tiles = meets.select(F.col("a").alias("block"), "a", "b").union(meets.select(F.col("b").alias("block"), "a", "b"))
     own = large.select("rep", "block").withColumn("a", F.col("block")).withColumn("b", F.col("block"))
     crossed = large.select("rep", "block").join(tiles, "block")
@@ -89,24 +126,31 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     return out.union(small.select("rep", "block", F.col("block").alias("a"), F.col("block").alias("b")))
 
 
-def verified(documents: DataFrame, tiles: DataFrame, copies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, n): links of the forest (n null) and, with b null, numbers of linked documents to be added up."""
-    wanted = tiles.groupBy("rep").agg(F.collect_list(F.struct("block", "a", "b")).alias("tiles")).join(copies, "rep")
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").dropDuplicates(["rep"])
+def shingle_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, copies and the shingles of each representative in wanted (rep, set_key, copies), once."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
-                rows = []
-                for rep, text, places, n in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                    raw = shingled(text).tobytes()
-                    rows += [(t["a"], t["b"], t["block"] != t["a"], rep, n, raw) for t in places]
-                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "b", "second", "rep", "copies", "shingles"])
-
-    spread = arrow_map(texts.select("rep", "text", "tiles", "copies"), explode, "a long, b long, second boolean, rep long, copies long, shingles binary")
+                sets = [shingled(x) for x in part.column(1).to_pylist()]
+                same = [key_of(s) == key for s, key in zip(sets, part.column(2).to_pylist(), strict=True)]
+                columns = [part.column(0), part.column(3), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "copies", "shingles"]).filter(pa.array(same, pa.bool_()))
+
+    return arrow_map(texts.select("rep", "text", "set_key", "copies"), run, "rep long, copies long, shingles binary").dropDuplicates(["rep"])
+
+
+def verified(documents: DataFrame, tiles: DataFrame, copies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, n): links of the forest (n null) and, with b null, numbers of linked documents to be added up.
+
+    tiles: rep, block, a, b. copies: rep, set_key, copies.
+    """
+    wanted = copies.groupBy("rep").agg(F.min(F.struct("set_key", "copies")).alias("c")).select("rep", "c.*").join(tiles.select("rep").distinct(), "rep")
+    sets = stored(shingle_sets(documents, wanted))
+    spread = tiles.join(sets, "rep").select("a", "b", (F.col("block") != F.col("a")).alias("second"), "rep", "copies", "shingles")
     share = Fraction(similarity).limit_denominator(10_000)
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -170,12 +214,13 @@ def jaccard_join(documents: DataFrame, similarity: float = SIMILARITY, recall: f
     class_id: the smallest doc_id with the same shingles. n_links: how many other documents are at least so similar.
     component_id: the smallest doc_id reachable by links. kept: the document is its component's smallest.
     """
-    signs = stored(signatures(documents, similarity, recall))
+    signs = stored(signatures(documents))
     known = signs.where("set_key is not null and doc_id is not null")
     classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).select(F.col("doc_id").alias("rep"), "prefixes")
-    tiles = stored(candidate_groups(reps))
-    found = stored(verified(documents, tiles, classes.select("rep", "copies"), similarity))
+    reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"])
+    reps = stored(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "prefixes", "below"))
+    tiles = stored(candidate_groups(reps, similarity, recall))
+    found = stored(verified(documents, tiles, classes.select("rep", "set_key", "copies"), similarity))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
     judged = classes.join(links.join(groups, "rep", "left"), "rep", "left")
@@ -188,9 +233,11 @@ def jaccard_join(documents: DataFrame, similarity: float = SIMILARITY, recall: f
 
 
 def without_near_copies(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The documents with one of each group left, the one with the smallest doc_id; repeated rows are left once."""
+    """The documents with one of each group left, the one with the smallest doc_id. Of repeated rows (equal id and text)
+    one is left; rows with a null id can't be judged and all stay."""
     judged = jaccard_join(documents, similarity, recall).where(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(judged, "doc_id", "left_anti").select(documents.columns).dropDuplicates(["doc_id", "text"])
+    left = documents.where("doc_id is not null").join(judged, "doc_id", "left_anti").select(documents.columns).dropDuplicates(["doc_id", "text"])
+    return left.union(documents.where("doc_id is null"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

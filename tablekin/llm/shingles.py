@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -10,7 +11,8 @@ import xxhash
 WORDS = 5
 SIMILARITY = 0.8
 CACHE = 300_000
-TREES, DEPTH = 28, 6
+#: Tries of the forest, how deep they are, and the shortest prefix that a query may match.
+TREES, DEPTH, LEAST = 28, 6, 4
 #: Wanted share of the pairs at exactly the least similarity that meet in a bucket.
 RECALL = 0.99999
 _ODD = np.random.default_rng(5).integers(1 << 30, 1 << 31, (TREES * DEPTH, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -55,25 +57,37 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def depths(similarity: float = SIMILARITY, recall: float = RECALL) -> list[int]:
-    """How deep each trie's prefixes must match: all from DEPTH on, shortened one trie at a time until the recall is met.
+def prefixes(sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each trie the prefix of LEAST min-hashes as one number, salted by the trie, and the min-hashes below it as another."""
+    rows = sign.astype(np.uint64).reshape(TREES, DEPTH)
+    out = np.arange(1, TREES + 1, dtype=np.uint64)
+    for k in range(LEAST):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    return out, rows[:, LEAST] << np.uint64(32) | rows[:, LEAST + 1]
+
+
+def shortened(crowds: dict[int, dict[int, int]], similarity: float = SIMILARITY, recall: float = RECALL) -> dict[int, int]:
+    """How deep a query's prefixes are matched, by trie, for the tries in which it has neighbours.
 
-    A pair of the given similarity agrees on a prefix of d min-hashes with probability similarity ** d.
+    crowds: by trie and depth how many documents have the query's prefix. All prefixes begin at DEPTH; the one whose
+    next shorter node is the least crowded is shortened, again and again, until a neighbour at the least similarity is
+    met in some trie with the wanted probability (it agrees on d min-hashes with probability similarity ** d). Tries
+    without neighbours below LEAST are matched down to it, which costs nothing.
     """
-    out = [DEPTH] * TREES
-    for turn in range(DEPTH - 1):
-        for k in range(TREES):
-            if sum(math.log1p(-(similarity**d)) for d in out) <= math.log(1 - recall):
-                return out
-            out[k] = DEPTH - 1 - turn
+    miss = {d: math.log1p(-(similarity**d)) for d in range(LEAST, DEPTH + 1)}
+    out = dict.fromkeys(crowds, DEPTH)
+    total = (TREES - len(crowds)) * miss[LEAST] + len(crowds) * miss[DEPTH]
+    wanted = math.log1p(-recall)
+    steps = [(n, t, d) for t, by in crowds.items() for d, n in by.items() if d == DEPTH - 1]
+    heapq.heapify(steps)
+    while total > wanted and steps:
+        _, t, d = heapq.heappop(steps)
+        total += miss[d] - miss[d + 1]
+        out[t] = d
+        if d > LEAST:
+            heapq.heappush(steps, (crowds[t][d - 1], t, d - 1))
     return out
 
 
-def prefixes(sign: np.ndarray, deep: list[int]) -> np.ndarray:
-    """One number for each trie's matched prefix, salted by the trie."""
-    rows = sign.astype(np.uint64).reshape(TREES, DEPTH)
-    out = np.arange(1, TREES + 1, dtype=np.uint64)
-    for k in range(DEPTH):
-        use = np.array([d > k for d in deep])
-        out = np.where(use, mixed(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k]), out)
-    return out
+assert TREES * math.log1p(-(SIMILARITY**LEAST)) <= math.log1p(-RECALL)  # the shortest prefixes meet the recall
+assert DEPTH == LEAST + 2  # what prefixes() packs

@@ -248,10 +248,34 @@ def test_jaccard_join(spark, monkeypatch):
     assert {k: (r.n_links, r.component_id) for k, r in got.items()} == {k: (links[k], parent[k]) for k in range(len(texts))}
 
 
-def test_forest_meets_its_recall():
-    deep = shingles.depths()
-    miss = np.prod([1 - shingles.SIMILARITY**d for d in deep])
-    assert miss <= 1 - shingles.RECALL and set(deep) <= {4, 5}
+@given(st.lists(st.integers(1, 200), min_size=shingles.TREES, max_size=shingles.TREES), st.integers(0, 2**32))
+@settings(max_examples=60, deadline=None)
+def test_prefixes_are_shortened_until_the_recall(base, seed):
+    rng = random.Random(seed)
+    crowds = {}
+    for t, n in enumerate(base):
+        if rng.random() < 0.7:
+            deeper = rng.randint(1, n)
+            crowds[t] = {4: n, 5: deeper, 6: rng.randint(1, deeper)}
+    ends = shingles.shortened(crowds)
+    depth = [ends.get(t, shingles.LEAST) for t in range(shingles.TREES)]
+    missed = lambda ds: np.prod([1 - shingles.SIMILARITY**d for d in ds])
+    assert missed(depth) <= 1 - shingles.RECALL
+    if ends and max(d for d in ends.values()) < 6:  # no step more than needed: the last one made the difference
+        assert any(missed([d + (k == t) for k, d in enumerate(depth)]) > 1 - shingles.RECALL for t in ends)
+
+
+def test_signatures_agree_as_the_sets_do():
+    rng = np.random.default_rng(4)
+    agree, below = 0, 0
+    for _ in range(40):
+        x = rng.integers(0, 2**63, 500).astype(np.uint64)
+        y = np.concatenate([x[:400], rng.integers(0, 2**63, 50).astype(np.uint64)])  # 400 of 550 in common
+        p, q = (shingles.prefixes(shingles.signature(s)) for s in (x, y))
+        agree += (p[0] == q[0]).sum()
+        below += ((p[0] == q[0]) & (p[1] == q[1])).sum()
+    n = 40 * shingles.TREES
+    assert abs(agree / n - (400 / 550) ** 4) < 0.06 and abs(below / n - (400 / 550) ** 6) < 0.06
 
 
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=1, max_size=40))
