@@ -1,22 +1,28 @@
 """HTML to laid-out text.
 
-A tree builder accepts tag soup: missing start and end tags are implied (paragraphs, list items, table parts, head and
-body), stray end tags are dropped, open elements are closed at the end. Visibility rules then decide what a reader
-would see (script, style and the head are not shown, nor elements hidden by attribute, by inline style or by a simple
-rule of the page's own style sheets that holds on a screen and is not overruled, nor the body of closed details; form fields show their value, a drop-down
-its chosen option, a drawing its text), and a renderer walks the tree: blocks are put
-on lines of their own, paragraphs are spaced, list items get bullets or numbers and indents, table cells are aligned
-in columns, preformatted text keeps its white space. Both passes keep their own stacks, so depth of nesting is no limit.
-
-Defined cases: a null or empty page gives an empty text and no title; repeated rows are extracted each; an empty table
-gives an empty result; further columns of the input are ignored.
+A tokenizer reads the page once from front to back. A tree builder accepts tag soup: missing start and end tags are
+implied (paragraphs, list items, table parts, head and body), stray end tags are dropped, open elements are closed at
+the end. Visibility rules then decide what a reader would see: script, style and the head are not shown, nor elements
+hidden by attribute, by inline style or by a simple rule of the page's own style sheets that holds on a screen and is
+not overruled, nor the body of closed details; an element made visible again inside an invisible one is. Form fields
+show their value, a drop-down its chosen option, a drawing its text. A renderer walks the tree: blocks are put on lines
+of their own, paragraphs are spaced, list items get bullets or numbers and indents, table cells are aligned in columns
+over all their lines, also where they span rows or columns, preformatted text keeps its white space.
+
+The time is in proportion to the page, whatever is in it: elements are found in the stack of open ones by tag, depth
+has its own stacks, indents end at DEEPEST levels, tables in more than NESTED others are laid out as blocks, and a table
+whose padding would be more than PADDING times its text is written with single separators. No text is left out.
+
+Defined cases: a null or empty page gives an empty text and no title; very long pages are extracted whole; repeated
+rows are extracted each; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import html as charrefs
 import re
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +50,9 @@ IMPLIED_END = {
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, set()),
 }
-WIDEST_PAD = 60
+#: Elements whose content is text only, with and without character references.
+RAW, RAW_WITH_REFERENCES = frozenset("script style xmp iframe noembed noframes noscript".split()), frozenset(("title", "textarea"))
+DEEPEST, NESTED, PADDING = 20, 16, 4
 #: Inputs that show no text, and elements of a drawing that are not drawn where they stand.
 WORDLESS = frozenset("hidden checkbox radio file color range password".split())
 UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern title style script".split())
@@ -64,52 +72,54 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
 
 
-class TreeBuilder(HTMLParser):
+class TreeBuilder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.counts = {"html": 1}
+        self.at: dict[str, list[int]] = {"html": [0]}  # where elements of a tag are in the stack
         self.sheets: list[Node] = []
 
-    def _pop(self) -> None:
-        self.counts[self.open.pop().tag] -= 1
+    def holds(self, *tags: str) -> bool:
+        return any(self.at.get(t) for t in tags)
+
+    def _cut(self, k: int) -> None:
+        """Close the open elements from the k-th on."""
+        while len(self.open) > k:
+            self.at[self.open.pop().tag].pop()
+
+    def _top(self, tags: set[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _close(self, tags: set[str], borders: set[str]) -> None:
         """Close open elements of these tags, with all inside them, down to the nearest border."""
-        if not any(self.counts.get(t) for t in tags):
-            return
-        lowest = None
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                lowest = k
-            elif self.open[k].tag in borders:
-                break
-        while lowest is not None and len(self.open) > lowest:
-            self._pop()
+        border = self._top(borders)
+        found = [own[k] for t in tags if (own := self.at.get(t)) and (k := bisect.bisect_right(own, border)) < len(own)]
+        if found:
+            self._cut(max(1, min(found)))
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag == "style" and on_screen(attrs.get("media", "")) and attrs.get("type", "").lower() in ("", "text/css") and not any(self.counts.get(t) for t in UNREAD):
+        if tag == "style" and on_screen(attrs.get("media", "")) and attrs.get("type", "").lower() in ("", "text/css") and not self.holds(*UNREAD):
             self.sheets.append(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
-            self.counts[tag] = self.counts.get(tag, 0) + 1
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        own = {k: v or "" for k, v in reversed(attrs)}
-        if tag == "html":
-            return
-        if tag == "body" and self.counts.get("body"):
+    def start(self, tag: str, own: dict[str, str]) -> None:
+        if tag == "html" or tag == "body" and self.holds("body"):
             return
-        if tag in CLOSES_P and self.counts.get("p"):
+        if self.holds("select") and tag in ("select", "input", "textarea", "button"):
+            self._close({"select"}, set())
+            if tag == "select":
+                return
+        if tag in CLOSES_P and self.holds("p"):
             self._close({"p"}, {"table", "td", "th", "button", "object"})
-        if self.counts.get("head") and tag not in HIDDEN and not self.counts.get("template") and not self.counts.get("noscript"):
+        if self.holds("head") and tag not in HIDDEN and not self.holds("template"):
             self._close({"head"}, set())
         if tag in IMPLIED_END:
             self._close(*IMPLIED_END[tag])
-        if tag in ("td", "th") and self.counts.get("table") and self.open[-1].tag != "tr":
+        if tag in ("td", "th") and self.holds("table") and self.open[-1].tag != "tr":
             if self.open[-1].tag == "table":
                 self._push("tbody", {})
             self._push("tr", {})
@@ -117,37 +127,93 @@ class TreeBuilder(HTMLParser):
             self._push("tbody", {})
         self._push(tag, own)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag == "br":
             self._push("br", {})
-        elif self.counts.get(tag) and tag != "html":
-            borders = {"table"} if tag not in ("table", "body") else set()
-            self._close_one(tag, borders)
+        elif self.holds(tag) and tag != "html":
+            if (k := self.at[tag][-1]) > (self._top({"table"}) if tag not in ("table", "body") else 0):
+                self._cut(k)
         elif tag == "p":
             self._push("p", {})
-            self._pop()
-
-    def _close_one(self, tag: str, borders: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if self.open[k].tag in borders:
-                return
+            self._cut(len(self.open) - 1)
 
-    def handle_data(self, data: str) -> None:
-        if self.counts.get("head") and self.open[-1].tag == "head" and data.strip():
+    def data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip():
             self._close({"head"}, set())
         self.open[-1].children.append(data)
 
+    def feed(self, page: str) -> None:
+        """Read a page; every step goes on behind what the step before has read."""
+        at, size = 0, len(page)
+        while at < size:
+            tag_at = _OPENS.search(page, at)
+            if tag_at is None:
+                self.data(unescaped(page[at:]))
+                return
+            k = tag_at.start()
+            if k > at:
+                self.data(unescaped(page[at:k]))
+            if name := tag_at[2]:
+                tag = name.lower()
+                own, at = attributes(page, tag_at.end())
+                if own is None:
+                    return  # the page ends inside a tag
+                if tag_at[1]:
+                    self.end(tag)
+                    continue
+                foreign = self.holds("svg", "math")
+                self.start(tag, own)
+                if not foreign and (tag in RAW or tag in RAW_WITH_REFERENCES) and self.open[-1].tag == tag:
+                    closing = _CLOSES[tag].search(page, at)
+                    text = page[at : closing.start() if closing else size]
+                    self.data(unescaped(text) if tag in RAW_WITH_REFERENCES else text)
+                    at = closing.start() if closing else size
+            elif page.startswith("<!--", k):
+                done = page.startswith((">", "->"), k + 4)
+                closing = None if done else _COMMENT_END.search(page, k + 4)
+                at = page.index(">", k) + 1 if done else closing.end() if closing else size
+            elif page.startswith("<![CDATA[", k) and self.holds("svg", "math"):
+                closing = page.find("]]>", k)
+                self.data(page[k + 9 : closing if closing >= 0 else size])
+                at = closing + 3 if closing >= 0 else size
+            else:
+                closing = page.find(">", k + 2)
+                at = closing + 1 if closing >= 0 else size
+
+
+_OPENS = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|[!?]|/[^A-Za-z])")
+_COMMENT_END = re.compile(r"--!?>")
+_CLOSES = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW | RAW_WITH_REFERENCES}
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(?=["'])|([^\s>]*)))?)""")
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str] | None, int]:
+    """The attributes of a tag (the first of equal names) and where it ends; None if the page ends before."""
+    out: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(page, at):
+        at = m.end()
+        if m[1]:
+            return out, at
+        if m[3] is None and m[4] is None and m[5] is None and page[at : at + 1] in ('"', "'") and page[at - 1 : at] in "= \t\n\r\f":
+            break  # a quoted value without an end
+        value = next((g for g in m.group(3, 4, 5) if g is not None), "")
+        out.setdefault(m[2].lower(), unescaped(value))
+    return None, len(page)
+
+
+def unescaped(text: str) -> str:
+    if "&" not in text:
+        return text
+    if "&#" in text:  # numbers of any length: zeros in front go, what is beyond all characters is one such
+        text = re.sub(r"&#0+(?=[0-9])", "&#", text)
+        text = re.sub(r"&#[0-9]{8,}", "&#1114112", text)
+    return charrefs.unescape(text)
+
 
 def on_screen(media: str) -> bool:
     """Whether a media query list holds on a screen of SCREEN pixels; features other than its size count as not given."""
-    for query in media.lower().split(","):
+    media = " ".join(media.lower().split())
+    for query in media.split(","):
         words = query.split("(")[0].split()
         negated, kinds = "not" in words, set(words) - {"not", "only", "and", "screen", "all"}
         holds = not kinds
@@ -169,36 +235,39 @@ def on_screen(media: str) -> bool:
 def rules_of(css: str) -> list[tuple[str, str]]:
     """(selectors, declarations) of the style rules that hold on screen, in order."""
     out: list[tuple[str, str]] = []
-    blocks: list[tuple[bool, str]] = []  # whether it is a style rule or an at-rule that holds; the selectors
+    blocks: list[tuple[bool, str, bool]] = []  # whether it holds; a style rule's selectors; whether all around it are at-rules that hold
     now = ""
 
-    def end() -> None:
-        holds, selectors = blocks.pop()
-        if holds and selectors and all(h and not x for h, x in blocks):
-            out.append((selectors, now))
+    def tell(declarations: str) -> None:
+        holds, selectors, clear = blocks[-1]
+        if holds and selectors and clear and declarations:
+            out.append((selectors, declarations))
 
     for token in _CSS.findall(re.sub(r"/\*.*?(?:\*/|$)|<!--|-->", " ", css, flags=re.DOTALL)):
         if token == "{":
             inside = bool(blocks and blocks[-1][1])
             before, _, head = now.rpartition(";") if inside else ("", "", now)
-            if inside and before and blocks[-1][0] and all(h and not x for h, x in blocks[:-1]):
-                out.append((blocks[-1][1], before))
+            if inside:
+                tell(before)
             head, now = head.strip(), ""
+            clear = not blocks or blocks[-1][0] and not blocks[-1][1] and blocks[-1][2]
             if head.startswith("@"):
                 name, _, rest = re.sub(r"^(@[\w-]+)", r"\1 ", head.lower()).partition(" ")
-                blocks.append((name in ("@supports", "@layer") or name == "@media" and on_screen(rest), ""))
+                blocks.append((name in ("@supports", "@layer") or name == "@media" and on_screen(rest), "", clear))
             else:
-                blocks.append((not inside, head or "?"))
+                blocks.append((not inside, head or "?", clear))
         elif token == "}":
             if blocks:
-                end()
+                tell(now)
+                blocks.pop()
             now = ""
         elif token == ";" and not (blocks and blocks[-1][1]):
             now = ""
         else:
             now += token
     while blocks:
-        end()
+        tell(now)
+        blocks.pop()
         now = ""
     return out
 
@@ -214,7 +283,8 @@ class Rule:
 
 def _declared(body: str) -> list[tuple[str, bool, bool]]:
     """(display or visibility, whether it hides, whether important) as declared."""
-    return [(p.lower(), v.lower() in ("none", "hidden", "collapse"), bool(i)) for p, v, i in _SHOWS.findall(body)]
+    hides = {"display": ("none",), "visibility": ("hidden", "collapse")}
+    return [(p, v.lower() in hides[p], bool(i)) for p, v, i in ((p.lower(), v, i) for p, v, i in _SHOWS.findall(body)) if v.lower() not in ("inherit", "unset", "revert")]
 
 
 def hidden_by(styles: list[str]) -> dict[str, list[Rule]]:
@@ -236,16 +306,18 @@ def hidden_by(styles: list[str]) -> dict[str, list[Rule]]:
                 own = frozenset(re.findall(r"[.#][\w-]+", m[2]))
                 tag = m[1].lower().replace("*", "")
                 rule = Rule(tag, own, (important, ids, len(marks) - ids, tags, order), part, gone)
-                out.setdefault(min(own) if own else tag or "*", []).append(rule)
+                key = min(own, key=lambda m: (len(out.get(m, ())), m)) if own else tag or "*"  # the least crowded one
+                out.setdefault(key, []).append(rule)
                 hides |= gone
-    return out if hides else {}
+    return {k: list({(r.tag, r.marks, r.part): r for r in sorted(rules, key=lambda r: r.rank)}.values()) for k, rules in out.items()} if hides else {}
 
 
-def shown(node: Node, gone: dict[str, list[Rule]]) -> bool:
+def shown(node: Node, gone: dict[str, list[Rule]]) -> tuple[bool, bool | None]:
+    """Whether an element is displayed, and whether it is made visible or invisible (None: as what it stands in)."""
     if node.tag in HIDDEN or "hidden" in node.attrs and node.attrs["hidden"].lower() != "until-found":
-        return False
+        return False, None
     if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in node.attrs:
-        return False
+        return False, None
     best: dict[str, tuple[tuple, bool]] = {}
     if style := node.attrs.get("style"):
         for part, hides, important in _declared(style):
@@ -259,7 +331,7 @@ def shown(node: Node, gone: dict[str, list[Rule]]) -> bool:
             for rule in gone.get(key, ()):
                 if (not rule.tag or rule.tag == node.tag) and rule.marks <= marks and (rule.part not in best or best[rule.part][0] <= rule.rank):
                     best[rule.part] = rule.rank, rule.gone
-    return not any(hides for _, hides in best.values())
+    return not best.get("display", (0, False))[1], not best["visibility"][1] if "visibility" in best else None
 
 
 def face(node: Node) -> str:
@@ -280,7 +352,7 @@ def chosen(select: Node, gone: dict[str, list[Rule]]) -> list[Node | str]:
         if node.tag == "option":
             options.append((node, off or "disabled" in node.attrs))
         else:
-            work += [(c, off or node.tag == "optgroup" and "disabled" in node.attrs) for c in reversed(node.children) if isinstance(c, Node) and shown(c, gone)]
+            work += [(c, off or node.tag == "optgroup" and "disabled" in node.attrs) for c in reversed(node.children) if isinstance(c, Node) and shown(c, gone)[0]]
     if "multiple" in select.attrs or re.fullmatch(r"0*([2-9]|[1-9][0-9]+)", select.attrs.get("size", "")):
         return [Node("div", {}, [n]) for n, _ in options]
     picked = [n for n, _ in options if "selected" in n.attrs][-1:] or [n for n, off in options if not off][:1]
@@ -316,33 +388,96 @@ class Page:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        self.lines.append("  " * self.indent + line)
+        self.lines.append("  " * min(self.indent, DEEPEST) + line)
 
     def space_out(self) -> None:
         self.blank = bool(self.lines)
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Table rows as lines, cells padded to their column's width; a column wider than WIDEST_PAD is not padded."""
-    rows = [[" ".join(c.split("\n")) for c in r] for r in rows if any(c.strip() for c in r)]
-    width: list[int] = []
-    for r in rows:
-        for k, c in enumerate(r[:-1]):
-            while len(width) <= k:
-                width.append(0)
-            width[k] = max(width[k], min(len(c), WIDEST_PAD))
-    return [" | ".join([*(c.ljust(width[k]) for k, c in enumerate(r[:-1])), r[-1]]).rstrip() for r in rows]
+@dataclass(slots=True)
+class Cell:
+    column: int
+    span: int
+    lines: list[str]
+
+
+class Table:
+    """The cells of a table by row, put into columns."""
+
+    def __init__(self):
+        self.rows: list[list[Cell]] = []
+        self.column, self.steps, self.cells = 0, 0, 0
+        self.down: dict[int, tuple[int, int]] = {}  # by first column: width and last row of the cells that reach down
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.column = 0
+
+    def cell(self, attrs: dict[str, str], lines: list[str]) -> None:
+        across, down = (int(n) if re.fullmatch(r"[0-9]{1,5}", n := attrs.get(k, "1").strip()) else 1 for k in ("colspan", "rowspan"))
+        across, here = max(1, min(across, 1000)), len(self.rows) - 1
+        self.cells += 1
+        # a page can make this step long for many rows; past 100 steps a cell, cells that reach down count no more
+        while (held := self.down.get(self.column)) and held[1] >= here and self.steps < 100 * self.cells + 10_000:
+            self.column += held[0]
+            self.steps += 1
+        if down != 1:
+            self.down[self.column] = (across, here + (down - 1 if down else 1 << 30))
+        self.rows[-1].append(Cell(self.column, across, lines))
+        self.column += across
+
+    def lines(self) -> list[str]:
+        """The rows as lines; cells are padded to their column's width, those of several lines in each of these."""
+        rows = [r for r in self.rows if any(line for c in r for line in c.lines)]
+        if len(rows) == 1 and len(rows[0]) == 1:
+            return rows[0][0].lines
+        starts = sorted({c.column for r in rows for c in r})
+        number = {c: k for k, c in enumerate(starts)}
+        width = [0] * len(starts)
+        size = sum(len(line) + 3 for r in rows for c in r for line in c.lines or [""])
+        ends = {id(c): bisect.bisect_left(starts, c.column + c.span) for r in rows for c in r}
+        for alone in (True, False):  # cells of one column first
+            for r in rows:
+                for c in r[:-1]:
+                    first, end = number[c.column], ends[id(c)]
+                    if (end - first == 1) == alone and c.lines:
+                        room = width[first] if alone else sum(width[first:end]) + 3 * (end - first - 1)
+                        width[end - 1] += max(0, max(map(len, c.lines)) - room)
+        before = [0]
+        for w in width:
+            before.append(before[-1] + w + 3)
+        cost = sum(before[number[r[-1].column]] * max(1, *(len(c.lines) for c in r)) for r in rows)
+        pad = cost <= PADDING * size + 10_000
+        out = []
+        for r in rows:
+            held, k = r, 0
+            while held:
+                line, at = [], 0
+                for c in held:
+                    first = before[number[c.column]]
+                    if pad and first > at:  # columns without a cell, or without so many lines
+                        line.append(" " * (first - at - 3) + (" | " if first - at > 3 else "   "))
+                    text = c.lines[k] if c.lines else ""
+                    at = before[ends[id(c)]]
+                    if c is not held[-1]:
+                        text = (text.ljust(at - 3 - first) if pad else text) + " | "
+                    line.append(text)
+                out.append("".join(line).rstrip())
+                k += 1
+                held = [c for c in held if len(c.lines) > k]
+        return out
 
 
 def render(root: Node, gone: dict[str, list[Rule]]) -> str:
     pages, lists, tables, pre = [Page()], [], [], 0
     drawing: list[bool] = []  # of each open svg: whether text in it is drawn at this place
-    work: list[tuple[Node | str, bool]] = [(root, True)]
+    seen = [True]  # of each open element: whether it is visible
+    work: list[tuple[Node | str, str]] = [(root, "enter")]
     while work:
-        item, enter = work.pop()
+        item, phase = work.pop()
         page = pages[-1]
         if isinstance(item, str):
-            if drawing and not drawing[-1]:
+            if drawing and not drawing[-1] or not seen[-1]:
                 continue
             if pre:
                 first, *rest = item.split("\n")
@@ -354,10 +489,12 @@ def render(root: Node, gone: dict[str, list[Rule]]) -> str:
                 page.text(item)
             continue
         tag = item.tag
-        if enter:
-            if not shown(item, gone) or drawing and not drawing[-1] and tag in UNDRAWN:
+        if phase == "enter":
+            displayed, visible = shown(item, gone)
+            if not displayed or drawing and not drawing[-1] and tag in UNDRAWN:
                 continue
-            work.append((item, False))
+            seen.append(seen[-1] if visible is None else visible)
+            phase = "leave"
             children = item.children
             if tag == "svg" or drawing and tag in ("text", "foreignobject"):
                 page.space |= bool(page.now)
@@ -378,11 +515,14 @@ def render(root: Node, gone: dict[str, list[Rule]]) -> str:
             if tag == "table":
                 page.end_line()
                 page.space_out()
-                tables.append([])
+                tables.append(Table())
             elif tag == "tr" and tables:
-                tables[-1].append([])
-            elif tag in ("td", "th") and tables and tables[-1]:
+                if len(tables) <= NESTED:
+                    tables[-1].row()
+                page.end_line()
+            elif tag in ("td", "th") and tables and tables[-1].rows:
                 pages.append(Page())
+                phase = "cell"
             elif tag == "br":
                 line = bool(page.now or page.mark)
                 page.end_line()
@@ -390,7 +530,8 @@ def render(root: Node, gone: dict[str, list[Rule]]) -> str:
                     page.put("")
             elif tag == "hr":
                 page.end_line()
-                page.put("---")
+                if seen[-1]:
+                    page.put("---")
             elif tag in BLOCK:
                 page.end_line()
                 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu", "p")):
@@ -401,17 +542,23 @@ def render(root: Node, gone: dict[str, list[Rule]]) -> str:
                     lists.append(int(start) if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1 if tag == "ol" else None)
                 elif tag == "li":
                     if lists and lists[-1] is not None:
-                        page.mark = f"{lists[-1]}. "
+                        page.mark = f"{lists[-1]}. " if seen[-1] else ""
                         lists[-1] += 1
                     else:
-                        page.mark = "- "
+                        page.mark = "- " if seen[-1] else ""
                 elif tag in ("blockquote", "dd"):
                     page.indent += 1
                 elif tag == "pre":
                     pre += 1
-            work.extend((c, True) for c in reversed(children))
+            work.append((item, phase))
+            work.extend((c, "enter") for c in reversed(children))
             continue
-        if tag == "svg" or tag in ("text", "foreignobject") and len(drawing) and drawing[-1]:
+        seen.pop()
+        if phase == "cell":
+            page.end_line()
+            pages.pop()
+            tables[-1].cell(item.attrs, page.lines)
+        elif tag == "svg" or tag in ("text", "foreignobject") and drawing and drawing[-1]:
             drawing.pop()
             page.space |= bool(page.now)
         elif tag == "textarea":
@@ -419,16 +566,10 @@ def render(root: Node, gone: dict[str, list[Rule]]) -> str:
             pre -= 1
         elif tag == "table" and tables:
             page.end_line()
-            for line in aligned(tables.pop()):
+            for line in tables.pop().lines():
                 page.put(line)
             page.space_out()
-        elif tag in ("td", "th") and len(pages) > 1 and tables and tables[-1]:
-            page.end_line()
-            done = pages.pop()
-            span = item.attrs.get("colspan", "1")
-            more = int(span) - 1 if re.fullmatch(r"[1-9][0-9]{0,2}", span) else 0
-            tables[-1][-1] += ["\n".join(done.lines), *[""] * more]
-        elif tag in BLOCK and tag != "hr" and not (tag == "tr" and tables):
+        elif tag in BLOCK and tag != "hr":
             page.end_line()
             if tag in ("ul", "ol", "menu", "dir") and lists:
                 lists.pop()
@@ -461,7 +602,6 @@ def extract(html: str | None) -> tuple[str | None, str]:
         return None, ""
     builder = TreeBuilder()
     builder.feed(html)
-    builder.close()
     return title_of(builder.root), render(builder.root, hidden_by(["".join(c for c in n.children if isinstance(c, str)) for n in builder.sheets]))
 
 

@@ -4,10 +4,13 @@ import base64
 import gzip
 import itertools
 import random
+import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -86,6 +89,74 @@ def test_what_browsers_show(html, seen):
     assert html_extraction.extract(html)[1] == seen
 
 
+@pytest.mark.parametrize(
+    ("html", "seen"),
+    [
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<td>d<tr><td colspan=2>wide cell<td>e</table>", "A | b\n  | c     | d\nwide cell | e"),
+        ("<table><tr><th>k<th>v<tr><td><p>one<p>two<td><ul><li>x<li>y</ul><tr><td>z<td>1</table>", "k   | v\none | - x\n    | - y\ntwo\nz   | 1"),
+        (f"<table><tr><td>{'w' * 90}<td>1<tr><td>a<td>2</table>", f"{'w' * 90} | 1\na{' ' * 89} | 2"),
+        ("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b></div>", "yes"),
+        ("<style>.v{visibility:visible} .h{visibility:hidden}</style><ul class=h><li>no<li class=v>yes</ul>", "- yes"),
+        ("a<select><option>one<select><option>two", "a one two"),
+        ("<p>a < b &#0000000065; &#99999999999999; <!--> c <!-- no --!> d <? no > e </ no> f", "a < b A \ufffd c d e f"),
+        ("x<title>no</title><noscript><b>no</b></noscript><script>'</p>'</script>y", "xy"),
+        ("<p title='>'>a<P CLASS=\"x>y\">b", "a\n\nb"),
+        ("<svg><text><![CDATA[a < b]]></text></svg><![CDATA[no]]>c", "a < b c"),
+    ],
+)
+def test_layout_of_soup(html, seen):
+    assert html_extraction.extract(html)[1] == seen
+
+
+HOSTILE = {
+    "tags": "<a " * 20_000, "deep": "<b><i>" * 5_000 + "</b></p>" * 5_000, "tables": "<table><tr><td>a<td>" * 3_000, "lists": "<ul><li>x" * 6_000,
+    "cells": "<table><tr>" + "<td rowspan=60000 colspan=9>a" * 1_000 + "<tr><td>x" * 5_000, "lines": "<table><tr>" + "<td>" * 5_000 + "x<br>" * 5_000,
+    "select": "<select><option>a" * 3_000, "number": "&#" + "9" * 60_000, "zeros": "&#" + "0" * 60_000 + "65;", "comments": "<!--" * 15_000, "rules": "<style>" + ".a.b{display:none}" * 3_000 + "</style>" + "<p class=a>x" * 3_000,
+    "braces": "<style>" + "{" * 60_000, "media": "<style media='(" + " " * 60_000 + "'>",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_is_in_proportion(name):
+    began = time.process_time()
+    html_extraction.extract(HOSTILE[name])
+    assert time.process_time() - began < 2  # quadratic work would take minutes
+
+
+class Plain(HTMLParser):
+    """All text of a page that no hidden element holds, by the standard library's parser, without layout."""
+
+    def __init__(self, hidden):
+        super().__init__()
+        self.hidden, self.open, self.text = hidden, [], []
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        off = tag in html_extraction.HIDDEN or "hidden" in own or "display:none" in (own.get("style") or "").replace(" ", "") or bool(self.hidden & set((own.get("class") or "").split()))
+        if tag not in html_extraction.VOID:
+            self.open.append((tag, off))
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(off for _, off in self.open):
+            self.text.append(data)
+
+
+def test_all_visible_text_of_the_pages(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        plain = Plain(set(re.findall(r"\.([\w-]+)\s*\{[^}]*display:\s*none", row.html)))
+        plain.feed(row.html)
+        marks = r"^[ ]*(?:- |[0-9]+\. )|\||^---$"
+        words = lambda t: Counter(re.sub(marks, " ", t, flags=re.MULTILINE).split())
+        got, want = words(html_extraction.extract(row.html)[1]), words(" ".join(plain.text))
+        glued = lambda c: Counter("".join(sorted("".join(c.elements()))))
+        assert glued(got) == glued(want)
+
+
 @given(st.text(alphabet="<>/=\"' abpdivtrul&;!-", max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_any_soup(html):
