@@ -5,8 +5,9 @@ and gzip or zlib streams inside decoded bytes. Every layer is scanned with the s
 mapped back to the span of the original text it came from. Layers already seen in a text are not opened again, so a
 chain of decodings ends at its fixpoint.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each; an empty table gives an
-empty result; further columns are ignored. A compressed stream is read in overlapping windows, each unwrapped and
+Defined cases: a null text counts as empty and has no spans; a very long text is scanned whole; kinds that start at the
+same place tie and go as listed; repeated rows are scanned each; an empty table gives an empty result; further columns
+are ignored, or kept where texts are redacted. A compressed stream is read in overlapping windows, each unwrapped and
 scanned like any layer, whatever its bytes; the overlap holds any encoded run of up to LONGEST bytes.
 """
 
@@ -39,8 +40,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 _WORDS = ("passw", "secret", "token", "api")
-_PERCENT = re.compile(r"(?:[A-Za-z0-9_.~+/=&?:;,@!$'()*-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9_.~+/=&?:;,@!$'()*-]*")
 _PERCENT_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: A word of form data, in which a plus sign is a blank, and what is decoded there.
+_FORM, _FORM_ONE = re.compile(r"[^\s\"'<>]+"), re.compile(r"\+|(?:%[0-9A-Fa-f]{2})+")
+#: Escapes of an escape's own first character, over and over. Such a run is halved at a time, whatever its depth: what lies
+#: between differs in the length of the run only.
+_NESTED = re.compile(r"%(?:25){4,}|&(?:amp;){4,}|&(?:#38;){4,}|&(?:#x26;){4,}|\\(?:u005[cC]){4,}|\\(?:x5[cC]){4,}")
+_PERIOD = {"%": 2, "&a": 4, "&#3": 4, "&#x": 5, "\\u": 5, "\\x": 3}
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|&(?:quot|apos|amp|lt|gt|equals|colon);")
 #: Compressed bytes as percent escapes (other characters standing for themselves), and as characters.
 _PERCENT_PACKED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:%78|x)(?:%01|%5[Ee]|%9[Cc]|%[Dd][Aa]|\^%))[!-~]*")
@@ -128,7 +134,15 @@ def _readable(raw: bytes) -> str | None:
 
 
 def _text(raw: bytes) -> str:
-    """Bytes as text whatever they are: UTF-8, or else one character a byte, which keeps all ASCII in place."""
+    """Bytes as text whatever they are: UTF-16 if it is marked so or every other byte is mostly zero, UTF-8, or else one
+    character a byte, which keeps all ASCII in place."""
+    half = len(raw) // 2
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return raw.decode("utf-16", "replace")
+    if half >= 8 and b"\0" in raw:
+        for first, name in ((1, "utf-16-le"), (0, "utf-16-be")):
+            if 2 * raw[first::2].count(0) >= half and 8 * raw[1 - first :: 2].count(0) <= half:
+                return raw.decode(name, "replace")
     try:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
@@ -232,15 +246,26 @@ def _base64_bytes(run: str) -> bytes:
     return base64.b64decode((core + "=" * (-len(core) % 4)).replace("-", "+").replace("_", "/"))
 
 
+def _percent(run: str) -> str:
+    return _text(binascii.unhexlify(run.replace("%", "")))
+
+
+def _halved(run: str) -> str:
+    period = next(n for head, n in _PERIOD.items() if run.startswith(head))
+    return run[: 1 + period * ((len(run) - 1) // period // 2)]
+
+
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers directly below this one, one at a time, so that windows of a large stream are not held together."""
     text = layer.text
+    if edits := [(m.start(), m.end(), _halved(m.group())) for m in _NESTED.finditer(text)]:
+        yield layer.rewritten(edits)
+        return  # everything else is in the layers below that one too
     if "%" in text:
-        edits = []
-        for m in _PERCENT_ONE.finditer(text):
-            edits.append((m.start(), m.end(), _text(binascii.unhexlify(m.group().replace("%", "")))))
-        if edits:
+        if edits := [(m.start(), m.end(), _percent(m.group())) for m in _PERCENT_ONE.finditer(text)]:
             yield layer.rewritten(edits)
+            if "+" in text and (form := [(m.start(), m.end(), " " if m.group() == "+" else _percent(m.group())) for w in _FORM.finditer(text) if "+" in w.group() and "%" in w.group() for m in _FORM_ONE.finditer(text, w.start(), w.end())]):
+                yield layer.rewritten(form)
     if "\\" in text or "&" in text:
         edits = [(m.start(), m.end(), c) for m in _ESCAPE.finditer(text) if (c := _char(m)) is not None]
         if edits:

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 import itertools
 import random
 import re
@@ -478,6 +479,38 @@ def test_base64_lines_and_alignments(wrapped):
     assert found and all(6 <= a < b <= 6 + len(wrapped) for a, b in found)
 
 
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        urllib.parse.quote_plus(KEY), "a=1&b=" + urllib.parse.quote_plus(KEY + " ok"), "%ff%fe" + urllib.parse.quote(KEY, safe=""), base64.b64encode(("é " + KEY).encode("latin-1")).decode(),
+        *(base64.b64encode(KEY.encode(c)).decode() for c in ("utf-16", "utf-16-le", "utf-16-be")), base64.b64encode(gzip.compress(KEY.encode("utf-16"))).decode(),
+        "password%" + "25" * 3000 + "3Dhunter2hunter2", "password&" + "amp;" * 3000 + "#61;hunter2hunter2", "password\\" + "u005c" * 3000 + "u003dhunter2hunter2",
+    ],
+)
+def test_forms_charsets_and_depth(wrapped):
+    began = time.process_time()
+    found = [(a, b) for k, a, b in secret_scan.secrets("hi " + wrapped + " bye")[1] if k == "assign"]
+    assert found and all(3 <= a < b <= 3 + len(wrapped) for a, b in found)
+    assert time.process_time() - began < 2
+
+
+def test_the_query_against_the_contract(spark):
+    rows = {r.doc_id: r for r in secret_scan.op7_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    kinds = {
+        "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<value>[A-Za-z0-9+/_.=-]+)""", 12),
+        "access": (r"(?P<value>AKIA[A-Z0-9]+)", 18),
+        "hex": (r"(?P<value>[0-9a-f]+)", 16),
+    }
+    for doc in docs:
+        found = [(m.start(), n, kind, m.end()) for n, (kind, (pattern, least)) in enumerate(kinds.items()) for m in re.finditer(pattern, doc.text or "") if len(m["value"]) >= least]
+        row = rows[doc.doc_id]
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(f[2] == k for f in found) for k in kinds)
+        told = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+        assert row.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert set(filter(None, told.split(","))) <= set(row.spans.split(","))
+
+
 def test_base_patterns():
     text = "ApiKey: 'abcdefghijkl' token=short AKIA" + "A" * 14 + " " + "AKIA" + "B" * 13 + " " + "0123456789abcdef" + " " + "f" * 15
     base, spans = secret_scan.secrets(text)
