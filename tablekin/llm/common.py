@@ -152,6 +152,30 @@ def local_forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, r) for x in list(parent) if (r := find(x)) != x]
 
 
+class Forest:
+    """Trees over rows of one task, joined by arrays of links: work on links inside a tree is vectorised away."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.parent = ids, np.arange(len(ids))
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.parent[i], self.parent[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+            while (up := self.parent[self.parent]).tobytes() != self.parent.tobytes():
+                self.parent = up
+
+    def pairs(self) -> tuple[list[int], list[int]]:
+        """(ids, roots) of all rows that aren't their tree's smallest id."""
+        least = np.full(len(self.ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.parent, self.ids)
+        root = least[self.parent]
+        at = np.flatnonzero(root != self.ids)
+        return self.ids[at].tolist(), root[at].tolist()
+
+
 def _shrunk(edges: DataFrame) -> DataFrame:
     """Each partition's edges as a spanning forest, in pieces of bounded size."""
 

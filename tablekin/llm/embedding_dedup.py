@@ -1,7 +1,8 @@
 """Near-duplicate vectors: an exact range join in the metric of angles.
 
 1. Equal vectors form a class; its smallest id stands for it, with the number of copies.
-2. A bounded set of pivots cuts space into cells: a vector's home is the pivot with the largest cosine.
+2. Pivots cut space into cells: a vector's home is the pivot with the largest cosine. How many pivots there are follows
+   from a bounded sample: the number at which the estimated work (vectors sent and pairs compared) is least.
 3. Boundary replication: let x have home i. For every pivot j, x lies on i's side of the plane midway between i and j.
    By the triangle inequality a vector y within angle t of x is no further than t beyond that plane, so y has to be
    compared in cell i only if y . (j - i) / |j - i| <= sin t for all j. A pair is compared in its smaller home only.
@@ -9,9 +10,14 @@
    single precision with a safe margin finds candidates, their cosines are then taken in double precision.
 5. Links are not written out: a task returns each vector's number of links and a spanning forest.
 
+Vectors scattered in many dimensions lie near all borders: no pivot tells them apart, and an exact join has to compare
+a constant share of all pairs. Then few pivots and large chunks keep the vectors sent in proportion to the input up to
+16 * MOST_CHUNK vectors; the comparisons grow with the square.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, and so do rows
-with a null id (their component_id is null) and vectors of different lengths with each other; repeated rows count as
-further copies; an empty table gives an empty result; further columns are ignored.
+with a null id (their component_id is null) and vectors of different lengths with each other; very long vectors are
+compared whole; repeated rows count as further copies; rows with equal ids and different vectors count each, under the
+common id; ties go to the smaller id or cell; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +31,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, local_forest, lookup_join, stored, table
+from .common import Forest, arrow_map, components, lookup_join, stored, table
 
 COSINE = 0.9
-#: One pivot for so many vectors, up to a fixed number of pivots.
-PER_PIVOT, MOST_PIVOTS = 2048, 1024
-CHUNK = 2048
+#: The numbers of pivots tried, and the vectors they are tried on.
+PIVOTS, SAMPLE = (4, 16, 64, 256, 1024), 1024
+#: Vectors in a chunk: a sixteenth of all within these bounds. A task holds two chunks.
+LEAST_CHUNK, MOST_CHUNK = 1 << 14, 1 << 16
 MARGIN = 1e-5
 
 
+def chunk_size(n: int) -> int:
+    return max(LEAST_CHUNK, min(n // 16, MOST_CHUNK))
+
+
 def prepared(embeddings: DataFrame) -> DataFrame:
     """vec_id and raw: the vector as little-endian doubles, null if it can't link."""
 
@@ -59,15 +70,29 @@ def unit(raws: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def chosen_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Unit pivots by vector size (in bytes), the first by hash order. At most MOST_PIVOTS of them all together."""
-    n = classes.count()
-    k = min(MOST_PIVOTS, max(1, n // PER_PIVOT))
-    rows = classes.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(k).select("raw").collect()
+def chosen_pivots(classes: DataFrame, n: int, cosine: float) -> dict[int, np.ndarray]:
+    """Unit pivots by vector size (in bytes), of a bounded sample in hash order: at most max(PIVOTS) + SAMPLE vectors."""
+    rows = classes.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(max(PIVOTS) + SAMPLE).select("raw").collect()
     by: dict[int, list[bytes]] = {}
     for r in rows:
         by.setdefault(len(r.raw), []).append(bytes(r.raw))
-    return {size: unit(raws) for size, raws in by.items()}
+    out = {}
+    for size, raws in by.items():
+        x, own = unit(raws), n * len(raws) / len(rows)
+        tried = [k for k in PIVOTS if 2 * k <= len(x)] or [1]
+        test = x[-min(len(x), SAMPLE) :]
+        out[size] = x[: min(tried, key=lambda k: work(test, x[:k], own, size, chunk_size(n), cosine))]
+    return out
+
+
+def work(test: np.ndarray, pivots: np.ndarray, n: float, size: int, chunk: int, cosine: float) -> float:
+    """About how many seconds of sending and comparing n vectors of size bytes cost, by a sample of them."""
+    home, guest = homes_and_guests(test, pivots, cosine)
+    own = np.bincount(home, minlength=len(pivots)) * n / len(test)
+    more = guest.sum(axis=0) * n / len(test)
+    a, b = np.ceil(own / chunk), np.ceil(more / chunk)
+    sent = (own * (a + b) + more * a).sum()
+    return sent * size / 1e8 + (own * (own / 2 + more)).sum() * size / 4 / 1e10
 
 
 def homes_and_guests(x: np.ndarray, pivots: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +112,7 @@ def homes_and_guests(x: np.ndarray, pivots: np.ndarray, cosine: float) -> tuple[
 
 def routed(classes: DataFrame, pivots: dict[int, np.ndarray], cosine: float) -> DataFrame:
     """rep, copies, raw, home and guests: cell names hold the vector's length, so that lengths never mix."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
+    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most max(PIVOTS) vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,14 +136,14 @@ def routed(classes: DataFrame, pivots: dict[int, np.ndarray], cosine: float) ->
     return arrow_map(classes.select("rep", "copies", "raw"), run, "rep long, copies long, raw binary, home string, guests array<string>")
 
 
-def tiled(rows: DataFrame) -> DataFrame:
+def tiled(rows: DataFrame, chunk: int) -> DataFrame:
     """cell, a, b, second, rep, copies, raw: each vector in every task that compares it, second if it is on b's side.
 
     A task is a chunk of a cell's own vectors against itself (b = a), a later chunk (b > a) or a chunk of guests
     (b < 0). Cells are few (at most one per pivot and vector length), so their sizes are collected.
     """
     sizes = rows.select(F.explode(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(0).alias("g"))), F.transform("guests", lambda c: F.struct(c.alias("cell"), F.lit(1).alias("g"))))).alias("e")).groupBy("e.cell", "e.g").count()
-    chunks = {(r.cell, r.g): -(-r["count"] // CHUNK) for r in sizes.collect()}
+    chunks = {(r.cell, r.g): -(-r["count"] // chunk) for r in sizes.collect()}
     shared = rows.sparkSession.sparkContext.broadcast(chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +181,7 @@ def compared(tiles: DataFrame, cosine: float) -> DataFrame:
         second = np.array(rows.column("second").to_pylist(), bool)
         left = np.flatnonzero(~second)
         right = left if alone else np.flatnonzero(second)
-        counts, links = np.zeros(len(reps), np.int64), []
+        counts, forest = np.zeros(len(reps), np.int64), Forest(reps)
         for at in range(0, len(left), 512):
             rows_ = left[at : at + 512]
             p, q = np.nonzero(small[rows_] @ small[right].T >= cosine - MARGIN)
@@ -168,12 +193,10 @@ def compared(tiles: DataFrame, cosine: float) -> DataFrame:
                 sure = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
                 i, j = i[sure], j[sure]
                 counts += np.bincount(i, copies[j], len(reps)).astype(np.int64) + np.bincount(j, copies[i], len(reps)).astype(np.int64)
-                links += local_forest(zip(reps[i].tolist(), reps[j].tolist(), strict=True))
-        forest = local_forest(links)
+                forest.link(i, j)
+        nodes, roots = forest.pairs()
         at = np.flatnonzero(counts)
-        out_a = [*(p for p, _ in forest), *reps[at].tolist()]
-        out_b = [*(q for _, q in forest), *[None] * len(at)]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "n": pa.array([*[None] * len(forest), *counts[at].tolist()], pa.int64())})
+        return pa.table({"a": pa.array(nodes + reps[at].tolist(), pa.int64()), "b": pa.array(roots + [None] * len(at), pa.int64()), "n": pa.array([None] * len(nodes) + counts[at].tolist(), pa.int64())})
 
     return tiles.groupBy("cell", "a", "b").applyInArrow(compare, "a long, b long, n long")
 
@@ -183,8 +206,9 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = stored(prepared(embeddings).withColumn("key", F.sha2("raw", 256)))
     known = rows.where("raw is not null and vec_id is not null")
     classes = stored(known.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("raw").alias("raw")))
-    homes = stored(routed(classes, chosen_pivots(classes), cosine))
-    found = stored(compared(tiled(homes), cosine))
+    n = classes.count()
+    homes = stored(routed(classes, chosen_pivots(classes, n, cosine), cosine))
+    found = stored(compared(tiled(homes, chunk_size(n)), cosine))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
     judged = classes.select("key", "rep", "copies").join(links.join(groups, "rep", "left"), "rep", "left")

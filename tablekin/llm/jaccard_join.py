@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, arrow_map, components, local_forest, lookup_join, stored, table
+from .common import SLICE, Forest, arrow_map, components, lookup_join, stored, table
 from .shingles import DEPTH, LEAST, RECALL, SIMILARITY, Shingler, prefixes, shortened, signature
 
 #: Representatives in a block; a task compares at most two blocks.
@@ -164,10 +164,10 @@ def verified(documents: DataFrame, tiles: DataFrame, copies: DataFrame, similari
         counts = hit @ copies_
         at = np.flatnonzero(counts)
         x, y = np.nonzero(np.triu(hit))
-        forest = local_forest(zip(reps[x].tolist(), reps[y].tolist(), strict=True))
-        a = [*(p for p, _ in forest), *reps[at].tolist()]
-        b = [*(q for _, q in forest), *[None] * len(at)]
-        n = [*[None] * len(forest), *counts[at].tolist()]
+        forest = Forest(reps)
+        forest.link(x, y)
+        nodes, roots = forest.pairs()
+        a, b, n = nodes + reps[at].tolist(), roots + [None] * len(at), [None] * len(nodes) + counts[at].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return spread.groupBy("a", "b").applyInArrow(compare, "a long, b long, n long")

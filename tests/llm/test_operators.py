@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablekin.llm import embedding_dedup, html_extraction, jaccard_join, packing, quality_rules, secret_scan, shingles, source_mixing, token_output, tokens, toxicity
-from tablekin.llm.common import components, local_forest, shared_folder
+from tablekin.llm.common import Forest, components, local_forest, shared_folder
 from tablekin.llm.common import stored as shared
 
 SF = "/root/testdata/sf0.001"
@@ -203,10 +203,10 @@ def test_token_files(spark):
 # 3: vectors
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_range_join(spark, seed, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 20)
-    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
+@pytest.mark.parametrize(("seed", "pivots"), [(1, 16), (2, 4)])
+def test_range_join(spark, seed, pivots, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", (pivots,))
+    monkeypatch.setattr(embedding_dedup, "LEAST_CHUNK", 16)
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(40, 6))
     x = np.concatenate([base[rng.integers(0, 40, 260)] + rng.normal(scale=0.12, size=(260, 6)), base[[0] * 60] + 0, rng.normal(size=(60, 6))])
@@ -231,6 +231,28 @@ def test_boundary_replication_misses_nothing():
             assert guest[b, home[a]]
 
 
+def test_pivots_follow_the_data():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(300, 16))
+    chosen = {}
+    for name, x in (("scattered", rng.normal(size=(1500, 64))), ("clustered", centres[rng.integers(0, 300, 1500)] + rng.normal(scale=0.05, size=(1500, 16)))):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        chosen[name] = min((4, 64, 256), key=lambda k: embedding_dedup.work(x[500:], x[:k], 1e6, 512, 65536, 0.9))
+    assert chosen["scattered"] == 4 < chosen["clustered"]
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60), st.integers(1, 7))
+@settings(deadline=None)
+def test_forest_of_links(pairs, batch):
+    ids = np.random.default_rng(1).permutation(1000)[:31]
+    forest = Forest(ids)
+    for k in range(0, len(pairs), batch):
+        i, j = np.array(pairs[k : k + batch]).T
+        forest.link(i, j)
+    want = brute_components(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in pairs])
+    assert dict(zip(*forest.pairs(), strict=True)) == {k: r for k, r in want.items() if r != k}
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2200)]
