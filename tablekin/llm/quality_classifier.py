@@ -1,16 +1,17 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a small calibrated network.
 
-Every term owns a sparse random index vector drawn from a hash of its name. Over a bounded sample of training texts
-each term collects the index vectors of its neighbours; its word vector is its own index vector plus the scaled
+Every term owns a sparse random index vector, by a hash of its name into TERMS rows (terms that share a row share their
+vector; in a mean over a document's words that is noise like the random vectors' own). Over all training texts each term
+collects the index vectors of its neighbours; its word vector is its own index vector plus the scaled
 collection. A word stands for up to three terms: its letters, its shape (how it is cased and what it is made of) and
 its punctuation. Shapes and punctuation are pooled apart from letters, so that the network sees how a text is written
 as well as what it is about. A document is the mean of its words' vectors with the shares of repeated words and lines.
 A network with one hidden layer, in numpy, scores it, and a temperature fitted on part of the training rows makes its
 output a probability.
 
-Defined cases: a null text counts as empty and gets the score of an all-zero vector; repeated rows get equal scores;
-with labels of one class only, or none, every score is that share (1 without labels, so that nothing is thrown away);
-further columns are ignored.
+Defined cases: a null text counts as empty and gets the score of an all-zero vector; a very long text is pooled whole;
+repeated rows and equal texts get equal scores; with labels of one class only, or none, every score is that share
+(1 without labels, so that nothing is thrown away); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def terms_of(word: str) -> tuple[int, int, int]:
     """Term rows of a word's letters, shape and punctuation."""
     letters = "".join(_LETTERS.findall(word)).lower()
     marks = re.sub(r"[\w]+", "_", word)
-    return row_of("word:" + letters), row_of(shape_of(word)), row_of("marks:" + marks[:8])
+    return row_of("word:" + letters), row_of(shape_of(word)), row_of("marks:" + marks)
 
 
 @dataclass
@@ -95,7 +96,7 @@ class Pooler:
             out[k, :DIMS] = n @ self.vectors[rows[:, 0]] / len(words)
             out[k, DIMS : 2 * DIMS] = (n @ self.vectors[rows[:, 1]] + n @ self.vectors[rows[:, 2]]) / len(words)
             lines = [x for x in (text or "").split("\n") if x.strip()]
-            out[k, 2 * DIMS :] = 1, len(counts) / len(words), 1 - len(set(lines)) / max(len(lines), 1), min(len(words), 1000) / 1000
+            out[k, 2 * DIMS :] = 1, len(counts) / len(words), 1 - len(set(lines)) / max(len(lines), 1), np.log1p(len(words)) / 10
         return out
 
 
@@ -103,24 +104,26 @@ def word_vectors(texts: list[str], reach: int = 2) -> np.ndarray:
     """Random indexing over the texts: own index vector plus the scaled sum of the neighbours' ones."""
     index = index_vectors()
     context, known = np.zeros_like(index), {}
-    for text in texts:
-        words = text.split()
-        rows = np.array([known.get(w) or known.setdefault(w, terms_of(w)) for w in words]).reshape(-1, 3)
-        for kind in range(3):
-            ids = rows[:, kind]
-            for d in range(1, reach + 1):
-                if len(ids) > d:
-                    np.add.at(context, ids[d:], index[ids[:-d]])
-                    np.add.at(context, ids[:-d], index[ids[d:]])
+    for first in range(0, len(texts), 500):
+        words = [t.split() for t in texts[first : first + 500]]
+        rows = np.array([known.get(w) or known.setdefault(w, terms_of(w)) for ws in words for w in ws], np.int64).reshape(-1, 3)
+        text = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+        for d in range(1, reach + 1):
+            near = text[d:] == text[:-d]
+            for kind in range(3):
+                pair, times = np.unique(rows[:-d, kind][near] * TERMS + rows[d:, kind][near], return_counts=True)
+                left, right, n = pair // TERMS, pair % TERMS, times.astype(np.float32)[:, None]
+                np.add.at(context, left, index[right] * n)
+                np.add.at(context, right, index[left] * n)
     length = np.linalg.norm(context, axis=1, keepdims=True)
     return index + np.divide(context, length, out=np.zeros_like(context), where=length > 0)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 200, sample: int = 1500) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 100) -> Model:
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
         return Model(np.zeros((1, 1), np.float32), [], 1.0, float(y.mean()) if len(y) else 1.0)
-    vectors = word_vectors(texts[:: max(1, len(texts) // sample)])
+    vectors = word_vectors(texts)
     x = Pooler(vectors)(texts).astype(np.float64)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x = (x - mean) / scale
