@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor reaches.
 
-    Where the setting is empty (tests on one machine) a folder in the session's warehouse is used.
+    Where the setting is empty a folder in the session's warehouse is used, on one machine only: on a cluster it might
+    be a folder of each executor's own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Folders written inside each open scratch(), innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end, but for kept ones, which are the surrounding scratch's if there is one."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark)
+    owners = _OPEN[: -1 if keep else None]
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,7 +91,10 @@ BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with small batches, whose workers give freed memory back to the system when a task ends."""
+    """mapInArrow with small batches, whose workers give freed memory back to the system when a task ends.
+
+    The session's batch limits are lowered and stay so: Spark reads them when the job runs, not here.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -192,6 +220,20 @@ def _joined(rows: DataFrame, written: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(written) if count_upto(written, BROADCAST_ROWS) <= BROADCAST_ROWS else written, on)
 
 
+def _round(state: DataFrame) -> tuple[tuple, DataFrame]:
+    """One large-star and one small-star step; what tells whether anything changed, and the new edges."""
+    with scratch(state.sparkSession):
+        both = state.select("a", "b").union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = _joined(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        low = stored(down.groupBy("a").agg(F.min("b").alias("m")))
+        small = _joined(down, low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        after = stored(small, keep=True)
+        told = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
+    return tuple(told), after
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node reached.
 
@@ -204,17 +246,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = stored(_shrunk(edges.where("a <> b and a is not null and b is not null")).where("a <> b").distinct())
     before = None
     for _ in range(most_rounds):
-        both = state.select("a", "b").union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = _joined(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        low = stored(down.groupBy("a").agg(F.min("b").alias("m")))
-        small = _joined(down, low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        state = stored(small)
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
-        if now[0] == now[2] and before == tuple(now):
+        now, state = _round(state)
+        if now[0] == now[2] and before == now:
             break
-        before = tuple(now)
+        before = now
     else:
         raise RuntimeError("components did not settle")
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_map, components, lookup_join, stored, table
+from .common import Forest, arrow_map, components, lookup_join, scratch, stored, table
 
 COSINE = 0.9
 #: The numbers of pivots tried, and the vectors they are tried on.
@@ -203,16 +203,17 @@ def compared(tiles: DataFrame, cosine: float) -> DataFrame:
 
 def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    rows = stored(prepared(embeddings).withColumn("key", F.sha2("raw", 256)))
-    known = rows.where("raw is not null and vec_id is not null")
-    classes = stored(known.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("raw").alias("raw")))
-    n = classes.count()
-    homes = stored(routed(classes, chosen_pivots(classes, n, cosine), cosine))
-    found = stored(compared(tiled(homes, chunk_size(n)), cosine))
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    groups = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    judged = classes.select("key", "rep", "copies").join(links.join(groups, "rep", "left"), "rep", "left")
-    judged = stored(judged.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    with scratch(embeddings.sparkSession):
+        rows = stored(prepared(embeddings).withColumn("key", F.sha2("raw", 256)), keep=True)
+        known = rows.where("raw is not null and vec_id is not null")
+        classes = stored(known.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("raw").alias("raw")))
+        n = classes.count()
+        homes = stored(routed(classes, chosen_pivots(classes, n, cosine), cosine))
+        found = stored(compared(tiled(homes, chunk_size(n)), cosine))
+        links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+        groups = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
+        judged = classes.select("key", "rep", "copies").join(links.join(groups, "rep", "left"), "rep", "left")
+        judged = stored(judged.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), keep=True)
     out = lookup_join(rows.select("vec_id", "key"), judged, "key", salt=F.col("vec_id"))
     alone = F.col("vec_id").isNull() | F.col("component").isNull()
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component"))

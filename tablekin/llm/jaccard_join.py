@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, Forest, arrow_map, components, lookup_join, stored, table
+from .common import SLICE, Forest, arrow_map, components, lookup_join, scratch, stored, table
 from .shingles import DEPTH, LEAST, RECALL, SIMILARITY, Shingler, prefixes, shortened, signature
 
 #: Representatives in a block; a task compares at most two blocks.
@@ -214,17 +214,18 @@ def jaccard_join(documents: DataFrame, similarity: float = SIMILARITY, recall: f
     class_id: the smallest doc_id with the same shingles. n_links: how many other documents are at least so similar.
     component_id: the smallest doc_id reachable by links. kept: the document is its component's smallest.
     """
-    signs = stored(signatures(documents))
-    known = signs.where("set_key is not null and doc_id is not null")
-    classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"])
-    reps = stored(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "prefixes", "below"))
-    tiles = stored(candidate_groups(reps, similarity, recall))
-    found = stored(verified(documents, tiles, classes.select("rep", "set_key", "copies"), similarity))
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    groups = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    judged = classes.join(links.join(groups, "rep", "left"), "rep", "left")
-    judged = stored(judged.select("set_key", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    with scratch(documents.sparkSession):
+        signs = stored(signatures(documents), keep=True)
+        known = signs.where("set_key is not null and doc_id is not null")
+        classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+        reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"])
+        reps = stored(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "prefixes", "below"))
+        tiles = stored(candidate_groups(reps, similarity, recall))
+        found = stored(verified(documents, tiles, classes.select("rep", "set_key", "copies"), similarity))
+        links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+        groups = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
+        judged = classes.join(links.join(groups, "rep", "left"), "rep", "left")
+        judged = stored(judged.select("set_key", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), keep=True)
     out = lookup_join(signs.select("doc_id", "set_key"), judged, "set_key", salt=F.col("doc_id"))
     alone = F.col("doc_id").isNull() | F.col("rep").isNull()
     pick = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.col(c))

@@ -32,6 +32,7 @@ def test_quality_on_held_out_labels():
     score = quality_classifier.Scorer(quality_classifier.train(list(texts), list(y)))(list(held))
     right = sum((s >= quality_classifier.GOOD) == bool(w) for s, w in zip(score, want, strict=True))
     assert right >= 0.95 * len(want)
+    assert abs(sum(score) / len(want) - sum(want) / len(want)) < 0.06  # probabilities, by their temperature
 
 
 def test_toxicity_on_held_out_labels():
@@ -147,3 +148,34 @@ def test_pieces_fill_sequences(stages):
         assert end <= 2048
     counts = Counter(r.length for r in after)
     assert len(held) == packing.solve(dict(counts)).sequences
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, copy string, place string, rep string, length string, doc string, _salt string"
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_odd_tables_pass_all_stages(spark, tmp_path, kind):
+    """Nulls, empty and long texts, repeated rows, ties, null ids, columns with clashing names; or no rows at all."""
+    some = " ".join(f"word{k % 37}" for k in range(80))
+    texts = [None, "", " \n", "one", some, some, some + " end", " ".join(f"long{k % 991}" for k in range(40_000)), "password = hunter2hunter2", "\x00 é😀"]
+    data = [] if kind == "empty" else [(k, t, "en", None if k % 3 == 0 else f"s{k % 2}", len(t or ""), 0.5, "c", "p", "r", "l", "d", "z") for k, t in enumerate(texts)]
+    data += data[4:5] + [(None, *d[1:]) for d in data[4:6]]
+    spark.createDataFrame(data, EXTRA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([] if kind == "empty" else [(k, 1, k % 2) for k in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)))
+        if name != "packing":
+            assert docs.columns == [c.split()[0] for c in EXTRA.split(", ")]
+            assert all(r["copy"] == "c" and r["_salt"] == "z" for r in docs.collect())
+    assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(docs.columns)
+    assert (docs.count() == 0) == (kind == "empty")
+
+
+def test_intermediate_tables_are_removed(spark):
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    corpus_pipeline.run(spark, SF).count()
+    assert len(set(os.listdir(root)) - before) == 1  # the result
