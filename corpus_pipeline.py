@@ -7,6 +7,12 @@ source_mixing  repeats or leaves out documents until the sources have their targ
 packing        cuts documents into pieces and packs them into sequences of 2048 tokens
 
 All stages but the last return the columns of documents. Beyond mixing a doc_id may come several times.
+
+Defined cases: null and empty texts are kept by the first four stages (they are clean, link with nothing, hold no
+secret and are mixed like others) and packed as their end id alone; very long texts are worked on whole; repeated rows
+are left once by the second stage; rows with a null doc_id can't be judged as copies and stay; ties go to the smaller
+doc_id; columns besides those of documents are carried along, whatever their names, and not returned by the last stage;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablekin.llm import jaccard_join, packing, secret_scan, source_mixing, toxicity
-from tablekin.llm.common import stored, table
+from tablekin.llm.common import scratch, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    with scratch(spark):  # what the stages wrote goes once the last one is written
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), keep=name == STAGES[-1][0])
     return docs
