@@ -1,7 +1,8 @@
-"""An id-encoded org over warehouse tables: the same SQL runs on Spark and on DuckDB.
+"""A service organisation over warehouse tables, its keys written as record ids: the same SQL runs on Spark and DuckDB.
 
-Keys become 15-character record ids with a type prefix; nulls, dangling ids, references to two tables and to an absent
-one are put in by arithmetic on the keys.
+Products are installed as assets, customers' cases are opened on assets and sites' engineers visit for them. Keys
+become 15-character record ids with a type prefix; nulls, dangling ids, references to two tables and to absent ones are
+put in by arithmetic on the keys.
 """
 
 from __future__ import annotations
@@ -13,39 +14,49 @@ def _id(prefix: str, number: str) -> str:
     return f"concat('{prefix}', 'A', lpad(cast({number} as string), 11, '0'))"
 
 
+_INSTALLED = """concat(cast(2015 + c_custkey % 9 as string), '-', lpad(cast(1 + c_custkey % 12 as string), 2, '0'), '-',
+        lpad(cast(1 + c_custkey % 28 as string), 2, '0'), 'T08:30:00.000Z')"""
+#: By object: its columns as SQL, and the warehouse table they come from.
 ORG = {
-    "User": f"""select {_id('005', 's_suppkey')} as Id, s_name as Name,
-      case when s_suppkey > 5 then {_id('005', 's_suppkey - 1 - s_suppkey % 5')} end as ManagerId,
-      {_id('00e', 's_suppkey % 8')} as ProfileId, s_suppkey % 10 <> 0 as IsActive from supplier""",
-    "Account": f"""select {_id('001', 'c_custkey')} as Id, c_name as Name, c_mktsegment as Type, {_id('005', 'c_nationkey % 10')} as OwnerId,
-      case when c_custkey % 10 < 3 then {_id('001', 'c_custkey - c_custkey % 10')} end as ParentId, c_acctbal as AnnualRevenue from customer""",
-    "Contact": f"""select {_id('003', 'p_partkey')} as Id,
-      case when p_partkey % 33 = 0 then null when p_partkey % 50 = 1 then concat('001Z', lpad(cast(p_partkey as string), 11, '0'))
-        else {_id('001', 'p_partkey % 150')} end as AccountId,
-      p_name as Name, case when p_partkey % 4 = 0 then {_id('003', 'p_partkey % 200')} end as ReportsToId,
-      {_id('005', 'p_partkey % 10')} as OwnerId, {_id('005', 'p_partkey % 7')} as CreatedById,
-      concat('20', cast(19 + p_partkey % 5 as string), '-', lpad(cast(1 + p_partkey % 12 as string), 2, '0'), '-',
-        lpad(cast(1 + p_partkey % 28 as string), 2, '0'), 'T10:00:00.000Z') as CreatedDate from part""",
-    "Opportunity": f"""select {_id('006', 'o_orderkey')} as Id, {_id('001', 'o_custkey')} as AccountId, {_id('005', 'o_orderkey % 10')} as OwnerId,
-      o_orderstatus as StageName, o_totalprice as Amount, {_id('01s', 'o_orderkey % 3')} as Pricebook2Id from orders""",
-    "Task": f"""select {_id('00T', 'event_id')} as Id, event_type as Subject,
-      case when event_id % 10 < 6 then {_id('001', 'event_id % 150')} else {_id('006', 'event_id % 1500')} end as WhatId,
-      case when event_id % 10 < 7 then {_id('003', 'event_id % 200')} else {_id('00Q', 'event_id % 300')} end as WhoId,
-      {_id('005', 'event_id % 10')} as OwnerId from events""",
-    "Custom_Project__c": f"""select {_id('a01', 'n_nationkey')} as Id, n_name as Name, {_id('001', 'n_nationkey')} as Account__c,
-      case when n_nationkey % 5 < 4 then {_id('003', 'n_nationkey')} end as Primary_Contact__c,
-      {_id('005', 'n_nationkey % 10')} as OwnerId, cast(n_nationkey * 1000.5 as double) as Budget__c from nation""",
-}
-BASE = ("supplier", "customer", "part", "orders", "events", "nation")
-
-
-def _on(sql: str, sf_dir: str) -> str:
-    head, _, name = sql.rpartition(" from ")
-    return f"{head} from parquet.`{sf_dir}/{name.strip()}.parquet`"
+    "User": ({"Id": _id("005", "n_nationkey"), "Username": "n_name", "Region": "n_regionkey"}, "nation"),
+    "Product2": ({"Id": _id("01t", "p_partkey"), "Name": "p_name", "Family": "p_brand", "Price": "p_retailprice"}, "part"),
+    "Asset": (
+        {
+            "Id": _id("02i", "c_custkey"), "SerialNumber": "c_name", "Product2Id": _id("01t", "c_custkey % 200"),
+            "RootAssetId": f"case when c_custkey % 7 < 2 then {_id('02i', 'c_custkey - c_custkey % 7')} end", "InstallDate": _INSTALLED,
+        },
+        "customer",
+    ),
+    "Site__c": ({"Id": _id("a0S", "s_suppkey"), "Name": "s_name", "Manager__c": _id("005", "s_suppkey % 25"), "Budget__c": "s_acctbal"}, "supplier"),
+    "Case": (
+        {
+            "Id": _id("500", "o_orderkey"), "Priority": "o_orderpriority",
+            "AssetId": f"case when o_orderkey % 29 = 0 then null when o_orderkey % 40 = 3 then concat('02iZ', lpad(cast(o_orderkey as string), 11, '0')) else {_id('02i', 'o_custkey')} end",
+            "ParentId": f"case when o_orderkey % 5 = 0 then {_id('500', 'o_orderkey % 100')} end",
+            "OwnerId": f"case when o_orderkey % 10 < 7 then {_id('005', 'o_orderkey % 25')} else {_id('00G', 'o_orderkey % 4')} end",
+        },
+        "orders",
+    ),
+    "Visit__c": (
+        {
+            "Id": _id("a0V", "event_id"), "Kind__c": "event_type", "Site__c": _id("a0S", "event_id % 10"),
+            "RecordId__c": f"case when event_id % 3 < 2 then {_id('500', 'event_id % 1500')} else {_id('02i', 'event_id % 150')} end",
+            "Engineer__c": _id("005", "event_id % 25"), "Campaign__c": _id("701", "event_id % 6"),
+        },
+        "events",
+    ),
+}
+#: The columns that hold record ids, by object.
+IDS = {name: [c for c, sql in columns.items() if "lpad" in sql and c != "InstallDate"] for name, (columns, _) in ORG.items()}
+
+
+def select(name: str, table: str) -> str:
+    columns, _ = ORG[name]
+    return f"select {', '.join(f'{sql} as {c}' for c, sql in columns.items())} from {table}"
 
 
 def org_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(_on(ORG[name], sf_dir))
+    return spark.sql(select(name, f"parquet.`{sf_dir}/{ORG[name][1]}.parquet`"))
 
 
 def org(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import ORG
+from .fixtures import IDS, ORG, select
 from .queries import TYPING
 
 #: Columns of the test tables by type: i integer, d double, t time, s text.
@@ -37,21 +37,17 @@ def _profile(table: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-_ORG = "WITH " + ", ".join(f"{'Users' if n == 'User' else n} AS ({sql})" for n, sql in ORG.items())
-#: The org's columns whose values are record ids.
-_IDS = {
-    "User": ("Id", "ManagerId", "ProfileId"), "Account": ("Id", "OwnerId", "ParentId"), "Contact": ("Id", "AccountId", "ReportsToId", "OwnerId", "CreatedById"),
-    "Opportunity": ("Id", "AccountId", "OwnerId", "Pricebook2Id"), "Task": ("Id", "WhatId", "WhoId", "OwnerId"), "Custom_Project__c": ("Id", "Account__c", "Primary_Contact__c", "OwnerId"),
-}
-_VC = _ORG + ", ids AS (" + " UNION ALL ".join(f"SELECT '{n}' AS node, '{c}' AS col, {c} AS value FROM {'Users' if n == 'User' else n}" for n, cs in _IDS.items() for c in cs) + """),
+#: Names that SQL keeps for itself.
+_SQL_NAME = {"User": "Users", "Case": "Cases"}
+_ORG = "WITH " + ", ".join(f"{_SQL_NAME.get(n, n)} AS ({select(n, table)})" for n, (_, table) in ORG.items())
+_VC = _ORG + ", ids AS (" + " UNION ALL ".join(f"SELECT '{n}' AS node, '{c}' AS col, {c} AS value FROM {_SQL_NAME.get(n, n)}" for n, cs in IDS.items() for c in cs) + """),
 vc AS (SELECT node, col, value, count(*) AS n FROM ids WHERE value IS NOT NULL GROUP BY ALL),
 col AS (SELECT node, col, count(*) AS all_rows, count(value) AS filled, count(DISTINCT value) AS d FROM ids GROUP BY ALL),
 tok AS (SELECT node, col, left(value, 3) AS token, sum(n) AS rows FROM vc WHERE length(value) IN (15, 18) GROUP BY ALL),
 keytok AS (SELECT node, token FROM tok WHERE col = 'Id' QUALIFY row_number() OVER (PARTITION BY node ORDER BY rows DESC, token) = 1),
 shared AS (SELECT tok.* FROM tok JOIN col USING (node, col) WHERE rows >= 0.01 * filled AND col <> 'Id'),
 bytoken AS (SELECT s.node, s.col, k.node AS target, s.token FROM shared s JOIN keytok k USING (token)),
-byname AS (SELECT * FROM (VALUES ('Account', 'OwnerId', 'User'), ('Contact', 'OwnerId', 'User'), ('Opportunity', 'OwnerId', 'User'), ('Task', 'OwnerId', 'User'), ('Custom_Project__c', 'OwnerId', 'User'),
-  ('Contact', 'CreatedById', 'User'), ('Contact', 'AccountId', 'Account'), ('Opportunity', 'AccountId', 'Account'), ('Custom_Project__c', 'Account__c', 'Account')) AS t(node, col, target)),
+byname AS (SELECT * FROM (VALUES ('Asset', 'Product2Id', 'Product2'), ('Case', 'AssetId', 'Asset'), ('Case', 'OwnerId', 'User'), ('Visit__c', 'Site__c', 'Site__c')) AS t(node, col, target)),
 cand AS (SELECT node, col, target, max(token) AS token, bool_or(named) AS named FROM (SELECT *, FALSE AS named FROM bytoken UNION ALL SELECT node, col, target, NULL, TRUE FROM byname) GROUP BY ALL),
 poly AS (SELECT node, col FROM shared GROUP BY ALL HAVING count(*) > 1),
 res AS (SELECT c.node, c.col, c.target, c.token, c.named, sum(v.n)::BIGINT AS total, sum(CASE WHEN k.value IS NOT NULL THEN v.n ELSE 0 END)::BIGINT AS matched
@@ -69,7 +65,7 @@ edges AS (SELECT r.node AS from_node, r.col AS from_column, r.target AS to_node,
 _OVERLAP = _VC + """, covers AS (SELECT v.node, v.col, k.node AS target, sum(v.n)::BIGINT AS matched, any_value(filled)::BIGINT AS total, any_value(all_rows) AS all_rows, any_value(d) AS d
   FROM vc v JOIN vc k ON k.col = 'Id' AND k.value = v.value JOIN col ON col.node = v.node AND col.col = v.col WHERE v.col <> 'Id' GROUP BY ALL)
 """
-_GENERIC = _OVERLAP + """, c AS (SELECT *, col = 'AccountId' AND target = 'Account' AS named FROM covers WHERE CASE WHEN col = 'AccountId' THEN target = 'Account' ELSE matched >= 0.8 * total END)
+_GENERIC = _OVERLAP + """, c AS (SELECT *, (col, target) IN (('Product2Id', 'Product2'), ('AssetId', 'Asset')) AS named FROM covers WHERE CASE col WHEN 'Product2Id' THEN target = 'Product2' WHEN 'AssetId' THEN target = 'Asset' ELSE matched >= 0.8 * total END)
 SELECT node AS from_node, col AS from_column, target AS to_node, 'Id' AS to_column, CASE WHEN node = target THEN 'self' ELSE 'lookup' END AS kind, CASE WHEN d = total THEN '1:1' ELSE 'N:1' END AS cardinality,
   round(0.70 * matched / total + 0.05 * named::INT + 0.05 * (NOT contains(col, '__c'))::INT, 3) AS confidence, floor((2 * matched * 10000 + total) / (2 * total)) / 10000 AS resolve_rate, matched / total >= 0.9 AS verified,
   floor((2 * (all_rows - total) * 10000 + all_rows) / (2 * all_rows)) / 10000 AS null_pct, NULL::VARCHAR AS polymorphic_group, matched, total,
@@ -115,22 +111,23 @@ def _mermaid() -> str:
 
 
 def _dot() -> str:
-    head = ["digraph dependencies {", "  rankdir=LR;", "  node [shape=box, style=rounded, fontname=Helvetica, fontsize=10];", "  edge [fontname=Helvetica, fontsize=8];"]
+    head = ["digraph dependencies {", "  graph [rankdir=LR, nodesep=0.4];", "  node [shape=plain, fontname=monospace];", "  edge [arrowhead=vee, color=gray40];"]
     fixed = ", ".join(f"({k}, {line!r})" for k, line in enumerate(head))
-    keys = " ".join(f"WHEN '{t}' THEN '\\nkey: {c}'" for t, c in _KEYS.items())
-    nodes = f"SELECT {len(head)} + row_number() OVER (ORDER BY node) - 1, '  ' || node || ' [label=\"' || node || '\\n' || format('{{:,}}', row_count) || ' rows' || CASE node {keys} ELSE '' END || '\"];' FROM ({_SIZES})"
+    keys = " ".join(f"WHEN '{t}' THEN ' by {c}'" for t, c in _KEYS.items())
+    nodes = f"SELECT {len(head)} + row_number() OVER (ORDER BY node) - 1, '  ' || node || ' [label=\"' || node || ': ' || format('{{:,}}', row_count) || ' rows' || CASE node {keys} ELSE '' END || '\"];' FROM ({_SIZES})"
     at = len(head) + len(_ALL)
     edges = f"SELECT {at} + row_number() OVER (ORDER BY confidence DESC, from_node, from_column, to_node) - 1, '  ' || from_node || ' -> ' || to_node || ' [label=\"' || from_column || ' (' || printf('%.2f', confidence) || ')\", style=solid];' FROM ({_star_edges()})"
     return f"SELECT * FROM (VALUES {fixed}) AS f(line_no, line) UNION ALL {nodes} UNION ALL {edges} UNION ALL SELECT {at} + (SELECT count(*) FROM ({_star_edges()})), '}}'"
 
 
-_SAMPLE = """, s AS (SELECT * FROM Contact ORDER BY Id LIMIT 500), u AS (SELECT unnest(['Id', 'AccountId', 'Name', 'ReportsToId', 'OwnerId', 'CreatedById', 'CreatedDate']) AS column_name, unnest([Id, AccountId, Name, ReportsToId, OwnerId, CreatedById, CreatedDate]) AS v FROM s),
-m AS (SELECT column_name, avg(regexp_full_match(v, '[A-Za-z0-9_\\-]{6,64}')::INT) AS g, avg(regexp_full_match(v, '[A-Za-z0-9]{15}|[A-Za-z0-9]{18}')::INT) AS r,
+_ASSET = list(ORG["Asset"][0])
+_SAMPLE = f""", s AS (SELECT * FROM Asset ORDER BY Id LIMIT 500), u AS (SELECT unnest({_ASSET}) AS column_name, unnest([{', '.join(_ASSET)}]) AS v FROM s),
+""" + """m AS (SELECT column_name, avg(regexp_full_match(v, '[A-Za-z0-9_\\-]{6,64}')::INT) AS g, avg(regexp_full_match(v, '[A-Za-z0-9]{15}|[A-Za-z0-9]{18}')::INT) AS r,
   avg(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')::INT) AS date_share, avg(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?')::INT) AS time_share
   FROM u WHERE v IS NOT NULL AND v <> '' GROUP BY 1)
 SELECT 'generic' AS profile, column_name, g AS id_share, date_share, time_share, g >= 0.95 AS is_id FROM m UNION ALL SELECT 'salesforce', column_name, r, date_share, time_share, r >= 0.9 FROM m"""
 
-_MEMBERS = """(VALUES ('account', 'a.zip!Account.csv', 10, 1), ('user', 'a.zip!x/User.xlsx', 20, 2), ('account', 'b.zip!Account.csv', 12, 3), ('user', 'b.zip!User.XLSX', 20, 2), ('user', 'c.zip!user.xlsx', 20, 2), ('case', 'Case.tsv', 5, NULL), ('case', 'd/Case.tsv', 5, NULL)) AS m(object_key, label, size, crc)"""
+_MEMBERS = """(VALUES ('asset', 'one.zip!Asset.csv', 10, 1), ('visit__c', 'one.zip!x/Visit__c.xlsx', 20, 2), ('asset', 'two.zip!Asset.csv', 12, 3), ('visit__c', 'two.zip!Visit__c.XLSX', 20, 2), ('visit__c', 'zip3.zip!visit__c.xlsx', 20, 2), ('case', 'Case.tsv', 5, NULL), ('case', 'd/Case.tsv', 5, NULL)) AS m(object_key, label, size, crc)"""
 
 
 def _typing() -> str:
@@ -145,10 +142,9 @@ FROM z GROUP BY k, c, type"""
 
 
 def _merged() -> str:
-    names = ("Id", "AccountId", "Name", "ReportsToId", "OwnerId", "CreatedById", "CreatedDate")
-    rows = " UNION ALL ".join(f"SELECT {k} AS k, '{n}' AS c, nullif({n}, '') AS v FROM parts" for k, n in enumerate(names))
-    return f"""{_ORG}, parts AS (SELECT * FROM Contact WHERE Id < '003A00000000100' UNION ALL BY NAME SELECT * EXCLUDE (CreatedDate) FROM Contact WHERE Id >= '003A00000000100'), u AS ({rows})
-SELECT 'Contact' AS node, k::BIGINT AS col_index, c AS column_name, CASE WHEN c = 'Name' THEN 'string' WHEN c = 'CreatedDate' THEN 'datetime' ELSE 'id' END AS type, count(*) AS row_count, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_count,
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, '{n}' AS c, nullif({n}, '') AS v FROM parts" for k, n in enumerate(_ASSET))
+    return f"""{_ORG}, parts AS (SELECT * FROM Asset WHERE Id < '02iA00000000100' UNION ALL BY NAME SELECT * EXCLUDE (InstallDate) FROM Asset WHERE Id >= '02iA00000000100'), u AS ({rows})
+SELECT 'Asset' AS node, k::BIGINT AS col_index, c AS column_name, CASE c WHEN 'SerialNumber' THEN 'string' WHEN 'InstallDate' THEN 'datetime' ELSE 'id' END AS type, count(*) AS row_count, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_count,
   coalesce(max(length(v)), -1)::BIGINT AS max_length, count(DISTINCT v) = count(v) AND count(v) > 0 AS is_unique FROM u GROUP BY k, c"""
 
 
@@ -156,12 +152,12 @@ def oracle_sql() -> dict[str, str]:
     out = {f"column_profile_{t}": _profile(t) for t in SCHEMA}
     out |= {
         "csv_typing": _typing(),
-        "value_counts_account_id": f"{_ORG} SELECT AccountId AS value, count(*) AS n FROM Opportunity GROUP BY 1",
-        "id_tokens_task": f"{_VC} SELECT CASE col WHEN 'WhatId' THEN 0 ELSE 1 END AS col, token, rows::BIGINT AS row_count, row_number() OVER (PARTITION BY col ORDER BY rows DESC, token) AS rank, rows / sum(rows) OVER (PARTITION BY col) AS share FROM tok WHERE node = 'Task' AND col IN ('WhatId', 'WhoId')",
+        "value_counts_asset_id": f"{_ORG} SELECT AssetId AS value, count(*) AS n FROM Cases WHERE AssetId IS NOT NULL GROUP BY 1",
+        "id_tokens_visit": f"{_VC} SELECT CASE col WHEN 'RecordId__c' THEN 0 ELSE 1 END AS col, token, rows::BIGINT AS row_count, row_number() OVER (PARTITION BY col ORDER BY rows DESC, token) AS rank, rows / sum(rows) OVER (PARTITION BY col) AS share FROM tok WHERE node = 'Visit__c' AND col IN ('RecordId__c', 'Campaign__c')",
         "looks_like_id": _ORG + _SAMPLE,
-        "resolve_opportunity_account": _resolve("Opportunity", "AccountId", "Account", ("",)),
-        "resolve_contact_account": _resolve("Contact", "AccountId", "Account", ("", "001")),
-        "resolve_task_whatid_by_token": _resolve("Task", "WhatId", "Account", ("", "001", "006")),
+        "resolve_asset_product": _resolve("Asset", "Product2Id", "Product2", ("",)),
+        "resolve_case_asset": _resolve("Cases", "AssetId", "Asset", ("", "02i")),
+        "resolve_visit_record_by_token": _resolve("Visit__c", "RecordId__c", "Asset", ("", "02i", "500")),
         "resolve_lineitem_part": _resolve("lineitem", "l_partkey", "part", ("",), "", "p_partkey"),
         "overlap_probe": _OVERLAP + "SELECT node AS from_node, col AS from_column, target AS to_node FROM covers WHERE matched >= 0.8 * total",
         "edges_generic": _GENERIC,
@@ -171,15 +167,15 @@ def oracle_sql() -> dict[str, str]:
         "candidates_name": f"{_VC} SELECT node AS from_node, col AS from_column, target AS to_node FROM byname",
         "edges_sf": f"{_VC} SELECT * FROM edges",
         "edges_star": _star_edges(),
-        "unresolved_sf": f"{_VC} SELECT node, col AS column_name, token, rows::BIGINT AS row_count, 'key prefix ' || token || CASE token WHEN '00Q' THEN ' looks like Lead, which is not in this extract' WHEN '00e' THEN ' looks like Profile, which is not in this extract' ELSE ' matches no sheet in this extract' END AS reason FROM shared WHERE token NOT IN (SELECT token FROM keytok)",
+        "unresolved_sf": f"{_VC} SELECT node, col AS column_name, token, rows::BIGINT AS row_count, 'key prefix ' || token || CASE token WHEN '00G' THEN ' looks like Group, which is not in this extract' WHEN '701' THEN ' looks like Campaign, which is not in this extract' ELSE ' matches no sheet in this extract' END AS reason FROM shared WHERE token NOT IN (SELECT token FROM keytok)",
         "unresolved_star": "SELECT 'events' AS node, 'user_id' AS column_name, NULL::VARCHAR AS token, count(user_id) AS row_count, 'identifier-shaped column with no matching sheet' AS reason FROM events UNION ALL SELECT 'embeddings', 'vec_id', NULL, count(vec_id), 'identifier-shaped column with no matching sheet' FROM embeddings UNION ALL SELECT 'benchmark', 'item_id', NULL, count(item_id), 'identifier-shaped column with no matching sheet' FROM benchmark",
         "polymorphic_groups": f"{_VC} SELECT polymorphic_group, count(*) AS targets, string_agg(to_node, ',' ORDER BY to_node) AS to_nodes FROM edges WHERE polymorphic_group IS NOT NULL GROUP BY 1",
-        "merge_parts_contact": _merged(),
-        "pick_key_overlapping_parts": f"{_ORG} SELECT 'Contact' AS node, 'Id' AS key, '003' AS key_token, (SELECT count(*) FROM Contact) + (SELECT count(*) FROM Contact WHERE Id >= '003A00000000090' AND Id < '003A00000000100') AS row_count, (SELECT count(DISTINCT Id) FROM Contact) AS distinct_count",
+        "merge_parts_asset": _merged(),
+        "pick_key_overlapping_parts": f"{_ORG} SELECT 'Asset' AS node, 'Id' AS key, '02i' AS key_token, (SELECT count(*) FROM Asset) + (SELECT count(*) FROM Asset WHERE Id >= '02iA00000000090' AND Id < '02iA00000000100') AS row_count, (SELECT count(DISTINCT Id) FROM Asset) AS distinct_count",
         "pick_key": f"{_VC} SELECT col.node, all_rows AS row_count, 'Id' AS key, token AS key_token FROM col JOIN keytok USING (node) WHERE col = 'Id' UNION ALL SELECT 'labels', count(*), NULL, NULL FROM labels UNION ALL SELECT 'lineitem', count(*), NULL, NULL FROM lineitem UNION ALL SELECT 'events', count(*), NULL, NULL FROM events",
         "dedupe_copies": f"SELECT object_key, label, crc IS NOT NULL AND row_number() OVER (PARTITION BY object_key, crc, size ORDER BY label) > 1 AS is_copy FROM {_MEMBERS}",
-        "include_filter": f"SELECT label FROM {_MEMBERS} WHERE object_key IN ('account', 'user')",
-        "include_unmatched": f"SELECT name FROM (VALUES ('account'), ('user'), ('missing')) AS w(name) WHERE name NOT IN (SELECT object_key FROM {_MEMBERS})",
+        "include_filter": f"SELECT label FROM {_MEMBERS} WHERE object_key IN ('asset', 'visit__c')",
+        "include_unmatched": f"SELECT name FROM (VALUES ('asset'), ('visit__c'), ('missing')) AS w(name) WHERE name NOT IN (SELECT object_key FROM {_MEMBERS})",
         "normalise_names": """WITH n AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_name) - 1 AS k FROM nation)
 SELECT name, lower(name) || CASE WHEN k % 2 = 1 THEN ' & co' ELSE '' END AS normalised, regexp_replace(CASE WHEN k % 2 = 1 THEN '"x.zip!Data/' || name || ' & Co.XLSX"' ELSE ' d\\' || name || '.csv ' END, '[^A-Za-z0-9._-]', '_', 'g') AS safe FROM n""",
         "load_order": f"""{_VC.replace('WITH ', 'WITH RECURSIVE ', 1)}, dep AS (SELECT DISTINCT from_node AS a, to_node AS b FROM edges WHERE from_node <> to_node),
@@ -191,7 +187,7 @@ c AS (SELECT x.a AS node, min(x.b) AS low FROM r x JOIN r y ON x.a = y.b AND x.b
 SELECT dense_rank() OVER (ORDER BY low) - 1 AS cycle_no, printf('%03d', node::INT) AS node FROM c""",
         "degree_stats": f"{_VC}, e AS (SELECT from_node, to_node FROM edges WHERE from_node <> to_node) SELECT node, (SELECT count(*) FROM e WHERE from_node = node) AS points_at, (SELECT count(*) FROM e WHERE to_node = node) AS referenced_by FROM (SELECT from_node AS node FROM e UNION SELECT to_node FROM e)",
         "largest_entities": f"SELECT * FROM ({_SIZES}) ORDER BY row_count DESC, node LIMIT 10",
-        "extract_totals": f"{_VC} SELECT 6::BIGINT AS sheets, (SELECT sum(all_rows) FROM col WHERE col = 'Id')::BIGINT AS row_count, 5 + 6 + 7 + 6 + 5 + 6::BIGINT AS columns, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM shared WHERE token NOT IN (SELECT token FROM keytok)) AS unresolved",
+        "extract_totals": f"{_VC} SELECT 6::BIGINT AS sheets, (SELECT sum(all_rows) FROM col WHERE col = 'Id')::BIGINT AS row_count, {sum(len(c) for c, _ in ORG.values())}::BIGINT AS columns, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM shared WHERE token NOT IN (SELECT token FROM keytok)) AS unresolved",
         "scores": """SELECT k AS matched, t AS token, n AS name, s AS suffix, CASE WHEN k = 0 THEN least(c, 0.25) ELSE c END AS confidence, CASE WHEN k = 0 THEN 'name-only' ELSE 'lookup' END AS kind, '1:1' AS cardinality, 0.07 AS null_pct, k >= 18 AS verified
 FROM (SELECT *, round(least(0.70 * k / 20 + 0.20 * t::INT + 0.05 * n::INT + 0.05 * s::INT, 0.99), 3) AS c FROM range(21) AS r(k), (VALUES (TRUE), (FALSE)) AS a(t), (VALUES (TRUE), (FALSE)) AS b(n), (VALUES (TRUE), (FALSE)) AS d(s))""",
         "type_widening": """WITH k AS (SELECT unnest(['empty', 'string', 'bool', 'int', 'float', 'date', 'datetime', 'id']) AS t)

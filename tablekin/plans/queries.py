@@ -57,24 +57,24 @@ def csv_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_rows(spark, found.nodes)
 
 
-def value_counts_account_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = cells.counted(cells.melted(org_table(spark, sf_dir, "Opportunity").select("AccountId"), 0))
+def value_counts_asset_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = cells.counted(cells.melted(org_table(spark, sf_dir, "Case").where("AssetId is not null").select("AssetId"), 0))
     return counts.select("value", "n")
 
 
-def id_tokens_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = org_table(spark, sf_dir, "Task").select("WhatId", "WhoId")
+def id_tokens_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = org_table(spark, sf_dir, "Visit__c").select("RecordId__c", "Campaign__c")
     tokens = profiling.token_counts(cells.counted(cells.melted(frame, 0)))
     total = F.sum("rows").over(W.partitionBy("col"))
     return profiling.top_tokens(tokens.withColumn("share", F.col("rows") / total), ["col"]).select("col", "token", F.col("rows").alias("row_count"), F.col("rank").cast("long").alias("rank"), "share")
 
 
 def looks_like_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of the first 500 contacts by key that look like ids or dates."""
+    """Shares of the first 500 assets by key that look like ids or dates."""
     out = []
     for name in ("generic", "salesforce"):
         dialect = get(name)
-        frame = org_table(spark, sf_dir, "Contact").orderBy("Id").limit(500)
+        frame = org_table(spark, sf_dir, "Asset").orderBy("Id").limit(500)
         signs = profiling.sample_signs(cells.first_values(frame, 0, 500), dialect)
         columns = spark.createDataFrame(list(enumerate(frame.columns)), "col int, column_name string")
         out.append(signs.join(F.broadcast(columns), "col").select(F.lit(name).alias("profile"), "column_name", "id_share", "date_share", "time_share", (F.col("id_share") >= dialect.id_share).alias("is_id")))
@@ -96,19 +96,21 @@ def _resolve(spark: SparkSession, source: tuple[DataFrame, str, str], target: tu
     return spark.createDataFrame(rows, "token string, matched long, total long, rate double")
 
 
-def resolve_opportunity_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = org(spark, sf_dir, "Opportunity", "Account")
-    return _resolve(spark, (o["Opportunity"], "Opportunity", "AccountId"), (o["Account"], "Account", "Id"), [None])
+def _org_resolve(spark: SparkSession, sf_dir: str, source: str, column: str, target: str, tokens: list[str | None]) -> DataFrame:
+    o = org(spark, sf_dir, source, target)
+    return _resolve(spark, (o[source], source, column), (o[target], target, "Id"), tokens)
 
 
-def resolve_contact_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = org(spark, sf_dir, "Contact", "Account")
-    return _resolve(spark, (o["Contact"], "Contact", "AccountId"), (o["Account"], "Account", "Id"), [None, "001"])
+def resolve_asset_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _org_resolve(spark, sf_dir, "Asset", "Product2Id", "Product2", [None])
 
 
-def resolve_task_whatid_by_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = org(spark, sf_dir, "Task", "Account")
-    return _resolve(spark, (o["Task"], "Task", "WhatId"), (o["Account"], "Account", "Id"), [None, "001", "006"])
+def resolve_case_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _org_resolve(spark, sf_dir, "Case", "AssetId", "Asset", [None, "02i"])
+
+
+def resolve_visit_record_by_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _org_resolve(spark, sf_dir, "Visit__c", "RecordId__c", "Asset", [None, "02i", "500"])
 
 
 def resolve_lineitem_part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,22 +186,20 @@ def polymorphic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str, overlap: int = 0) -> list[DataFrame]:
-    """Contact in two parts by key; the second lacks CreatedDate and may repeat the last rows of the first."""
-    contact = org_table(spark, sf_dir, "Contact")
-    cut = "003A00000000100"
-    first = contact.where(F.col("Id") < cut)
-    second = contact.where(F.col("Id") >= F.format_string("003A%011d", F.lit(100 - overlap))).drop("CreatedDate")
-    return [first, second]
+    """Asset in two parts by key; the second lacks InstallDate and may repeat the last rows of the first."""
+    assets = org_table(spark, sf_dir, "Asset")
+    second = assets.where(F.col("Id") >= F.format_string("02iA%011d", F.lit(100 - overlap))).drop("InstallDate")
+    return [assets.where("Id < '02iA00000000100'"), second]
 
 
-def merge_parts_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = profile_frames(spark, {"Contact": _halves(spark, sf_dir)}, get("salesforce"))
+def merge_parts_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile_frames(spark, {"Asset": _halves(spark, sf_dir)}, get("salesforce"))
     found.release()
     return column_rows(spark, found.nodes)
 
 
 def pick_key_overlapping_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = profile_frames(spark, {"Contact": _halves(spark, sf_dir, overlap=10)}, get("salesforce"))
+    found = profile_frames(spark, {"Asset": _halves(spark, sf_dir, overlap=10)}, get("salesforce"))
     found.release()
     n = found.nodes[0]
     return spark.createDataFrame([(n.id, n.key, n.key_token, n.rows, n.column(n.key).distinct)], "node string, key string, key_token string, row_count long, distinct_count long")
@@ -214,7 +214,7 @@ def pick_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _members() -> list[listing.Member]:
     """Files of an imagined export, two of them copies."""
-    listed = [("a.zip!Account.csv", 10, 1), ("a.zip!x/User.xlsx", 20, 2), ("b.zip!Account.csv", 12, 3), ("b.zip!User.XLSX", 20, 2), ("c.zip!user.xlsx", 20, 2), ("Case.tsv", 5, None), ("d/Case.tsv", 5, None)]
+    listed = [("one.zip!Asset.csv", 10, 1), ("one.zip!x/Visit__c.xlsx", 20, 2), ("two.zip!Asset.csv", 12, 3), ("two.zip!Visit__c.XLSX", 20, 2), ("zip3.zip!visit__c.xlsx", 20, 2), ("Case.tsv", 5, None), ("d/Case.tsv", 5, None)]
     return [listing.Member(label, (label.rpartition("!")[2],) if "!" in label else (), label, size, crc) for label, size, crc in listed]
 
 
@@ -224,7 +224,7 @@ def dedupe_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "object_key string, label string, is_copy boolean")
 
 
-WANTED = ("Account", "'user.xlsx'", "Missing")
+WANTED = ("Asset", "'visit__c.xlsx'", "Missing")
 
 
 def include_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ def include_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table names as files of an export would have them, normalised and made safe."""
-    names = [r.n_name for r in load(spark, sf_dir, "nation").select("n_name").orderBy("n_name").limit(100).collect()]
+    names = [r.n_name for r in load(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]
     raw = [f'"x.zip!Data/{n} & Co.XLSX"' if k % 2 else f" d\\{n}.csv " for k, n in enumerate(names)]
     return spark.createDataFrame([(n, listing.norm_name(r), listing.safe_name(r)) for n, r in zip(names, raw, strict=True)], "name string, normalised string, safe string")
 
@@ -328,9 +328,9 @@ def value_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = (
-        csv_typing, value_counts_account_id, id_tokens_task, looks_like_id, resolve_opportunity_account, resolve_contact_account,
-        resolve_task_whatid_by_token, resolve_lineitem_part, overlap_probe, candidates_token, candidates_name, edges_sf, edges_generic,
-        edges_star, unresolved_sf, unresolved_star, polymorphic_groups, merge_parts_contact, pick_key_overlapping_parts, pick_key,
+        csv_typing, value_counts_asset_id, id_tokens_visit, looks_like_id, resolve_asset_product, resolve_case_asset,
+        resolve_visit_record_by_token, resolve_lineitem_part, overlap_probe, candidates_token, candidates_name, edges_sf, edges_generic,
+        edges_star, unresolved_sf, unresolved_star, polymorphic_groups, merge_parts_asset, pick_key_overlapping_parts, pick_key,
         dedupe_copies, include_filter, include_unmatched, normalise_names, load_order, cycles, degree_stats, largest_entities,
         extract_totals, mermaid_lines, dot_lines, json_graph_text, docs_pages, scores, type_widening, value_rules,
     )
