@@ -41,7 +41,7 @@ PER_CLASS = (3000, 2000)
 REJECT = 0.5
 ORDER, GAP, DECAY, WIDTH = 4, 4, 0.5, 10
 #: Stretches that a round of training takes of toxic documents and adds of clean ones, and the landmarks.
-BAD, GOOD, LANDMARKS, ROUNDS = 3000, 4000, 384, 4
+BAD, GOOD, LANDMARKS, ROUNDS = 3000, 3000, 320, 4
 LEAST = 50  # a telling run is in one of so many toxic documents at least, and in three
 CODES, BLANK, STOP, DROP = 32, 1, 254, 255
 #: Codes between two sentences, which no subsequence and no stretch gets over.
@@ -97,27 +97,48 @@ def sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, starts, np.searchsorted(last, starts + 1, side="right")
 
 
-def margins(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The sum of the weights of all subsequences of each stretch."""
-    total = np.zeros(len(codes) + 1)
-    padded = np.concatenate([codes, np.zeros(LONGEST, np.uint8)]).astype(np.int32)
-    for k in range(0, len(codes), 1 << 15):
-        x = padded[k : k + (1 << 15) + LONGEST]
-        n = min(1 << 15, len(codes) - k)
+def gathered(texts: list[str], at_a_time: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sentences() of many texts, a few at a time, which bounds what is held besides the codes."""
+    codes, starts, text, size = [], [], [], 0
+    for k in range(0, len(texts), at_a_time):
+        c, s, t = sentences(texts[k : k + at_a_time])
+        codes.append(c)
+        starts.append(s + size)
+        text.append((t + k).astype(np.int32))
+        size += len(c)
+    return np.concatenate(codes), np.concatenate(starts), np.concatenate(text)
+
+
+def margins(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """The sum of the weights of all subsequences of each stretch; starts ascend."""
+    out = np.zeros(len(starts), np.float32)
+    padded = np.concatenate([codes, np.zeros(LONGEST + WIDTH, np.uint8)])
+    for k in range(0, len(codes), block):
+        first, last = np.searchsorted(starts, (k, k + block))
+        if first == last:
+            continue
+        x = padded[k : k + block + WIDTH + LONGEST].astype(np.int32)
+        n = min(block, len(codes) - k) + WIDTH
         pairs = [x[: len(x) - 1 - g] * CODES + x[1 + g :] for g in range(GAP + 1)]
         by_gap = np.zeros((GAP + 1, n), np.float32)
         for a, b, c in GAPS:
             by_gap[a + b + c] += weights.take(pairs[a][:n] * CODES**2 + pairs[c][2 + a + b : 2 + a + b + n])
-        total[k + 1 : k + 1 + n] = (by_gap * DECAY ** np.arange(GAP + 1, dtype=np.float32)[:, None]).sum(axis=0)
-    total = np.cumsum(total)
-    return (total[np.minimum(starts + WIDTH, len(codes))] - total[starts]).astype(np.float32)
+        total = np.zeros(n + 1)
+        np.cumsum((by_gap * DECAY ** np.arange(GAP + 1, dtype=np.float32)[:, None]).sum(axis=0), out=total[1:])
+        here = starts[first:last] - k
+        out[first:last] = total[here + WIDTH] - total[here]
+    return out
 
 
 def stretches(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The codes of each stretch, one a row, with zeros behind the end of the sentence."""
     padded = np.concatenate([codes, np.zeros(LONGEST, np.uint8)])
-    out = padded[starts[:, None] + np.arange(LONGEST)]
-    out[np.logical_or.accumulate(out == 0, axis=1)] = 0
+    out = np.empty((len(starts), LONGEST), np.uint8)
+    ended = np.zeros(len(starts), bool)
+    for k in range(LONGEST):
+        out[:, k] = padded[starts + k]
+        ended |= out[:, k] == 0
+        out[ended, k] = 0
     return out
 
 
@@ -140,7 +161,7 @@ class Landmarks:
         self.known, column = np.unique(np.concatenate([n for _, n, _ in found]), return_inverse=True)
         self.table = np.zeros((len(self.known), len(rows)), np.float32)
         np.add.at(self.table, (column, np.concatenate([r for r, _, _ in found])), np.concatenate([np.full(len(r), w, np.float32) for r, _, w in found]))
-        self.table /= np.sqrt(np.maximum((self.table**2).sum(axis=0), 1e-6))  # stretches of any length weigh the same
+        self.table /= np.sqrt(np.maximum(np.einsum("ij,ij->j", self.table, self.table), 1e-6))  # stretches of any length weigh the same
         gram = self.table.T @ self.table
         values, vectors = np.linalg.eigh(gram.astype(float))
         keep = values > 1e-4 * values[-1]
@@ -150,12 +171,19 @@ class Landmarks:
         """The Nyström features of stretches and a 1, one row each."""
         out = np.ones((len(rows), self.whiten.shape[1] + 1), np.float32)
         for k in range(0, len(rows), 64):
-            part = np.zeros((min(64, len(rows) - k), len(self.known)), np.float32)
+            found = []
             for row, number, weight in subsequences(rows[k : k + 64]):
                 at = np.minimum(np.searchsorted(self.known, number), len(self.known) - 1)
                 hit = self.known[at] == number
-                np.add.at(part, (row[hit], at[hit]), np.float32(weight))
-            out[k : k + 64, :-1] = part @ self.table @ self.whiten
+                found.append((row[hit], at[hit], np.full(hit.sum(), weight, np.float32)))
+            row, at, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(row, kind="stable")
+            row, at, weight = row[order], at[order], weight[order]
+            value = np.zeros((min(64, len(rows) - k), self.table.shape[1]), np.float32)
+            ends = np.searchsorted(row, np.arange(len(value) + 1))
+            for j, (first, last) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                value[j] = weight[first:last] @ self.table[at[first:last]]
+            out[k : k + 64, :-1] = value @ self.whiten
         return out
 
     def folded(self, w: np.ndarray) -> np.ndarray:
@@ -222,7 +250,7 @@ def telling(codes: np.ndarray, starts: np.ndarray, toxic: np.ndarray, text: np.n
         if length < ORDER or not len(whole):
             continue
         run = np.unique(number[whole], return_inverse=True)[1]
-        held = np.unique(text[whole] * np.int64(len(starts) + 1) + run)
+        held = np.unique(text[whole].astype(np.int64) * (len(starts) + 1) + run)
         who, run_of = held // (len(starts) + 1), held % (len(starts) + 1)
         df = [np.bincount(run_of[toxic[who] == v], minlength=run.max() + 1) for v in (False, True)]
         odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
@@ -249,7 +277,7 @@ def train(texts: list[str], labels: list[int], toxic_share: float | None = None)
     if len(set(labels)) < 2:
         return Model(none, 0.0, np.zeros(TOP + 1), float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(10)
-    codes, starts, text = sentences(texts)
+    codes, starts, text = gathered(texts)
     apart = np.arange(len(y)) % 8 == 4  # these documents' sentences stay out of the rounds and fit the probability
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart[:] = False
@@ -275,7 +303,7 @@ def train(texts: list[str], labels: list[int], toxic_share: float | None = None)
             good = np.union1d(good, hard)
         bad = stretches(codes, starts[chosen if len(chosen) <= BAD else np.sort(rng.choice(chosen, BAD, replace=False))])
         fine = stretches(codes, starts[good])
-        rows = np.unique(np.concatenate([bad, *(disguised(bad, k, rng) for k in (1, 2, 2, 2))]), axis=0)
+        rows = np.unique(np.concatenate([bad, *(disguised(bad, k, rng) for k in (1, 2, 2))]), axis=0)
         n_bad = len(rows)
         of_bad = bad[rng.choice(len(bad), min(len(bad), LANDMARKS * 3 // 4), replace=False)]
         of_fine = fine[rng.choice(len(fine), min(len(fine), LANDMARKS - len(of_bad)), replace=False)]
