@@ -18,7 +18,7 @@ from ..functions.dialects import Dialect, get
 from ..operators import cells, combining, profiling, relating
 from ..plans.model import Column, Graph, Node
 from ..sources.listing import Member, norm_name
-from ..sources.member_source import CHUNK, read_cells
+from ..sources.member_source import CHUNK, disagreeing, read_cells
 
 
 @dataclass
@@ -206,16 +206,32 @@ def analyze(spark: SparkSession, tables: Mapping[str, DataFrame | list[DataFrame
     return graph
 
 
-def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect, copies: Mapping[str, list[str]] = {}, max_rows: int | None = None, sample: int = 500, chunk: int = CHUNK) -> Profile:
-    """Profile the files of an export. Each is read once; cells are counted as they come."""
-    read = read_cells(spark, members, max_rows, sample, chunk)
+#: Kinds of rows that tell of a file and hold none of its values.
+NOTES = ("header", "rows", "trim", "span", "error")
+
+
+def counted_members(read: DataFrame) -> DataFrame:
+    """What the reader counted piece by piece, added up; its notes as they are."""
+    notes = F.col("kind").isin(*NOTES)
     value = values.compact(F.col("value"))
-    notes = F.col("kind").isin("header", "rows", "trim", "error")
-    merged = read.groupBy("member", "sheet", "col", F.when(notes, F.col("row")).alias("row"), F.col("kind"), F.when(notes, F.col("value")).otherwise(value).alias("value")).agg(
+    return read.groupBy("member", "sheet", "col", F.when(notes, F.col("row")).alias("row"), F.col("kind"), F.when(notes, F.col("value")).otherwise(value).alias("value")).agg(
         F.sum("n").alias("n"), F.max(F.length("value")).alias("length"), F.sum(F.when(F.col("later"), 0).otherwise(F.col("times"))).alias("times"), F.sum("times").alias("all_times"), F.first("sheet_name", True).alias("sheet_name")
     )
-    merged = merged.persist()
-    told = merged.where(F.col("kind").isin("header", "rows", "trim", "error")).collect()
+
+
+def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect, copies: Mapping[str, list[str]] = {}, max_rows: int | None = None, sample: int = 500, chunk: int = CHUNK) -> Profile:
+    """Profile the files of an export. Each is read once; cells are counted as they come."""
+    merged = counted_members(read_cells(spark, members, max_rows, sample, chunk)).persist()
+    told = merged.where(F.col("kind").isin(*NOTES)).collect()
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for r in told:
+        if r.kind == "span":
+            spans.setdefault(r.member, []).append((r.row, int(r.value)))
+    if again := disagreeing(spans):  # their chunks were not cut between records
+        whole = counted_members(read_cells(spark, members, max_rows, sample, None, again))
+        merged = merged.where(~F.col("member").isin(*again)).unionByName(whole).persist()
+        told = merged.where(F.col("kind").isin(*NOTES)).collect()
+    notes = F.col("kind").isin(*NOTES)
     errors = {r.member: r.value for r in told if r.kind == "error"}
     headers: dict[tuple[int, int], dict[int, str]] = {}
     info: dict[tuple[int, int], tuple[str, int]] = {}
@@ -228,7 +244,7 @@ def profile_members(spark: SparkSession, members: list[Member], dialect: Dialect
         elif r.kind == "rows":
             name, rows = info.get((r.member, r.sheet), (r.sheet_name, 0))
             info[r.member, r.sheet] = (name, rows + r.row * r.n)  # chunks of a file tell their own
-        else:
+        elif r.kind == "trim":
             trims[r.member, r.sheet] = (r.col, r.row)
     parts, keys = [], []
     per_member: dict[int, int] = {}

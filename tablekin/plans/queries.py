@@ -257,15 +257,13 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = edges_sf(spark, sf_dir).where("from_node <> to_node")
-    out = edges.groupBy(F.col("from_node").alias("node")).agg(F.count("*").alias("points_at"))
-    into = edges.groupBy(F.col("to_node").alias("node")).agg(F.count("*").alias("referenced_by"))
-    return out.join(into, "node", "full").select("node", F.coalesce("points_at", F.lit(0)).alias("points_at"), F.coalesce("referenced_by", F.lit(0)).alias("referenced_by"))
+    rows = [(n, out, into) for n, (out, into) in pages.degrees(sf_graph(spark, sf_dir).edges).items()]
+    return spark.createDataFrame(rows, "node string, points_at long, referenced_by long")
 
 
 def largest_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = cells.union([load(spark, sf_dir, t).select(F.lit(t).alias("node")) for t in STAR]).groupBy("node").agg(F.count("*").alias("row_count"))
-    return sizes.orderBy(F.desc("row_count"), "node").limit(10)
+    return spark.createDataFrame(pages.largest([tuple(r) for r in sizes.collect()]), "node string, row_count long")  # one row per table
 
 
 def extract_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,9 +290,7 @@ def json_graph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = sf_graph(spark, sf_dir)
-    made = pages.Pages(g, pages.Context(generated="2024-01-01"))
-    texts = [("README.md", made.index()), ("relationships.md", made.relationships()), *((f"entities/{made.files[n.id]}", made.entity(n)) for n in g.nodes)]
-    return spark.createDataFrame(texts, "path string, page string")
+    return spark.createDataFrame(list(pages.Pages(g, pages.Context(generated="2024-01-01")).all().items()), "path string, page string")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """A Spark data source over the files of an export: cells as Arrow batches, a partition for each file or chunk of one.
 
-Plain CSV and TSV files beyond CHUNK bytes are cut. A cut may fall inside quotes, so a first job counts each chunk's
-quotes; the parity of the count before a chunk tells the state in which it starts. (A lone quote inside an unquoted
-field would mislead this; such files are read right only when they are smaller than a chunk.)
+Plain CSV and TSV files beyond CHUNK bytes are cut. A cut may fall inside quotes: a first job counts each chunk's
+quotes, and the parity of the count before a chunk is taken for the state in which it starts. A lone quote inside an
+unquoted field misleads that guess, so it is checked: each chunk notes where its first record starts and where the
+first one behind it does. The first chunk starts right, and a chunk that starts where the one before it ended is right
+too. Files whose chunks disagree anywhere are read again in one piece (see disagreeing).
 
 Rows: member, sheet, sheet_name, col, row, kind, value, n, times, later. The reader counts equal values itself, as far as
 its memory allows: n rows hold the value, and times of them are among the column's first values in row order. later
 marks chunks after the first. Besides values there are notes: `header` (a column's name), `rows` (how many rows the
-sheet has, in row), `trim` (col: first column that is data, row: the one after the last) and `error` (what went wrong;
-the file's other rows then don't count).
+sheet has, in row), `trim` (col: first column that is data, row: the one after the last), `span` (of a chunk: row: where
+it begins, value: where it ends, both in bytes) and `error` (what went wrong; the file's other rows then don't count).
 """
 
 from __future__ import annotations
@@ -98,7 +100,12 @@ class MemberReader(DataSourceReader):
                 yield batch(1, sheet=k, sheet_name=sheet.name, row=sheet.rows, kind="rows")
                 if sheet.last is not None:
                     yield batch(1, sheet=k, sheet_name=sheet.name, col=sheet.first, row=sheet.last, kind="trim")
+                if sheet.span is not None:
+                    yield batch(1, sheet=k, row=sheet.span[0], kind="span", value=str(sheet.span[1]))
         except Exception as e:  # one unreadable file must not end the run
+            if partition.chunk is not None:  # a wrong start may be why: let the whole file tell
+                yield batch(1, sheet=0, row=-1, kind="span", value="-1")
+                return
             yield batch(1, sheet=0, kind="error", value=f"{type(e).__name__}: {e}")
 
 
@@ -147,10 +154,20 @@ def chunks(spark: SparkSession, members: list[Member], chunk: int) -> dict[int,
     return out
 
 
-def read_cells(spark: SparkSession, members: list[Member], max_rows: int | None = None, sample: int = 500, chunk: int = CHUNK) -> DataFrame:
-    """The cells of all members, largest file first."""
+def disagreeing(spans: dict[int, list[tuple[int, int]]]) -> set[int]:
+    """The members of whose chunks some doesn't begin where the one before it ends. spans: (begin, end) by member."""
+    out = set()
+    for member, own in spans.items():
+        own = sorted(own)
+        if own[0][0] < 0 or any(a[1] != b[0] for a, b in zip(own, own[1:], strict=False)):
+            out.add(member)
+    return out
+
+
+def read_cells(spark: SparkSession, members: list[Member], max_rows: int | None = None, sample: int = 500, chunk: int | None = CHUNK, only: set[int] | None = None) -> DataFrame:
+    """The cells of all members, or of some by number, largest file first. Without a chunk size no file is cut."""
     spark.dataSource.register(MemberSource)
-    cut = chunks(spark, members, chunk) if max_rows is None else {}
-    order = sorted(enumerate(members), key=lambda x: -x[1].size)
+    cut = chunks(spark, members, chunk) if max_rows is None and chunk is not None else {}
+    order = sorted(((k, m) for k, m in enumerate(members) if only is None or k in only), key=lambda x: -x[1].size)
     listed = json.dumps([(k, m.path, m.chain, c) for k, m in order for c in cut.get(k, [None])])
     return spark.read.format("tablekin_members").option("members", listed).option("maxRows", "" if max_rows is None else str(max_rows)).option("sample", str(sample)).load()

@@ -6,6 +6,8 @@ import csv
 import datetime as dt
 import io
 import re
+import shutil
+import tempfile
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +28,7 @@ class Sheet:
     rows: int = 0  # known once the cells are used up
     first: int = 0  # columns before this one, and from `last` on, are formatting
     last: int | None = None
+    span: tuple[int, int] | None = None  # of a chunk: where its first record starts, and the first one behind it
 
 
 def column_names(header: list[str]) -> list[str]:
@@ -81,7 +84,7 @@ def head_of_csv(path: str, separator: str) -> tuple[list[str], int] | None:
         if _encoding(start[:4]) not in ("utf-8", "utf-8-sig") or b"\n" not in start:
             return None
         f.seek(3 if start.startswith(b"\xef\xbb\xbf") else 0)
-        lines = _Lines(f, f.tell(), None)
+        lines = _Lines(f, f.tell())
         for row in csv.reader(lines, delimiter=separator):
             if row and row != [""]:
                 return column_names(row), lines.at
@@ -89,22 +92,19 @@ def head_of_csv(path: str, separator: str) -> tuple[list[str], int] | None:
 
 
 class _Lines:
-    """Text lines of a file up to the end of the last record that starts at or before `end`."""
+    """Text lines of a file from where it stands; at is where the next one starts."""
 
-    def __init__(self, f: io.BufferedIOBase, at: int, end: int | None):
-        self.f, self.at, self.end, self.open = f, at, end, False
+    def __init__(self, f: io.BufferedIOBase, at: int):
+        self.f, self.at = f, at
 
     def __iter__(self) -> _Lines:
         return self
 
     def __next__(self) -> str:
-        if not self.open and self.end is not None and self.at > self.end:
-            raise StopIteration
         line = self.f.readline()
         if not line:
             raise StopIteration
         self.at += len(line)
-        self.open ^= bool(line.count(b'"') & 1)
         return line.decode("utf-8", "replace")
 
 
@@ -121,27 +121,29 @@ def count_quotes(path: str, start: int, end: int) -> int:
 def read_csv_chunk(path: str, separator: str, header: list[str], start: int, end: int, quoted: bool, first: bool) -> Iterator[Sheet]:
     """The records that start after `start` (for the first chunk: at it) and not after `end`.
 
-    quoted tells whether `start` lies inside quotes. The record that covers or begins at `start` belongs to the chunk before.
+    quoted guesses whether `start` lies inside quotes. The sheet's span tells where its first record starts and where the
+    first one behind it does: neighbours that agree on all of these have read what a single reader would.
     """
     sheet = Sheet(path.replace("\\", "/").rsplit("/", 1)[-1].rpartition(".")[0], header if first else [""] * len(header), iter(()))
 
     def cells() -> Iterator[Cell]:
         with open(path, "rb") as f:
             f.seek(start)
-            lines = _Lines(f, start, end)
-            if not first:
-                lines.open, lines.end = quoted, None
-                for _ in lines:
-                    if not lines.open:
-                        break
-                lines.end = end
-            for row in csv.reader(lines, delimiter=separator):
+            lines = _Lines(f, start)
+            open_ = quoted
+            for line in () if first else lines:
+                open_ ^= bool(line.count('"') & 1)
+                if not open_:
+                    break
+            begin, records = lines.at, csv.reader(lines, delimiter=separator)
+            while lines.at <= end and (row := next(records, None)) is not None:
                 if not row or row == [""]:
                     continue
                 for k, value in enumerate(row[: len(header)]):
                     if value:
                         yield k, sheet.rows, "text", value
                 sheet.rows += 1
+            sheet.span = begin, lines.at
 
     sheet.cells = cells()
     yield sheet
@@ -162,7 +164,10 @@ class Workbook:
     """The sheets of an xlsx or xlsm file, cell by cell."""
 
     def __init__(self, stream: io.BufferedIOBase):
-        self.zip = zipfile.ZipFile(stream if stream.seekable() and isinstance(stream, (io.BytesIO, io.BufferedReader)) else io.BytesIO(stream.read()))
+        if not isinstance(stream, (io.BytesIO, io.BufferedReader)):  # a packed one: to the task's disk, as its directory is at its end
+            packed, stream = stream, tempfile.TemporaryFile()
+            shutil.copyfileobj(packed, stream, 1 << 20)
+        self.zip = zipfile.ZipFile(stream)
         names = set(self.zip.namelist())
         book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         props = book.find(f"{_NS}workbookPr")
@@ -251,23 +256,23 @@ def _column(ref: str) -> int:
 def read_workbook(stream: io.BufferedIOBase, max_rows: int | None) -> Iterator[Sheet]:
     book = Workbook(stream)
     for name, path in book.sheets:
-        rows = book.rows(path)
-        top = next(((n, c) for n, c in rows if c), None)
-        if top is None:
+        # A sheet is as wide as its widest row, so it is read twice; no more than a row is held.
+        number, header, width = -1, {}, 0
+        for n, c in book.rows(path):
+            if c:
+                number, header = (n, c) if not header else (number, header)
+                width = max(width, max(c) + 1)
+        if not header:
             yield Sheet(name, [], iter(()))
             continue
-        number, header = top
-        # A sheet's width is that of its widest row, so it is read twice at most: rows are small, names come first.
-        buffered = list(rows)
-        width = max([max(header), *(max(c) for _, c in buffered if c)]) + 1
         raw = [header.get(k, ("", ""))[1] for k in range(width)]
         sheet = Sheet(name, column_names(raw), iter(()))
 
-        def cells(buffered=buffered, number=number, sheet=sheet, raw=raw) -> Iterator[Cell]:
+        def cells(path=path, number=number, sheet=sheet, raw=raw) -> Iterator[Cell]:
             filled: set[int] = set()
-            for n, c in buffered:
+            for n, c in book.rows(path):
                 row = n - number - 1
-                if not c:
+                if row < 0 or not c:
                     continue  # blank rows count once a filled one follows
                 if max_rows is not None and row >= max_rows:
                     sheet.rows = max_rows
