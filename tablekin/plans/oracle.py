@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fixtures import IDS, ORG, select
-from .queries import TYPING
+from .queries import FILE_COLUMNS, NOTE, TYPING
 
 #: Columns of the test tables by type: i integer, d double, t time, s text.
 SCHEMA = {
@@ -141,6 +141,23 @@ SELECT 'typing' AS node, k::BIGINT AS col_index, c AS column_name, type, count(*
 FROM z GROUP BY k, c, type"""
 
 
+def _embeddings() -> str:
+    """Without lengths: the two engines write the same vector in texts of different length."""
+    types = {"vec_id": "int", "embedding": "string", "label": "int"}
+    parts = [f"SELECT 'embeddings' AS node, {k}::BIGINT AS col_index, '{c}' AS column_name, '{t}' AS type, count(*) AS row_count, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_count, count(DISTINCT {c}) = count({c}) AS is_unique FROM embeddings" for k, (c, t) in enumerate(types.items())]
+    return " UNION ALL ".join(parts)
+
+
+def _file() -> str:
+    """The profile of orders as a file: empty texts are nulls there, and whole prices don't make a column of floats whole."""
+    parts = []
+    for k, (name, kind) in enumerate(FILE_COLUMNS.items()):
+        v = f"nullif({name}, '')" if kind == "string" else name
+        longest = f"max(length({v}))" if kind == "string" else "-1"
+        parts.append(f"SELECT 'Orders' AS node, {k}::BIGINT AS col_index, '{name}' AS column_name, '{kind}' AS type, count(*) AS row_count, count(*) - count({v}) AS nulls, count(DISTINCT {v}) AS distinct_count, {longest}::BIGINT AS max_length, count(DISTINCT {v}) = count({v}) AS is_unique FROM f")
+    return f"WITH f AS (SELECT *, {NOTE} AS note FROM orders) " + " UNION ALL ".join(parts)
+
+
 def _merged() -> str:
     rows = " UNION ALL ".join(f"SELECT {k} AS k, '{n}' AS c, nullif({n}, '') AS v FROM parts" for k, n in enumerate(_ASSET))
     return f"""{_ORG}, parts AS (SELECT * FROM Asset WHERE Id < '02iA00000000100' UNION ALL BY NAME SELECT * EXCLUDE (InstallDate) FROM Asset WHERE Id >= '02iA00000000100'), u AS ({rows})
@@ -152,6 +169,9 @@ def oracle_sql() -> dict[str, str]:
     out = {f"column_profile_{t}": _profile(t) for t in SCHEMA}
     out |= {
         "csv_typing": _typing(),
+        "csv_file": _file(),
+        "csv_file_in_chunks": _file(),
+        "column_profile_embeddings": _embeddings(),
         "value_counts_asset_id": f"{_ORG} SELECT AssetId AS value, count(*) AS n FROM Cases WHERE AssetId IS NOT NULL GROUP BY 1",
         "id_tokens_visit": f"{_VC} SELECT CASE col WHEN 'RecordId__c' THEN 0 ELSE 1 END AS col, token, rows::BIGINT AS row_count, row_number() OVER (PARTITION BY col ORDER BY rows DESC, token) AS rank, rows / sum(rows) OVER (PARTITION BY col) AS share FROM tok WHERE node = 'Visit__c' AND col IN ('RecordId__c', 'Campaign__c')",
         "looks_like_id": _ORG + _SAMPLE,

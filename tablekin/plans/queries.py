@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import os
+import shutil
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +18,7 @@ from ..functions.numbers import rounded
 from ..operators import cells, combining, ordering, profiling, relating
 from ..sinks import diagrams, json_graph, pages
 from ..sources import listing
-from .analysis import analyze, profile_frames
+from .analysis import analyze, profile_frames, profile_members
 from .fixtures import org, org_table
 from .model import Column, Graph, Node
 
@@ -57,6 +61,49 @@ def csv_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_rows(spark, found.nodes)
 
 
+#: A text of each awkward kind for orders' rows: a lone quote, quotes and commas, lines, nothing.
+NOTE = "case o_orderkey % 4 when 0 then '5\" pipe' when 1 then 'a, \"b\"' when 2 then concat('two', chr(10), 'lines', chr(10), 'no. ', cast(o_orderkey as string)) else '' end"
+FILE_COLUMNS = {"o_orderkey": "int", "o_custkey": "int", "o_totalprice": "float", "o_orderpriority": "string", "note": "string"}
+
+
+def _written(spark: SparkSession, sf_dir: str, chunk: int | None) -> DataFrame:
+    """Profile of orders as a CSV file, which the driver writes below the shared folder and removes."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.removeprefix('file:').rstrip('/')}/{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    path = f"{folder}/Orders.csv"
+    frame = load(spark, sf_dir, "orders").selectExpr(*list(FILE_COLUMNS)[:-1], f"{NOTE} as note")
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        writer = csv.writer(f, lineterminator="\n")
+        writer.writerow(FILE_COLUMNS)
+        for row in frame.toLocalIterator():
+            if row.note.startswith("5"):  # as people type it, not as a writer would quote it
+                f.write(",".join([*map(str, row[:-1]), row.note]) + "\n")
+            else:
+                writer.writerow(row)
+    try:
+        found = profile_members(spark, listing.list_members([path]), get("salesforce"), chunk=chunk)
+        found.release()
+        return column_rows(spark, found.nodes)
+    finally:
+        shutil.rmtree(folder, True)
+
+
+def csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file read in one piece."""
+    return _written(spark, sf_dir, None)
+
+
+def csv_file_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same file cut into chunks of 100 kB, at whose bounds lone quotes and lines inside quotes mislead."""
+    return _written(spark, sf_dir, 100_000)
+
+
+def column_profile_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As column_profile, but for lengths; vectors are profiled as their JSON text."""
+    return column_profile("embeddings")(spark, sf_dir).drop("max_length")
+
+
 def value_counts_asset_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cells.counted(cells.melted(org_table(spark, sf_dir, "Case").where("AssetId is not null").select("AssetId"), 0))
     return counts.select("value", "n")
@@ -324,7 +371,7 @@ def value_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = (
-        csv_typing, value_counts_asset_id, id_tokens_visit, looks_like_id, resolve_asset_product, resolve_case_asset,
+        csv_typing, csv_file, csv_file_in_chunks, column_profile_embeddings, value_counts_asset_id, id_tokens_visit, looks_like_id, resolve_asset_product, resolve_case_asset,
         resolve_visit_record_by_token, resolve_lineitem_part, overlap_probe, candidates_token, candidates_name, edges_sf, edges_generic,
         edges_star, unresolved_sf, unresolved_star, polymorphic_groups, merge_parts_asset, pick_key_overlapping_parts, pick_key,
         dedupe_copies, include_filter, include_unmatched, normalise_names, load_order, cycles, degree_stats, largest_entities,
