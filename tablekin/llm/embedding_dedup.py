@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_map, components, lookup_join, scratch, stored, table
+from .common import Forest, arrow_map, components, give_back, lookup_join, scratch, stored, table
 
 COSINE = 0.9
 #: The numbers of pivots tried, and the vectors they are tried on.
@@ -173,6 +173,7 @@ def compared(tiles: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): links of the forest (n null) and, with b null, numbers of linked vectors to be added up."""
 
     def compare(rows: pa.Table) -> pa.Table:
+        give_back()  # what earlier tiles of this task held
         rows = rows.combine_chunks()
         reps, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
         alone = rows.column("a")[0].as_py() == rows.column("b")[0].as_py()

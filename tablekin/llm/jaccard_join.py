@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, Forest, arrow_map, components, lookup_join, scratch, stored, table
+from .common import SLICE, Forest, arrow_map, components, give_back, lookup_join, scratch, stored, table
 from .shingles import DEPTH, LEAST, RECALL, SIMILARITY, Shingler, prefixes, shortened, signature
 
 #: Representatives in a block; a task compares at most two blocks.
@@ -154,6 +154,7 @@ def verified(documents: DataFrame, tiles: DataFrame, copies: DataFrame, similari
     share = Fraction(similarity).limit_denominator(10_000)
 
     def compare(rows: pa.Table) -> pa.Table:
+        give_back()  # what earlier tiles of this task held
         rows = rows.combine_chunks()
         reps, copies_ = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
         side = np.array(rows.column("second").to_pylist(), bool)

@@ -225,10 +225,13 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2
     w = np.zeros(x.shape[1])
     for _ in range(25):
         slack = 1 - y * (x @ w)
-        rows = np.flatnonzero(slack > 0)
-        xs, c = x[rows].astype(np.float64), cost[rows]
-        grad = ridge * w - xs.T @ (c * y[rows] * slack[rows])
-        step = np.linalg.solve(ridge * np.eye(len(w)) + (xs * c[:, None]).T @ xs, grad)
+        grad, curve = ridge * w, ridge * np.eye(len(w))
+        for k in range(0, len(x), 2048):  # a few rows at a time, to hold no second copy
+            rows = k + np.flatnonzero(slack[k : k + 2048] > 0)
+            xs = x[rows].astype(np.float64)
+            grad -= xs.T @ (cost[rows] * y[rows] * slack[rows])
+            curve += (xs * cost[rows][:, None]).T @ xs
+        step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
