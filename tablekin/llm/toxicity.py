@@ -310,6 +310,7 @@ def train(texts: list[str], labels: list[int], toxic_share: float | None = None)
         n_bad = len(rows)
         of_bad = bad[rng.choice(len(bad), min(len(bad), LANDMARKS * 3 // 4), replace=False)]
         of_fine = fine[rng.choice(len(fine), min(len(fine), LANDMARKS - len(of_bad)), replace=False)]
+        marks = None  # the last round's table goes before the next is made
         marks = Landmarks(np.concatenate([of_bad, of_fine]))
         rows = np.concatenate([rows, np.unique(fine, axis=0)])
         target = np.where(np.arange(len(rows)) < n_bad, 1.0, -1.0)
