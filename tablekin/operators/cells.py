@@ -68,6 +68,42 @@ def counted_numbers(cells: DataFrame) -> DataFrame:
     return cells.groupBy("part", "col", "whole", "real").agg(F.count("*").alias("n"))
 
 
+#: Up to so many columns, each is counted by itself: narrow keys and no rows made per cell. Wider tables would make plans
+#: of hundreds of branches, and are melted. The counts are the same.
+MELT_ABOVE = 40
+
+
+def number_counts(frame: DataFrame, part: int) -> DataFrame:
+    """counted_numbers of a frame's numbers, flags, dates and times."""
+    fields = [(k, f) for k, f in enumerate(frame.schema.fields) if is_number(f.dataType)]
+    if not fields or len(frame.schema.fields) > MELT_ABOVE:
+        return counted_numbers(melted_numbers(frame, part))
+    out = []
+    for k, f in fields:
+        c, kind = _named(f.name), number_kind(f.dataType)
+        value = F.unix_micros(c.cast("timestamp")) if kind == "datetime" else c.cast("double" if kind == "float" else "bigint")
+        counts = frame.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+        whole, real = (F.lit(None).cast("bigint"), F.col("v")) if kind == "float" else (F.col("v"), F.lit(None).cast("double"))
+        out.append(counts.select(F.lit(part).alias("part"), F.lit(k).alias("col"), whole.alias("whole"), real.alias("real"), "n"))
+    return union(out)
+
+
+def text_counts(frame: DataFrame, part: int, parse_text: bool = False) -> DataFrame:
+    """counted of a frame's texts."""
+    fields = [(k, f) for k, f in enumerate(frame.schema.fields) if not is_number(f.dataType)]
+    if not fields or len(frame.schema.fields) > MELT_ABOVE:
+        return counted(melted(frame, part, parse_text))
+    out = []
+    for k, f in fields:
+        text = _named(f.name)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.to_json(text)
+        own = frame.select(F.nullif(text.cast("string"), F.lit("")).alias("t")).where("t is not null")
+        counts = own.select(values.compact(F.col("t")).alias("value"), F.length("t").alias("length")).groupBy("value").agg(F.count("*").alias("n"), F.max("length").alias("length"))
+        out.append(counts.select(F.lit(part).alias("part"), F.lit(k).alias("col"), F.lit("text" if parse_text else "str").alias("kind"), "value", "n", "length"))
+    return union(out)
+
+
 def as_text(numbers: DataFrame) -> DataFrame:
     """Number counts as part, col, value, n, in the canonical form that texts have."""
     round_ = (F.col("real") == F.floor("real")) & (F.abs("real") < 9.2e18)

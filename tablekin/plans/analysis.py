@@ -179,14 +179,16 @@ def frame_parts(tables: Mapping[str, DataFrame | list[DataFrame]], dialect: Dial
 def profile_frames(spark: SparkSession, tables: Mapping[str, DataFrame | list[DataFrame]], dialect: Dialect, sample: int = 500, parse_text: bool = False) -> Profile:
     """Profile frames by name; a list of frames under one name is an object split over several parts."""
     parts, frames = frame_parts(tables, dialect)
-    rows = cells.union([f.select(F.lit(p.number).alias("part")) for p, f in zip(parts, frames, strict=True)]).groupBy("part").count()
-    sizes = {r.part: r["count"] for r in rows.collect()}
+    pairs = list(zip(parts, frames, strict=True))
+    sizes = cells.union([f.select(F.lit(p.number).alias("part")) for p, f in pairs]).groupBy("part").count()
+    with ThreadPoolExecutor(1) as pool:  # beside the plans that follow
+        counting = pool.submit(sizes.collect)
+        raw = cells.union([cells.text_counts(f, p.number, parse_text) for p, f in pairs])
+        numbers = cells.union([cells.number_counts(f, p.number) for p, f in pairs])
+        rows = {r.part: r["count"] for r in counting.result()}
     for p in parts:
-        p.rows = sizes.get(p.number, 0)
+        p.rows = rows.get(p.number, 0)
         p.warning = None if p.rows else combining.EMPTY
-    pairs = list(zip(parts, frames, strict=True))
-    raw = cells.counted(cells.union([cells.melted(f, p.number, parse_text) for p, f in pairs]))
-    numbers = cells.counted_numbers(cells.union([cells.melted_numbers(f, p.number) for p, f in pairs]))
     kinds = {(p.number, k): cells.number_kind(c.dataType) for p, f in pairs for k, c in enumerate(f.schema.fields) if cells.is_number(c.dataType)}
 
     def samples(short: set[tuple[int, int]] | None) -> DataFrame:

@@ -139,3 +139,13 @@ def test_tokens_are_ranked(spark):
 def test_counts_are_partial_before_the_shuffle(spark):
     plan = cells.counted(cells.melted(spark.range(10), 0))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_count") == 1 and plan.count("Exchange") == 1
+
+
+def test_counting_by_column_or_melted_is_the_same(spark, monkeypatch):
+    frame = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("*", "o_orderkey % 3 = 0 as flag", "if(o_orderkey % 5 = 0, '', o_orderstatus) as some", "array(o_custkey) as list")
+    rows = []
+    for most in (0, 40):
+        monkeypatch.setattr(cells, "MELT_ABOVE", most)
+        texts, numbers = cells.text_counts(frame, 3), cells.number_counts(frame, 3)
+        rows.append([sorted(map(str, f.select(sorted(f.columns)).collect())) for f in (texts, numbers)])
+    assert rows[0] == rows[1] and rows[0][0] and rows[0][1]
