@@ -1,4 +1,4 @@
-"""Reading one file as a stream of filled cells: CSV and TSV text, and xlsx workbooks by the standard library."""
+"""Reading one file as a stream of filled cells: CSV and TSV text, and xlsx, xlsm and xlsb workbooks by the standard library."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import datetime as dt
 import io
 import re
 import shutil
+import struct
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -164,10 +165,7 @@ class Workbook:
     """The sheets of an xlsx or xlsm file, cell by cell."""
 
     def __init__(self, stream: io.BufferedIOBase):
-        if not isinstance(stream, (io.BytesIO, io.BufferedReader)):  # a packed one: to the task's disk, as its directory is at its end
-            packed, stream = stream, tempfile.TemporaryFile()
-            shutil.copyfileobj(packed, stream, 1 << 20)
-        self.zip = zipfile.ZipFile(stream)
+        self.zip = zipfile.ZipFile(_seekable(stream))
         names = set(self.zip.namelist())
         book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         props = book.find(f"{_NS}workbookPr")
@@ -227,13 +225,25 @@ class Workbook:
             return None if kind == "e" else ("str", v.text)
         if kind == "b":
             return "bool", "True" if v.text == "1" else "False"
-        number = float(v.text)
-        if int(c.get("s") or 0) in self.dates:
-            when = self.epoch + dt.timedelta(microseconds=round(number * 86_400_000) * 1000)
-            return "time", when.strftime("%Y-%m-%d %H:%M:%S") + (f".{when.microsecond:06d}" if when.microsecond else "")
-        if number == int(number) and abs(number) < 9.2e18:
-            return "int", str(int(number))
-        return "float", repr(number)
+        return _number(float(v.text), int(c.get("s") or 0) in self.dates, self.epoch)
+
+
+def _number(number: float, is_date: bool, epoch: dt.datetime) -> tuple[str, str]:
+    if is_date:
+        when = epoch + dt.timedelta(microseconds=round(number * 86_400_000) * 1000)
+        return "time", when.strftime("%Y-%m-%d %H:%M:%S") + (f".{when.microsecond:06d}" if when.microsecond else "")
+    if number == int(number) and abs(number) < 9.2e18:
+        return "int", str(int(number))
+    return "float", repr(number)
+
+
+def _seekable(stream: io.BufferedIOBase) -> io.BufferedIOBase:
+    """The stream itself, or a packed one's bytes on the task's disk: a zip's directory is at its end."""
+    if isinstance(stream, (io.BytesIO, io.BufferedReader)):
+        return stream
+    out = tempfile.TemporaryFile()
+    shutil.copyfileobj(stream, out, 1 << 20)
+    return out
 
 
 def _rich_text(item) -> str:
@@ -253,8 +263,93 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def read_workbook(stream: io.BufferedIOBase, max_rows: int | None) -> Iterator[Sheet]:
-    book = Workbook(stream)
+#: Record types of the binary workbook format.
+_ROW, _RK, _BOOL, _REAL, _TEXT, _SHARED = 0, 2, 4, 5, 6, 7
+_FORMULA_TEXT, _FORMULA_REAL, _FORMULA_BOOL = 8, 9, 10
+_STRING_ITEM, _FORMAT, _STYLE, _BOOK, _SHEET, _STYLES_BEGIN, _STYLES_END = 19, 44, 47, 153, 156, 617, 618
+
+
+class BinaryWorkbook:
+    """The sheets of an xlsb file, cell by cell: a zip of parts that are runs of (type, length, payload) records."""
+
+    def __init__(self, stream: io.BufferedIOBase):
+        self.zip = zipfile.ZipFile(_seekable(stream))
+        names = set(self.zip.namelist())
+        rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.bin.rels"))}
+        self.epoch, self.sheets = dt.datetime(1899, 12, 30), []
+        for kind, raw in self._records("xl/workbook.bin"):
+            if kind == _BOOK and raw[0] & 1:
+                self.epoch = dt.datetime(1904, 1, 1)
+            elif kind == _SHEET:
+                rel, at = self._text(raw, 8)
+                self.sheets.append((self._text(raw, at)[0], Workbook._path(rels[rel])))
+        self.strings = [self._text(raw, 1)[0] for kind, raw in self._records("xl/sharedStrings.bin") if kind == _STRING_ITEM] if "xl/sharedStrings.bin" in names else []
+        self.dates = self._date_styles() if "xl/styles.bin" in names else set()
+
+    def _records(self, part: str) -> Iterator[tuple[int, bytes]]:
+        with self.zip.open(part) as packed:
+            f = io.BufferedReader(packed, 1 << 16)
+
+            def number(most: int) -> int | None:
+                """Seven bits a byte, the lowest first; the eighth tells that more follow."""
+                out = 0
+                for k in range(most):
+                    if not (byte := f.read(1)):
+                        return None
+                    out |= (byte[0] & 0x7F) << 7 * k
+                    if byte[0] < 0x80:
+                        break
+                return out
+
+            while (kind := number(2)) is not None and (size := number(4)) is not None:
+                yield kind, f.read(size)
+
+    @staticmethod
+    def _text(raw: bytes, at: int) -> tuple[str, int]:
+        """A counted UTF-16 string, and where it ends."""
+        end = at + 4 + 2 * int.from_bytes(raw[at : at + 4], "little")
+        return raw[at + 4 : end].decode("utf-16-le", "replace"), end
+
+    def _date_styles(self) -> set[int]:
+        own, styles, inside = {}, [], False
+        for kind, raw in self._records("xl/styles.bin"):
+            if kind == _FORMAT:
+                own[int.from_bytes(raw[:2], "little")] = self._text(raw, 2)[0]
+            elif kind in (_STYLES_BEGIN, _STYLES_END):
+                inside = kind == _STYLES_BEGIN
+            elif kind == _STYLE and inside:
+                styles.append(int.from_bytes(raw[2:4], "little"))
+        return {k for k, i in enumerate(styles) if (_is_date_format(own[i]) if i in own else i in _DATE_FORMATS)}
+
+    def rows(self, path: str) -> Iterator[tuple[int, dict[int, tuple[str, str]]]]:
+        """(row number, filled cells by column) in file order."""
+        number, cells = None, {}
+        for kind, raw in self._records(path):
+            if kind == _ROW:
+                if number is not None:
+                    yield number, cells
+                number, cells = int.from_bytes(raw[:4], "little"), {}
+            elif _RK <= kind <= _FORMULA_BOOL and (value := self._value(kind, raw[8:], int.from_bytes(raw[4:7], "little"))) is not None:
+                cells[int.from_bytes(raw[:4], "little")] = value
+        if number is not None:
+            yield number, cells
+
+    def _value(self, kind: int, raw: bytes, style: int) -> tuple[str, str] | None:
+        if kind in (_BOOL, _FORMULA_BOOL):
+            return "bool", "True" if raw[0] else "False"
+        if kind in (_TEXT, _FORMULA_TEXT, _SHARED):
+            text = self.strings[int.from_bytes(raw[:4], "little")] if kind == _SHARED else self._text(raw, 0)[0]
+            return ("str", text) if text else None
+        if kind in (_REAL, _FORMULA_REAL):
+            return _number(struct.unpack("<d", raw[:8])[0], style in self.dates, self.epoch)
+        if kind == _RK:  # 30 bits of a number: the upper ones of a double or an integer, either perhaps in hundredths
+            bits = int.from_bytes(raw[:4], "little", signed=True)
+            number = float(bits >> 2) if bits & 2 else struct.unpack("<d", b"\0\0\0\0" + (bits & ~3 & 0xFFFFFFFF).to_bytes(4, "little"))[0]
+            return _number(number / 100 if bits & 1 else number, style in self.dates, self.epoch)
+        return None  # errors
+
+
+def read_workbook(book: Workbook | BinaryWorkbook, max_rows: int | None) -> Iterator[Sheet]:
     for name, path in book.sheets:
         # A sheet is as wide as its widest row, so it is read twice; no more than a row is held.
         number, header, width = -1, {}, 0
@@ -294,7 +389,5 @@ def read_member(path: str, chain: tuple[str, ...], max_rows: int | None) -> Iter
     stream = open_chain(path, chain)
     if extension.lower() in ("csv", "tsv"):
         yield from read_csv(stream, "," if extension.lower() == "csv" else "\t", stem, max_rows)
-    elif extension.lower() == "xlsb":
-        raise ValueError("binary workbooks can't be read")
     else:
-        yield from read_workbook(stream, max_rows)
+        yield from read_workbook((BinaryWorkbook if extension.lower() == "xlsb" else Workbook)(stream), max_rows)

@@ -4,6 +4,7 @@ import csv
 import io
 import itertools
 import random
+import struct
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -108,6 +109,49 @@ def as_xlsx(sheets, top=0, left=0):
     return out.getvalue()
 
 
+def as_xlsb(sheets):
+    """sheets: name -> rows of cells: str, int, float, bool, None, ("date", serial), ("shared", text) or ("rk", hundredths)."""
+    shared, parts = [], {}
+
+    def bits(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    record = lambda kind, raw=b"": bits(kind) + bits(len(raw)) + raw
+    text = lambda t: struct.pack("<I", len(t.encode("utf-16-le")) // 2) + t.encode("utf-16-le")
+    book, rels = record(153, bytes(12)), []
+    for n, (name, rows) in enumerate(sheets.items(), 1):
+        body = record(129)
+        for r, row in enumerate(rows):
+            body += record(0, struct.pack("<I", r) + bytes(13))
+            for c, v in enumerate(row):
+                at = struct.pack("<I", c) + (1 if isinstance(v, tuple) and v[0] == "date" else 0).to_bytes(3, "little") + b"\0"
+                if v is None:
+                    body += record(1, at)
+                elif isinstance(v, bool):
+                    body += record(4, at + bytes([v]))
+                elif isinstance(v, str):
+                    body += record(6, at + text(v))
+                elif isinstance(v, tuple) and v[0] == "shared":
+                    shared.append(v[1])
+                    body += record(7, at + struct.pack("<I", len(shared) - 1))
+                elif isinstance(v, tuple) and v[0] == "rk":
+                    body += record(2, at + struct.pack("<i", v[1] << 2 | 3))
+                else:
+                    body += record(5, at + struct.pack("<d", v[1] if isinstance(v, tuple) else v))
+        parts[f"xl/worksheets/sheet{n}.bin"] = body + record(130)
+        rels.append(f'<Relationship Id="rId{n}" Type="t" Target="worksheets/sheet{n}.bin"/>')
+        book += record(156, struct.pack("<II", 0, n) + text(f"rId{n}") + text(name))
+    parts["xl/workbook.bin"] = book
+    parts["xl/_rels/workbook.bin.rels"] = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(rels)}</Relationships>'.encode()
+    parts["xl/sharedStrings.bin"] = b"".join(record(19, b"\0" + text(t)) for t in shared)
+    style = lambda f: record(47, struct.pack("<HH", 0, f) + bytes(12))
+    parts["xl/styles.bin"] = record(626) + style(14) + record(627) + record(44, struct.pack("<H", 170) + text("yyyy/mm")) + record(617) + style(0) + style(170) + record(618)
+    return as_zip(parts)
+
+
 def as_zip(files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from exports import EDGES, OBJECTS, OUTSIDE, as_csv, as_xlsx, as_zip, org, xlsx_table
+from exports import EDGES, OUTSIDE, as_csv, as_xlsb, as_xlsx, as_zip, org, xlsx_table
 from tablekin import cli
 from tablekin.functions import dialects
 from tablekin.operators import relating
@@ -140,6 +140,14 @@ def test_workbook_typing(spark, tmp_path):
     assert {k: (c.type, c.distinct, c.nulls, c.rows) for k, c in got.items()} == {"A": ("string", 2, 1, 3), "B": ("int", 2, 1, 3), "C": ("float", 2, 1, 3), "D": ("datetime", 2, 1, 3), "E": ("bool", 2, 1, 3), "F": ("string", 1, 2, 3)}
 
 
+def test_binary_workbook(spark, tmp_path):
+    rows = [["A", "B", "C", "D", "E", ("shared", "F")], ["00123", 3.0, ("rk", 350), ("date", 45000), True, ("shared", "é\U0001f600")], ["7", 4, ("rk", 400), ("date", 45000.5), False, None]]
+    (tmp_path / "T.zip").write_bytes(as_zip({"T.xlsb": as_xlsb({"Sheet1": rows, "Two": [["X"], ["y" * 300]]})}))
+    got = columns(spark, tmp_path)
+    assert {k: (c.type, c.distinct, c.nulls, c.rows) for k, c in got.items()} == {"A": ("string", 2, 0, 2), "B": ("int", 2, 0, 2), "C": ("float", 2, 0, 2), "D": ("datetime", 2, 0, 2), "E": ("bool", 2, 0, 2), "F": ("string", 1, 1, 2)}
+    assert columns(spark, tmp_path, "T.Two")["X"].max_length == 300
+
+
 def test_ids_beyond_the_sample(spark, tmp_path):
     ids = [f"001{k:012d}"[:3] + f"A{k:011d}" for k in range(1000)] + [f"003B{k:011d}" for k in range(200)]
     (tmp_path / "T.csv").write_bytes(as_csv(["Id"], [[x] for x in ids]))
