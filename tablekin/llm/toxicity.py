@@ -239,26 +239,40 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2
 
 
 def telling(codes: np.ndarray, starts: np.ndarray, toxic: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """How telling the run of codes is that each stretch begins with, over runs of ORDER to WIDTH codes: their log odds,
+    """How telling the run of codes is that each toxic document's stretch begins with, over runs of ORDER to WIDTH codes: their log odds,
     weighted by how many toxic documents hold them. Runs that clean documents hold more than once in 50 count nothing,
     nor do rare ones, which are there by chance."""
     best = np.zeros(len(starts), np.float32)
     rows = stretches(codes, starts)
+    bad = toxic[text]
     number = np.zeros(len(starts), np.uint64)
     n = np.maximum([(~toxic).sum(), toxic.sum()], 1)
     least = max(3, n[1] // LEAST)
+
+    def documents(at: np.ndarray, run: np.ndarray, runs: int) -> np.ndarray:
+        """How many documents hold each run, given which run each of these stretches begins with."""
+        return np.bincount(np.unique(text[at].astype(np.int64) * runs + run) % runs, minlength=runs)
+
     for length in range(1, WIDTH + 1):
         number = number * np.uint64(CODES) + rows[:, length - 1].astype(np.uint64)
-        whole = np.flatnonzero(rows[:, length - 1] > 0)
-        if length < ORDER or not len(whole):
+        if length < ORDER:
+            continue
+        whole = rows[:, length - 1] > 0
+        at = np.flatnonzero(whole & bad)
+        runs, run = np.unique(number[at], return_inverse=True)
+        if not len(runs):
+            continue
+        often = documents(at, run, len(runs)) >= least
+        at, runs = at[often[run]], runs[often]
+        if not len(runs):
             continue
-        run = np.unique(number[whole], return_inverse=True)[1]
-        held = np.unique(text[whole].astype(np.int64) * (len(starts) + 1) + run)
-        who, run_of = held // (len(starts) + 1), held % (len(starts) + 1)
-        df = [np.bincount(run_of[toxic[who] == v], minlength=run.max() + 1) for v in (False, True)]
+        run, other = np.searchsorted(runs, number[at]), np.flatnonzero(whole & ~bad)
+        place = np.minimum(np.searchsorted(runs, number[other]), len(runs) - 1)
+        same = runs[place] == number[other]
+        df = [documents(other[same], place[same], len(runs)), documents(at, run, len(runs))]
         odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
-        value = np.where((df[1] >= least) & (df[0] * 50 <= df[1]), odds * np.sqrt(df[1]), 0)
-        best[whole] = np.maximum(best[whole], value[run])
+        value = np.where(df[0] * 50 <= df[1], odds * np.sqrt(df[1]), 0).astype(np.float32)
+        best[at] = np.maximum(best[at], value[run])
     return best
 
 
