@@ -124,6 +124,21 @@ def count_upto(df: DataFrame, most: int) -> int:
     return df.limit(most + 1).count()
 
 
+def merged(rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join of two tables that grow with the input.
+
+    Without the hint Spark broadcasts whatever it takes to be below its threshold. It takes a written table to be as
+    large as its compressed files and an exploded one as large as before, so that the driver may have to hold
+    millions of rows.
+    """
+    return rows.join(other.hint("merge"), on, how)
+
+
+def joined(rows: DataFrame, written: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join to a written table: by broadcast if it was counted and is small, else merged."""
+    return rows.join(F.broadcast(written), on, how) if count_upto(written, BROADCAST_ROWS) <= BROADCAST_ROWS else merged(rows, written, on, how)
+
+
 def lookup_join(rows: DataFrame, small: DataFrame, on: str, how: str = "left", salt: Column | None = None, salts: int = 32) -> DataFrame:
     """Join rows to small (one row per key) on a key that may be hot.
 
@@ -135,7 +150,7 @@ def lookup_join(rows: DataFrame, small: DataFrame, on: str, how: str = "left", s
     by = salt if salt is not None else F.rand(7)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    return merged(left, right, [on, "_salt"], how).drop("_salt")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -215,20 +230,15 @@ def _shrunk(edges: DataFrame) -> DataFrame:
     return arrow_map(edges.select("a", "b"), run, "a long, b long")
 
 
-def _joined(rows: DataFrame, written: DataFrame, on: str) -> DataFrame:
-    """An inner join to a written table with one row per key, by broadcast if it was counted and is small."""
-    return rows.join(F.broadcast(written) if count_upto(written, BROADCAST_ROWS) <= BROADCAST_ROWS else written, on)
-
-
 def _round(state: DataFrame) -> tuple[tuple, DataFrame]:
     """One large-star and one small-star step; what tells whether anything changed, and the new edges."""
     with scratch(state.sparkSession):
         both = state.select("a", "b").union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = _joined(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         low = stored(down.groupBy("a").agg(F.min("b").alias("m")))
-        small = _joined(down, low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = joined(down, low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = stored(small, keep=True)
         told = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
     return tuple(told), after

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, Forest, arrow_map, components, give_back, lookup_join, scratch, stored, table
+from .common import SLICE, Forest, arrow_map, components, give_back, joined, lookup_join, merged, scratch, stored, table
 from .shingles import DEPTH, LEAST, RECALL, SIMILARITY, Shingler, prefixes, shortened, signature
 
 #: Representatives in a block; a task compares at most two blocks.
@@ -65,12 +65,12 @@ def forest_nodes(reps: DataFrame) -> DataFrame:
     (at LEAST), with the smallest of them. reps: rep, prefixes, below. Most documents share no prefix and drop out first."""
     entries = reps.select("rep", F.posexplode("prefixes").alias("trie", "p"))
     shared = entries.groupBy("p").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("p")
-    paths = stored(entries.join(shared, "p"))
-    paths = paths.join(reps.select("rep", "below"), "rep").withColumn("b", F.element_at("below", F.col("trie") + 1))
+    paths = stored(merged(entries, shared, "p"))
+    paths = merged(paths, reps.select("rep", "below"), "rep").withColumn("b", F.element_at("below", F.col("trie") + 1))
     steps = [F.struct(F.lit(LEAST).alias("depth"), F.col("p").alias("node")), F.struct(F.lit(LEAST + 1).alias("depth"), F.xxhash64("p", F.shiftrightunsigned("b", 32)).alias("node")), F.struct(F.lit(DEPTH).alias("depth"), F.xxhash64("p", F.col("b"), F.lit(DEPTH)).alias("node"))]
     levels = stored(paths.select("rep", "trie", F.explode(F.array(*steps)).alias("s")).select("rep", "trie", "s.*"))
     crowds = levels.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low"))
-    return stored(levels.join(crowds, "node"))
+    return stored(merged(levels, crowds, "node"))
 
 
 def matched_nodes(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -98,7 +98,7 @@ def candidate_groups(reps: DataFrame, similarity: float = SIMILARITY, recall: fl
     reps: rep, prefixes, below. Representatives that no query matches don't appear.
     """
     nodes = forest_nodes(reps)
-    ties = stored(nodes.join(matched_nodes(nodes, similarity, recall), "node", "left_semi").select(F.col("node").alias("p"), "rep", "low"))
+    ties = stored(merged(nodes, matched_nodes(nodes, similarity, recall), "node", "left_semi").select(F.col("node").alias("p"), "rep", "low"))
     groups = components(ties.select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b"))
     groups = stored(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
@@ -111,24 +111,24 @@ def candidate_groups(reps: DataFrame, similarity: float = SIMILARITY, recall: fl
     # large groups: members tied to the same smallest id stay together, up to the size of a block
     large = placed.where(~few).select("rep", "grp", "n")
     hub = ties.groupBy("rep").agg(F.min("low").alias("hub"))
-    large = large.join(hub, "rep")
+    large = merged(large, hub, "rep")
     hubs = large.groupBy("hub").agg(F.count("*").alias("h"))
     large = lookup_join(large, hubs, "hub", "inner", salt=F.col("rep")).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("h") / BLOCK)))
     block = F.concat_ws(":", F.col("grp").cast("string"), F.pmod(F.xxhash64("hub", "part"), F.ceil(F.col("n") / BLOCK)).cast("string"))
     large = stored(large.select("rep", F.xxhash64(block).alias("block"), "grp"))
     # which blocks meet: one row per node and block, so a crowded node gives a row per BLOCK members
-    inside = stored(ties.select("p", "rep").join(large.select("rep", "block"), "rep").select("p", "block").distinct())
-    meets = stored(inside.select("p", F.col("block").alias("a")).join(inside.select("p", F.col("block").alias("b")), "p").where("a < b").select("a", "b").distinct())
+    inside = stored(merged(ties.select("p", "rep"), large.select("rep", "block"), "rep").select("p", "block").distinct())
+    meets = stored(merged(inside.select("p", F.col("block").alias("a")), inside.select("p", F.col("block").alias("b")), "p").where("a < b").select("a", "b").distinct())
     tiles = meets.select(F.col("a").alias("block"), "a", "b").union(meets.select(F.col("b").alias("block"), "a", "b"))
     own = large.select("rep", "block").withColumn("a", F.col("block")).withColumn("b", F.col("block"))
-    crossed = large.select("rep", "block").join(tiles, "block")
+    crossed = merged(large.select("rep", "block"), tiles, "block")
     out = own.select("rep", "block", "a", "b").union(crossed.select("rep", "block", "a", "b"))
     return out.union(small.select("rep", "block", F.col("block").alias("a"), F.col("block").alias("b")))
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """rep, copies and the shingles of each representative in wanted (rep, set_key, copies), once."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    texts = merged(documents.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler()
@@ -148,9 +148,9 @@ def verified(documents: DataFrame, tiles: DataFrame, copies: DataFrame, similari
 
     tiles: rep, block, a, b. copies: rep, set_key, copies.
     """
-    wanted = copies.groupBy("rep").agg(F.min(F.struct("set_key", "copies")).alias("c")).select("rep", "c.*").join(tiles.select("rep").distinct(), "rep")
+    wanted = merged(copies.groupBy("rep").agg(F.min(F.struct("set_key", "copies")).alias("c")).select("rep", "c.*"), tiles.select("rep").distinct(), "rep")
     sets = stored(shingle_sets(documents, wanted))
-    spread = tiles.join(sets, "rep").select("a", "b", (F.col("block") != F.col("a")).alias("second"), "rep", "copies", "shingles")
+    spread = merged(tiles, sets, "rep").select("a", "b", (F.col("block") != F.col("a")).alias("second"), "rep", "copies", "shingles")
     share = Fraction(similarity).limit_denominator(10_000)
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -219,13 +219,13 @@ def jaccard_join(documents: DataFrame, similarity: float = SIMILARITY, recall: f
         signs = stored(signatures(documents), keep=True)
         known = signs.where("set_key is not null and doc_id is not null")
         classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-        reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"])
+        reps = joined(known, classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"])
         reps = stored(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "prefixes", "below"))
         tiles = stored(candidate_groups(reps, similarity, recall))
         found = stored(verified(documents, tiles, classes.select("rep", "set_key", "copies"), similarity))
         links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
         groups = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
-        judged = classes.join(links.join(groups, "rep", "left"), "rep", "left")
+        judged = merged(classes, merged(links, groups, "rep", "left"), "rep", "left")
         judged = stored(judged.select("set_key", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), keep=True)
     out = lookup_join(signs.select("doc_id", "set_key"), judged, "set_key", salt=F.col("doc_id"))
     alone = F.col("doc_id").isNull() | F.col("rep").isNull()

@@ -19,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablekin.llm import embedding_dedup, html_extraction, jaccard_join, packing, quality_rules, secret_scan, shingles, source_mixing, token_output, tokens, toxicity
+from tablekin.llm import common, embedding_dedup, html_extraction, jaccard_join, packing, quality_rules, secret_scan, shingles, source_mixing, token_output, tokens, toxicity
 from tablekin.llm.common import Forest, components, local_forest, shared_folder
 from tablekin.llm.common import stored as shared
 
@@ -342,6 +342,29 @@ def test_jaccard_join(spark, monkeypatch):
     assert {k: (r.n_links, r.component_id) for k, r in got.items()} == {k: (links[k], parent[k]) for k in range(len(texts))}
 
 
+def test_jaccard_join_broadcasts_counted_sides_only(spark, monkeypatch):
+    """Under Spark's own threshold of 10 MB, which all tables here are below."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plans = []
+
+    def seen(df, keep=False, write=common.stored):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, keep)
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "stored", seen)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(30)] + ["a b c d e f"] * 2
+    out = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect() if r.kept) == [0, 30]
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
+
+
 @given(st.lists(st.integers(1, 200), min_size=shingles.TREES, max_size=shingles.TREES), st.integers(0, 2**32))
 @settings(max_examples=60, deadline=None)
 def test_prefixes_are_shortened_until_the_recall(base, seed):
