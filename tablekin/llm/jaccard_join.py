@@ -238,7 +238,7 @@ def without_near_copies(documents: DataFrame, similarity: float = SIMILARITY, re
     """The documents with one of each group left, the one with the smallest doc_id. Of repeated rows (equal id and text)
     one is left; rows with a null id can't be judged and all stay."""
     judged = jaccard_join(documents, similarity, recall).where(~F.col("kept")).select("doc_id").distinct()
-    left = documents.where("doc_id is not null").join(judged, "doc_id", "left_anti").select(documents.columns).dropDuplicates(["doc_id", "text"])
+    left = merged(documents.where("doc_id is not null"), judged, "doc_id", "left_anti").select(documents.columns).dropDuplicates(["doc_id", "text"])
     return left.union(documents.where("doc_id is null"))
 
 

@@ -360,7 +360,9 @@ def test_jaccard_join_broadcasts_counted_sides_only(spark, monkeypatch):
     texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(30)] + ["a b c d e f"] * 2
     out = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in out.collect() if r.kept) == [0, 30]
-    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    left = jaccard_join.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [0, 30]
+    plans += [x._jdf.queryExecution().sparkPlan().toString() for x in (out, left)]
     assert sum("SortMergeJoin" in p for p in plans) > 10
     assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
 
